@@ -151,3 +151,46 @@ def with_views(query: str, *names: str) -> str:
     """``WITH`` the named fixture views (and what they depend on) ``query``."""
     parts = [f"{n} AS (\n{FIXTURE_VIEWS[n]}\n)" for n in _closure(list(names))]
     return "WITH " + ",\n".join(parts) + "\n" + query.strip()
+
+
+# ---------------------------------------------------------------------------
+# Helper views of the oracle (not fixtures): the plain formulation of the
+# request semantics, used to check the Spark plans.
+# ---------------------------------------------------------------------------
+_view("req_checked", """
+SELECT r.*,
+  CASE
+    WHEN r.chain_id NOT IN (SELECT chain_id FROM chains) THEN 'unknown_chain'
+    WHEN r.topic IS NULL THEN 'topic_missing'
+    WHEN NOT regexp_full_match(regexp_replace(r.topic, '^0[xX]', ''), '[0-9a-fA-F]{0,64}') THEN 'topic_invalid'
+    WHEN r.address IS NOT NULL AND NOT regexp_full_match(regexp_replace(r.address, '^0[xX]', ''), '[0-9a-fA-F]{1,40}') THEN 'address_invalid'
+    WHEN coalesce(r.from_block, 0) < 0 THEN 'from_block_negative'
+    WHEN r.to_block < 0 THEN 'to_block_negative'
+    WHEN coalesce(r.page_limit, 1000) NOT BETWEEN 1 AND 1000000 THEN 'bad_limit'
+    WHEN r.cursor IS NOT NULL AND NOT regexp_full_match(r.cursor, '[0-9]+:[0-9]+') THEN 'bad_cursor'
+  END AS reject_reason
+FROM log_requests r
+""", ["log_requests", "chains"])
+
+_view("req_ok", """
+SELECT request_id, chain_id,
+  lower(lpad(regexp_replace(topic, '^0[xX]', ''), 64, '0')) AS topic0,
+  CASE WHEN address IS NOT NULL THEN lower(lpad(regexp_replace(address, '^0[xX]', ''), 40, '0')) END AS address,
+  CASE WHEN cursor IS NOT NULL THEN coalesce(TRY_CAST(split_part(cursor, ':', 1) AS BIGINT), 0)
+       ELSE coalesce(from_block, 0) END AS lo_block,
+  CASE WHEN cursor IS NOT NULL THEN coalesce(TRY_CAST(split_part(cursor, ':', 2) AS BIGINT), 0)
+       ELSE -1 END AS lo_index,
+  to_block AS hi_block,
+  coalesce(page_limit, 1000) AS page_limit
+FROM req_checked WHERE reject_reason IS NULL
+""", ["req_checked"])
+
+_view("req_matched", """
+SELECT r.request_id, r.page_limit, l.*,
+  row_number() OVER (PARTITION BY r.request_id ORDER BY l.block_number, l.log_index) AS n
+FROM req_ok r JOIN logs l
+  ON l.chain_id = r.chain_id AND l.topic0 = r.topic0
+ AND (r.address IS NULL OR l.address = r.address)
+ AND (l.block_number > r.lo_block OR (l.block_number = r.lo_block AND l.log_index > r.lo_index))
+ AND (r.hi_block IS NULL OR l.block_number <= r.hi_block)
+""", ["req_ok", "logs"])

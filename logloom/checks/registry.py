@@ -98,3 +98,132 @@ def q_get_logs_page(spark, sf_dir):
     page = Q.get_logs(tables.logs(spark, sf_dir), PAGE_CHAIN, PAGE_TOPIC, from_block=PAGE_FROM,
                       limit=PAGE_LIMIT)
     return api_compare(page)
+
+
+# ---------------------------------------------------------------------------
+# requests: validation, batched pages, cursors, manifests, point lookups
+# ---------------------------------------------------------------------------
+from ..operators.requests import check_requests  # noqa: E402
+from ..plans import batch as B  # noqa: E402
+from ..sources import fixtures as FX  # noqa: E402
+
+BATCH_BUCKET = 1_000  # blocks per bucket in the fixture (orders are blocks)
+PAYLOAD = ["block_hash", "timestamp", "transaction_hash", "transaction_index", "data",
+           "topic1", "topic2", "topic3", "removed"]
+
+
+def _requests(spark, sf_dir):
+    return check_requests(FX.log_requests(spark, sf_dir), FX.chains(spark))
+
+
+def _ranked(spark, sf_dir):
+    return B.rank_streams(tables.logs(spark, sf_dir), PAYLOAD, BATCH_BUCKET)
+
+
+@register("check_requests", with_views("""
+SELECT request_id, reject_reason,
+  CASE WHEN reject_reason IS NULL THEN lower(lpad(regexp_replace(topic, '^0[xX]', ''), 64, '0')) END AS topic0,
+  CASE WHEN reject_reason IS NULL AND address IS NOT NULL THEN lower(lpad(regexp_replace(address, '^0[xX]', ''), 40, '0')) END AS address,
+  CASE WHEN reject_reason IS NULL THEN coalesce(page_limit, 1000) END AS page_limit
+FROM req_checked
+""", "req_checked"))
+def q_check_requests(spark, sf_dir):
+    ok, bad = _requests(spark, sf_dir)
+    good = ok.select("request_id", F.lit(None).cast("string").alias("reject_reason"),
+                     bare_hex("topic0"), bare_hex("address"), "page_limit")
+    rej = bad.select("request_id", "reject_reason", F.lit(None).cast("string").alias("topic0"),
+                     F.lit(None).cast("string").alias("address"),
+                     F.lit(None).cast("bigint").alias("page_limit"))
+    return good.unionByName(rej)
+
+
+@register("known_chain", with_views("""
+SELECT request_id, chain_id FROM log_requests WHERE chain_id IN (SELECT chain_id FROM chains)
+""", "log_requests", "chains"))
+def q_known_chain(spark, sf_dir):
+    from ..operators.filters import known_chain
+    ok, _unknown = known_chain(FX.log_requests(spark, sf_dir), FX.chains(spark))
+    return ok.select("request_id", "chain_id")
+
+
+@register("decode_cursor", with_views("""
+SELECT request_id, cursor,
+  coalesce(TRY_CAST(split_part(cursor, ':', 1) AS BIGINT), 0) AS cursor_block,
+  coalesce(TRY_CAST(split_part(cursor, ':', 2) AS BIGINT), 0) AS cursor_log_index
+FROM log_requests WHERE cursor IS NOT NULL
+""", "log_requests"))
+def q_decode_cursor(spark, sf_dir):
+    from ..functions.cursor import decode_cursor
+    r = FX.log_requests(spark, sf_dir).where(F.col("cursor").isNotNull())
+    b, i = decode_cursor("cursor")
+    return r.select("request_id", "cursor", b.alias("cursor_block"), i.alias("cursor_log_index"))
+
+
+@register("get_logs_batch", with_views("""
+SELECT request_id, n, block_number, log_index, address, data, topic0, transaction_hash
+FROM req_matched WHERE n <= page_limit
+""", "req_matched"))
+def q_get_logs_batch(spark, sf_dir):
+    ok, _ = _requests(spark, sf_dir)
+    rows = B.get_logs_batch(_ranked(spark, sf_dir), ok, BATCH_BUCKET)
+    return rows.select("request_id", "n", "block_number", "log_index", bare_hex("address"),
+                       bare_hex("data"), bare_hex("topic0"), bare_hex("transaction_hash"))
+
+
+@register("next_cursor", with_views("""
+SELECT r.request_id, CAST(count(m.n) AS BIGINT) AS page_rows,
+  CASE WHEN count(m.n) >= r.page_limit
+       THEN CAST(arg_max(m.block_number, m.n) AS VARCHAR) || ':' || CAST(arg_max(m.log_index, m.n) AS VARCHAR) END AS next_cursor
+FROM req_ok r LEFT JOIN req_matched m ON m.request_id = r.request_id AND m.n <= r.page_limit
+GROUP BY r.request_id, r.page_limit
+""", "req_matched"))
+def q_next_cursor(spark, sf_dir):
+    ok, _ = _requests(spark, sf_dir)
+    pages = B.get_logs_batch(_ranked(spark, sf_dir), ok, BATCH_BUCKET)
+    return B.batch_cursors(pages, ok)
+
+
+@register("page_manifest", with_views("""
+, tot AS (
+  SELECT r.request_id, r.page_limit, count(m.n) AS total
+  FROM req_ok r LEFT JOIN req_matched m ON m.request_id = r.request_id
+  GROUP BY r.request_id, r.page_limit),
+pages AS (
+  SELECT request_id, page_limit, total, unnest(generate_series(0, total // page_limit)) AS page
+  FROM tot)
+SELECT p.request_id, CAST(p.page AS BIGINT) AS page,
+  CAST(least(p.page_limit, p.total - p.page * p.page_limit) AS BIGINT) AS page_rows,
+  CASE WHEN m.n IS NOT NULL THEN CAST(m.block_number AS VARCHAR) || ':' || CAST(m.log_index AS VARCHAR) END AS next_cursor
+FROM pages p LEFT JOIN req_matched m
+  ON m.request_id = p.request_id AND m.n = (p.page + 1) * p.page_limit
+""", "req_matched"))
+def q_page_manifest(spark, sf_dir):
+    ok, _ = _requests(spark, sf_dir)
+    return B.page_manifest(_ranked(spark, sf_dir), ok, BATCH_BUCKET)
+
+
+GET_LOG_CHAIN, GET_LOG_BLOCK, GET_LOG_INDEX = 10, 1000, 2
+
+
+@register("get_log", with_views(f"""
+SELECT {API_SQL_COLUMNS} FROM logs
+WHERE chain_id = {GET_LOG_CHAIN} AND block_number = {GET_LOG_BLOCK} AND log_index = {GET_LOG_INDEX}
+ORDER BY topic0, address LIMIT 1
+""", "logs"))
+def q_get_log(spark, sf_dir):
+    return api_compare(Q.get_log(tables.logs(spark, sf_dir), GET_LOG_CHAIN, GET_LOG_BLOCK,
+                                 GET_LOG_INDEX))
+
+
+@register("get_log_batch", with_views("""
+SELECT request_id, found, block_number, log_index, address, topic0 FROM (
+  SELECT p.request_id, l.topic0 IS NOT NULL AS found, p.block_number, p.log_index, l.address, l.topic0,
+    row_number() OVER (PARTITION BY p.request_id ORDER BY l.topic0 NULLS LAST, l.address NULLS LAST) AS rn
+  FROM log_positions p LEFT JOIN logs l
+    ON l.chain_id = p.chain_id AND l.block_number = p.block_number AND l.log_index = p.log_index) x
+WHERE rn = 1
+""", "log_positions", "logs"))
+def q_get_log_batch(spark, sf_dir):
+    res = B.get_log_batch(tables.logs(spark, sf_dir), FX.log_positions(spark, sf_dir), BATCH_BUCKET)
+    return res.select("request_id", "found", "block_number", "log_index", bare_hex("address"),
+                      bare_hex("topic0"))
