@@ -227,3 +227,438 @@ def q_get_log_batch(spark, sf_dir):
     res = B.get_log_batch(tables.logs(spark, sf_dir), FX.log_positions(spark, sf_dir), BATCH_BUCKET)
     return res.select("request_id", "found", "block_number", "log_index", bare_hex("address"),
                       bare_hex("topic0"))
+
+
+# ---------------------------------------------------------------------------
+# sources and decode steps
+# ---------------------------------------------------------------------------
+from ..functions import hexcodec as H  # noqa: E402
+from ..operators import decode as D  # noqa: E402
+from ..operators import filters as P  # noqa: E402
+
+RANGE_LO, RANGE_HI = 1000, 5000
+
+
+@register("select_fields", with_views("""
+SELECT r.chain_id, r.ingest_seq, r.block_number, r.log_index, r.transaction_index, b.timestamp,
+       b.block_hash, r.transaction_hash, r.address, r.data,
+       array_to_string(list_filter([r.t0, r.t1, r.t2, r.t3], lambda x: x IS NOT NULL), ',') AS topics,
+       r.removed
+FROM raw_logs r JOIN raw_blocks b ON b.chain_id = r.chain_id AND b.number = r.block_number
+""", "raw_logs", "raw_blocks"))
+def q_select_fields(spark, sf_dir):
+    flat = D.flatten_events(FX.raw_events(spark, sf_dir))
+    return flat.select("chain_id", "ingest_seq", "block_number", "log_index", "transaction_index",
+                       "timestamp", "block_hash", "transaction_hash", "address", "data",
+                       F.array_join("topics", ",").alias("topics"), "removed")
+
+
+@register("block_range", with_views(f"""
+SELECT chain_id, block_number, log_index, ingest_seq FROM raw_logs
+WHERE block_number BETWEEN {RANGE_LO} AND {RANGE_HI}
+""", "raw_logs"))
+def q_block_range(spark, sf_dir):
+    r = P.block_range(FX.raw_logs(spark, sf_dir), RANGE_LO, RANGE_HI)
+    return r.select("chain_id", "block_number", "log_index", "ingest_seq")
+
+
+@register("join_block_header", with_views("""
+SELECT r.chain_id, r.block_number, r.log_index, r.ingest_seq, b.timestamp, b.block_hash,
+       b.number IS NOT NULL AS has_block
+FROM raw_logs r LEFT JOIN raw_blocks b ON b.chain_id = r.chain_id AND b.number = r.block_number
+""", "raw_logs", "raw_blocks"))
+def q_join_block_header(spark, sf_dir):
+    j = D.attach_block_header(FX.raw_logs(spark, sf_dir), FX.raw_blocks(spark, sf_dir))
+    return j.select("chain_id", "block_number", "log_index", "ingest_seq", "timestamp",
+                    "block_hash", "has_block")
+
+
+@register("decode_fixed_hex", with_views("""
+SELECT chain_id, block_number, log_index, ingest_seq,
+  lower(lpad(substring(address, 3), 40, '0')) AS address,
+  lower(lpad(substring(transaction_hash, 3), 64, '0')) AS transaction_hash,
+  lower(lpad(coalesce(substring(t0, 3), ''), 64, '0')) AS topic0,
+  lower(lpad(substring(t1, 3), 64, '0')) AS topic1
+FROM raw_logs
+""", "raw_logs"))
+def q_decode_fixed_hex(spark, sf_dir):
+    r = FX.raw_logs(spark, sf_dir)
+    return r.select("chain_id", "block_number", "log_index", "ingest_seq",
+                    bare_hex(H.hex_to_bytes("address", 20), "address"),
+                    bare_hex(H.hex_to_bytes("transaction_hash", 32), "transaction_hash"),
+                    bare_hex(H.hex_to_bytes(F.coalesce(F.col("t0"), F.lit("")), 32), "topic0"),
+                    bare_hex(H.hex_to_bytes("t1", 32), "topic1"))
+
+
+@register("decode_data_hex", with_views("""
+SELECT chain_id, block_number, log_index, ingest_seq, lower(substring(data, 3)) AS data,
+       CAST(length(data) / 2 - 1 AS BIGINT) AS data_bytes
+FROM raw_logs
+""", "raw_logs"))
+def q_decode_data_hex(spark, sf_dir):
+    r = FX.raw_logs(spark, sf_dir).withColumn("_b", H.hex_to_bytes("data"))
+    return r.select("chain_id", "block_number", "log_index", "ingest_seq", bare_hex("_b", "data"),
+                    F.octet_length("_b").cast("bigint").alias("data_bytes"))
+
+
+@register("split_topics", with_views("""
+SELECT chain_id, block_number, log_index, ingest_seq,
+  coalesce(t0, '') AS topic0_text, t1 AS topic1_text, t2 AS topic2_text, t3 AS topic3_text
+FROM raw_logs
+""", "raw_logs"))
+def q_split_topics(spark, sf_dir):
+    ev = D.flatten_events(FX.raw_events(spark, sf_dir))
+    t0, t1, t2, t3 = D.split_topics(F.col("topics"))
+    return ev.select("chain_id", "block_number", "log_index", "ingest_seq", t0.alias("topic0_text"),
+                     t1.alias("topic1_text"), t2.alias("topic2_text"), t3.alias("topic3_text"))
+
+
+@register("removed_flag", with_views("""
+SELECT chain_id, block_number, log_index, ingest_seq,
+  CAST(CASE WHEN removed THEN 1 ELSE 0 END AS SMALLINT) AS removed
+FROM raw_logs
+""", "raw_logs"))
+def q_removed_flag(spark, sf_dir):
+    d = D.decode_logs(D.attach_block_header(FX.raw_logs(spark, sf_dir), FX.raw_blocks(spark, sf_dir)))
+    return d.select("chain_id", "block_number", "log_index", "ingest_seq", "removed")
+
+
+@register("quarantine", with_views("""
+SELECT coalesce(reason, 'ok') AS reject_reason, count(*) AS n FROM (
+  SELECT CASE
+    WHEN b.number IS NULL THEN 'block_missing'
+    WHEN NOT regexp_full_match(regexp_replace(r.address, '^0[xX]', ''), '[0-9a-fA-F]*') THEN 'address_hex'
+    WHEN length(regexp_replace(r.address, '^0[xX]', '')) > 40 THEN 'address_length'
+    WHEN NOT regexp_full_match(regexp_replace(r.data, '^0[xX]', ''), '([0-9a-fA-F]{2})*') THEN 'data_hex'
+  END AS reason
+  FROM raw_logs r LEFT JOIN raw_blocks b ON b.chain_id = r.chain_id AND b.number = r.block_number) x
+GROUP BY 1
+""", "raw_logs", "raw_blocks"))
+def q_quarantine(spark, sf_dir):
+    d = tables.decoded_logs(spark, sf_dir)
+    return d.groupBy(F.coalesce(F.col("reject_reason"), F.lit("ok")).alias("reject_reason")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# filters over the logs table
+# ---------------------------------------------------------------------------
+ADDR_PART = 7
+FILTER_ADDRESS = "0x" + sha(f"addr:{ADDR_PART}")[24:64].lstrip("0").upper()
+CURSOR_BLOCK, CURSOR_INDEX = 3000, 1
+
+
+@register("filter_chain", with_views("SELECT * FROM logs WHERE chain_id = 10", "logs"))
+def q_filter_chain(spark, sf_dir):
+    return compare_form(P.by_chain(tables.logs(spark, sf_dir), 10))
+
+
+@register("filter_topic0", with_views(f"""
+SELECT * FROM logs WHERE topic0 = '{PAGE_TOPIC[2:].lower()}'
+""", "logs"))
+def q_filter_topic0(spark, sf_dir):
+    return compare_form(P.by_topic0(tables.logs(spark, sf_dir), PAGE_TOPIC))
+
+
+@register("filter_address", with_views(f"""
+SELECT * FROM logs WHERE address = '{sha(f"addr:{ADDR_PART}")[24:64]}'
+""", "logs"))
+def q_filter_address(spark, sf_dir):
+    return compare_form(P.by_address(tables.logs(spark, sf_dir), FILTER_ADDRESS))
+
+
+@register("filter_from_to", with_views(f"""
+SELECT * FROM logs WHERE block_number >= {RANGE_LO} AND block_number <= {RANGE_HI}
+""", "logs"))
+def q_filter_from_to(spark, sf_dir):
+    logs = tables.logs(spark, sf_dir, bucket_blocks=BATCH_BUCKET)
+    out = P.to_block(P.from_block(logs, RANGE_LO, BATCH_BUCKET), RANGE_HI, BATCH_BUCKET)
+    return compare_form(out)
+
+
+@register("after_cursor", with_views(f"""
+SELECT * FROM logs WHERE chain_id = 1 AND (block_number > {CURSOR_BLOCK}
+   OR (block_number = {CURSOR_BLOCK} AND log_index > {CURSOR_INDEX}))
+""", "logs"))
+def q_after_cursor(spark, sf_dir):
+    logs = tables.logs(spark, sf_dir, bucket_blocks=BATCH_BUCKET)
+    return compare_form(P.after_cursor(P.by_chain(logs, 1), CURSOR_BLOCK, CURSOR_INDEX, BATCH_BUCKET))
+
+
+@register("cursor_over_from", with_views(f"""
+SELECT {API_SQL_COLUMNS} FROM logs
+WHERE chain_id = 1 AND topic0 = '{PAGE_TOPIC[2:].lower()}'
+  AND (block_number > {CURSOR_BLOCK} OR (block_number = {CURSOR_BLOCK} AND log_index > {CURSOR_INDEX}))
+  AND block_number <= {RANGE_HI}
+ORDER BY block_number, log_index LIMIT {PAGE_LIMIT}
+""", "logs"))
+def q_cursor_over_from(spark, sf_dir):
+    # the cursor replaces from_block (which alone would start at block 0)
+    page = Q.get_logs(tables.logs(spark, sf_dir), 1, PAGE_TOPIC, from_block=0, to_block=RANGE_HI,
+                      cursor=f"{CURSOR_BLOCK}:{CURSOR_INDEX}", limit=PAGE_LIMIT)
+    return api_compare(page)
+
+
+@register("height_events", with_views("""
+SELECT seq, chain_id, height FROM height_events WHERE type = 'Height'
+""", "height_events"))
+def q_height_events(spark, sf_dir):
+    heights, _ = P.split_height_events(FX.height_events(spark, sf_dir))
+    return heights.select("seq", "chain_id", "height")
+
+
+# ---------------------------------------------------------------------------
+# projections and scalar functions
+# ---------------------------------------------------------------------------
+from ..functions import formatting as FM  # noqa: E402
+from ..functions.cursor import encode_cursor  # noqa: E402
+
+
+@register("hex_projection", with_views("""
+SELECT chain_id, block_number, timestamp, '0x' || block_hash AS block_hash_hex,
+  '0x' || transaction_hash AS transaction_hash_hex, transaction_index, log_index,
+  '0x' || address AS address_hex, '0x' || data AS data_hex, '0x' || topic0 AS topic0_hex,
+  '0x' || topic1 AS topic1_hex, '0x' || topic2 AS topic2_hex, '0x' || topic3 AS topic3_hex
+FROM logs
+""", "logs"))
+def q_hex_projection(spark, sf_dir):
+    return FM.hex_projection(tables.logs(spark, sf_dir), keep=["chain_id"])
+
+
+@register("topics_array", with_views("""
+SELECT chain_id, block_number, log_index,
+  array_to_string(list_filter(['0x' || topic0, '0x' || topic1, '0x' || topic2, '0x' || topic3],
+                              lambda x: x IS NOT NULL), ',') AS topics,
+  CAST(len(list_filter([topic0, topic1, topic2, topic3], lambda x: x IS NOT NULL)) AS BIGINT) AS n_topics
+FROM logs
+""", "logs"))
+def q_topics_array(spark, sf_dir):
+    h = FM.hex_projection(tables.logs(spark, sf_dir), keep=["chain_id"])
+    t = FM.topics_array()
+    return h.select("chain_id", "block_number", "log_index", F.array_join(t, ",").alias("topics"),
+                    F.size(t).cast("bigint").alias("n_topics"))
+
+
+@register("format_logs", with_views(f"SELECT chain_id, {API_SQL_COLUMNS} FROM logs", "logs"))
+def q_format_logs(spark, sf_dir):
+    return api_compare(FM.format_logs(FM.hex_projection(tables.logs(spark, sf_dir), keep=["chain_id"]),
+                                      keep=["chain_id"]))
+
+
+@register("encode_cursor", with_views("""
+SELECT chain_id, topic0, CAST(block_number AS VARCHAR) || ':' || CAST(log_index AS VARCHAR) AS cursor
+FROM logs
+""", "logs"))
+def q_encode_cursor(spark, sf_dir):
+    return tables.logs(spark, sf_dir).select("chain_id", bare_hex("topic0"),
+                                             encode_cursor().alias("cursor"))
+
+
+_SIZE_SQL = """CASE
+    WHEN {b} >= 1152921504606846976 THEN 6 WHEN {b} >= 1125899906842624 THEN 5
+    WHEN {b} >= 1099511627776 THEN 4 WHEN {b} >= 1073741824 THEN 3
+    WHEN {b} >= 1048576 THEN 2 WHEN {b} >= 1024 THEN 1 ELSE 0 END"""
+
+
+def _size_sql(b: str) -> str:
+    u = _SIZE_SQL.format(b=b)
+    d = f"CAST(pow(1024, {u}) AS HUGEINT)"
+    cents = f"((CAST({b} AS HUGEINT) * 100 + {d} // 2) // {d})"
+    units = "['B','KiB','MiB','GiB','TiB','PiB','EiB']"
+    return (f"CAST({cents} // 100 AS VARCHAR) || '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0') "
+            f"|| ' ' || {units}[{u} + 1]")
+
+
+@register("readable_size", with_views(f"""
+SELECT chain_id, block_bucket, bytes,
+  {_size_sql('bytes')} AS size_b,
+  {_size_sql('bytes * 1000')} AS size_k,
+  {_size_sql('bytes * 1000000')} AS size_m,
+  {_size_sql('bytes * 1000000000')} AS size_g
+FROM (SELECT chain_id, block_number // 1000 AS block_bucket,
+             CAST(sum(length(data) / 2 + 120) AS BIGINT) AS bytes
+      FROM logs GROUP BY ALL) x
+""", "logs"))
+def q_readable_size(spark, sf_dir):
+    logs = tables.logs(spark, sf_dir, bucket_blocks=BATCH_BUCKET)
+    s = logs.groupBy("chain_id", "block_bucket").agg(
+        F.sum(F.octet_length("data") + 120).cast("bigint").alias("bytes"))
+    b = F.col("bytes")
+    return s.select("chain_id", "block_bucket", "bytes", FM.readable_size(b).alias("size_b"),
+                    FM.readable_size(b * 1000).alias("size_k"),
+                    FM.readable_size(b * 1000000).alias("size_m"),
+                    FM.readable_size(b * 1000000000).alias("size_g"))
+
+
+@register("ratio_round", with_views("""
+SELECT chain_id, block_bucket, text_bytes, data_bytes,
+  CASE WHEN data_bytes = 0 THEN 0.0 ELSE CAST(
+    (text_bytes * 100) // data_bytes
+    + CASE WHEN 2 * ((text_bytes * 100) % data_bytes) > data_bytes
+             OR (2 * ((text_bytes * 100) % data_bytes) = data_bytes AND ((text_bytes * 100) // data_bytes) % 2 = 1)
+           THEN 1 ELSE 0 END AS DOUBLE) / 100.0 END AS ratio
+FROM (SELECT r.chain_id, r.block_number // 1000 AS block_bucket,
+             CAST(sum(length(r.data) + length(r.address) + 7) AS BIGINT) AS text_bytes,
+             CAST(sum(length(r.data) / 2 - 1) AS BIGINT) AS data_bytes
+      FROM raw_logs r GROUP BY ALL) x
+""", "raw_logs"))
+def q_ratio_round(spark, sf_dir):
+    r = FX.raw_logs(spark, sf_dir)
+    s = r.groupBy("chain_id", F.floor(F.col("block_number") / 1000).cast("bigint").alias("block_bucket")) \
+        .agg(F.sum(F.length("data") + F.length("address") + 7).cast("bigint").alias("text_bytes"),
+             F.sum(F.octet_length(H.hex_to_bytes("data"))).cast("bigint").alias("data_bytes"))
+    return s.withColumn("ratio", FM.ratio_half_even("text_bytes", "data_bytes"))
+
+
+# ---------------------------------------------------------------------------
+# aggregates, stats, chains
+# ---------------------------------------------------------------------------
+from ..operators import aggregates as A  # noqa: E402
+
+
+@register("log_height", with_views("""
+SELECT c.chain_id, CAST(coalesce(max(l.block_number), 0) AS BIGINT) AS height
+FROM chains c LEFT JOIN logs l ON l.chain_id = c.chain_id GROUP BY c.chain_id
+""", "chains", "logs"))
+def q_log_height(spark, sf_dir):
+    return A.log_height(tables.logs(spark, sf_dir), FX.chains(spark))
+
+
+@register("block_height", with_views("""
+SELECT c.chain_id, CAST(coalesce(max(b.number), 0) AS BIGINT) AS height
+FROM chains c LEFT JOIN raw_blocks b ON b.chain_id = c.chain_id GROUP BY c.chain_id
+""", "chains", "raw_blocks"))
+def q_block_height(spark, sf_dir):
+    return A.log_height(FX.raw_blocks(spark, sf_dir), FX.chains(spark), block_col="number")
+
+
+@register("chain_state", with_views("""
+SELECT c.chain_id, CAST(coalesce(max(l.block_number), 0) AS BIGINT) AS startBlock,
+       CAST(count(l.chain_id) AS BIGINT) AS totalLogs
+FROM chains c LEFT JOIN logs l ON l.chain_id = c.chain_id GROUP BY c.chain_id
+""", "chains", "logs"))
+def q_chain_state(spark, sf_dir):
+    return A.chain_state(tables.logs(spark, sf_dir), FX.chains(spark))
+
+
+@register("log_stats", with_views("""
+SELECT chain_id, CAST(count(*) AS BIGINT) AS total, CAST(max(block_number) AS BIGINT) AS maxIndexedBlock
+FROM logs GROUP BY chain_id
+""", "logs"))
+def q_log_stats(spark, sf_dir):
+    return A.log_stats(tables.logs(spark, sf_dir))
+
+
+@register("indexing_progress", with_views("""
+SELECT s.chain_id, s.total, s.maxIndexedBlock, t.archive_height, c.margin,
+  CASE WHEN t.archive_height - c.margin <= 0 THEN 0.0 ELSE
+    CAST((2 * CAST(s.maxIndexedBlock AS HUGEINT) * 10000 + (t.archive_height - c.margin))
+         // (2 * (t.archive_height - c.margin)) AS DOUBLE) / 100.0 END AS progress
+FROM (SELECT chain_id, CAST(count(*) AS BIGINT) AS total, CAST(max(block_number) AS BIGINT) AS maxIndexedBlock
+      FROM logs GROUP BY chain_id) s
+JOIN chain_tips t ON t.chain_id = s.chain_id JOIN chains c ON c.chain_id = s.chain_id
+""", "logs", "chain_tips", "chains"))
+def q_indexing_progress(spark, sf_dir):
+    stats = A.log_stats(tables.logs(spark, sf_dir))
+    return A.indexing_progress(stats, FX.chain_tips(spark, sf_dir), FX.chains(spark))
+
+
+@register("chain_margin", with_views("""
+SELECT r.request_id, r.chain_id, c.name, c.margin
+FROM log_requests r LEFT JOIN chains c ON c.chain_id = r.chain_id
+""", "log_requests", "chains"))
+def q_chain_margin(spark, sf_dir):
+    r = FX.log_requests(spark, sf_dir).select("request_id", "chain_id")
+    return A.with_chain_config(r, FX.chains(spark))
+
+
+@register("list_chains", with_views("""
+SELECT DISTINCT chain_id AS id, printf('https://%d.logs.example.org', chain_id) AS url FROM logs
+""", "logs"))
+def q_list_chains(spark, sf_dir):
+    return Q.list_chains(tables.logs(spark, sf_dir))
+
+
+@register("ingest_progress", with_views("""
+SELECT b.chain_id, b.batch, b.chunk_size,
+  CAST(sum(b.chunk_size) OVER (PARTITION BY b.chain_id ORDER BY b.batch) AS BIGINT) AS total_logs,
+  b.next_block,
+  CAST((2 * CAST(b.next_block AS HUGEINT) * 10000 + t.archive_height) // (2 * t.archive_height) AS DOUBLE) / 100.0 AS progress
+FROM ingest_batches b LEFT JOIN chain_tips t ON t.chain_id = b.chain_id
+""", "ingest_batches", "chain_tips"))
+def q_ingest_progress(spark, sf_dir):
+    return A.ingest_progress(FX.ingest_batches(spark, sf_dir), FX.chain_tips(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# finality and range planning
+# ---------------------------------------------------------------------------
+from ..streaming import finality as FN  # noqa: E402
+
+
+def _safes(spark, sf_dir):
+    return FN.safe_ceiling(FX.height_events(spark, sf_dir), FX.chains(spark))
+
+
+_SAFES_SQL = """
+, safes AS (
+  SELECT h.seq, h.chain_id, h.height - c.margin AS safe
+  FROM height_events h JOIN chains c ON c.chain_id = h.chain_id WHERE h.type = 'Height')
+"""
+
+
+@register("safe_ceiling", with_views(_SAFES_SQL + "SELECT seq, chain_id, safe FROM safes",
+                                     "height_events", "chains"))
+def q_safe_ceiling(spark, sf_dir):
+    return _safes(spark, sf_dir).select("seq", "chain_id", "safe")
+
+
+@register("final_logs", with_views(_SAFES_SQL + """
+, ceil AS (SELECT chain_id, arg_max(safe, seq) AS ceiling FROM safes GROUP BY chain_id)
+SELECT l.* FROM logs l JOIN ceil c ON c.chain_id = l.chain_id WHERE l.block_number <= c.ceiling
+""", "height_events", "chains", "logs"))
+def q_final_logs(spark, sf_dir):
+    ceilings = FN.latest_ceiling(_safes(spark, sf_dir))
+    return compare_form(FN.final_logs(tables.logs(spark, sf_dir), ceilings))
+
+
+@register("plan_ranges_gapless", with_views(_SAFES_SQL + """
+SELECT chain_id, seq, greatest(0, coalesce(prev_max + 1, 0)) AS from_block, safe AS to_block FROM (
+  SELECT *, max(safe) OVER (PARTITION BY chain_id ORDER BY seq
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max
+  FROM safes) x
+WHERE safe >= greatest(0, coalesce(prev_max + 1, 0))
+""", "height_events", "chains"))
+def q_plan_ranges_gapless(spark, sf_dir):
+    return FN.plan_ranges_gapless(_safes(spark, sf_dir), 0)
+
+
+@register("plan_ranges_strict", with_views(_SAFES_SQL + """
+, h AS (SELECT chain_id, seq, safe, row_number() OVER (PARTITION BY chain_id ORDER BY seq) AS k FROM safes)
+, fold AS (
+  WITH RECURSIVE f(chain_id, k, start, seq, from_block, to_block) AS (
+    SELECT DISTINCT chain_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
+           CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM h
+    UNION ALL
+    SELECT f.chain_id, h.k,
+           CASE WHEN h.safe > f.start THEN h.safe + 1 ELSE f.start END,
+           h.seq,
+           CASE WHEN h.safe > f.start THEN f.start END,
+           CASE WHEN h.safe > f.start THEN h.safe END
+    FROM f JOIN h ON h.chain_id = f.chain_id AND h.k = f.k + 1)
+  SELECT * FROM f)
+SELECT chain_id, seq, from_block, to_block FROM fold WHERE to_block IS NOT NULL
+""", "height_events", "chains"))
+def q_plan_ranges_strict(spark, sf_dir):
+    return FN.plan_ranges_strict(_safes(spark, sf_dir), 0)
+
+
+@register("coverage_gaps", with_views("""
+SELECT chain_id, prev_to + 1 AS gap_from, from_block - 1 AS gap_to FROM (
+  SELECT *, max(to_block) OVER (PARTITION BY chain_id ORDER BY from_block, to_block
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_to
+  FROM covered_ranges) x
+WHERE from_block > prev_to + 1
+""", "covered_ranges"))
+def q_coverage_gaps(spark, sf_dir):
+    return FN.coverage_gaps(FX.covered_ranges(spark, sf_dir))

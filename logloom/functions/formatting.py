@@ -95,3 +95,16 @@ def ratio_half_even(num, den, scale: int = 2) -> Column:
 def round_half_up(x, scale: int = 2) -> Column:
     """``Math.round(x * 100) / 100`` style rounding."""
     return F.round(_c(x), scale)
+
+
+def percent_half_up(num, den, scale: int = 2) -> Column:
+    """``round(100 * num / den, scale)`` rounding half up, exactly.
+
+    For non-negative inputs; ``den <= 0`` -> 0 (the service's guard).
+    """
+    n = _c(num).cast("decimal(38,0)")
+    d = _c(den).cast("decimal(38,0)")
+    p = 10 ** scale
+    q = _exact_div(n * (100 * p) * 2 + d, d * 2)
+    return F.when((d <= 0) | d.isNull() | n.isNull(), F.lit(0.0)) \
+        .otherwise(q.cast("bigint") / F.lit(float(p)))
