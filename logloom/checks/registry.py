@@ -662,3 +662,121 @@ WHERE from_block > prev_to + 1
 """, "covered_ranges"))
 def q_coverage_gaps(spark, sf_dir):
     return FN.coverage_gaps(FX.covered_ranges(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# storage, export, streaming ingest
+# Scratch output goes under the session's checkpoint folder.
+# ---------------------------------------------------------------------------
+from ..plans import export as X  # noqa: E402
+from ..plans.stats import log_stats_report  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import table as TB  # noqa: E402
+from ..streaming import ingest as IN  # noqa: E402
+
+
+@register("raw_source_json", REGISTRY["select_fields"][1])
+def q_raw_source_json(spark, sf_dir):
+    path = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-json"), 8, "json")
+    flat = D.flatten_events(IN.read_raw_logs(spark, path, "json"))
+    return flat.select("chain_id", "ingest_seq", "block_number", "log_index", "transaction_index",
+                       "timestamp", "block_hash", "transaction_hash", "address", "data",
+                       F.array_join("topics", ",").alias("topics"), "removed")
+
+
+@register("append_roundtrip", REGISTRY["decode_logs"][1])
+def q_append_roundtrip(spark, sf_dir):
+    root = scratch_path(spark, "landing")
+    TB.append_logs(tables.landed_logs(spark, sf_dir), root, 1)
+    return compare_form(TB.read_landed(spark, root), ["ingest_seq"])
+
+
+@register("replay_converges", REGISTRY["dedup_logs"][1])
+def q_replay_converges(spark, sf_dir):
+    """First copies as batch 1, everything as batch 2, then batch 1 replayed."""
+    root = scratch_path(spark, "replay")
+    landed = tables.landed_logs(spark, sf_dir)
+    TB.append_logs(landed.where(F.col("ingest_seq") == 1), root, 1)
+    TB.append_logs(landed, root, 2)
+    TB.append_logs(landed.where(F.col("ingest_seq") == 1), root, 1)
+    from ..operators.dedup import dedup_logs
+    return compare_form(dedup_logs(TB.read_landed(spark, root).drop("batch_id")))
+
+
+@register("compact_logs", REGISTRY["dedup_logs"][1])
+def q_compact_logs(spark, sf_dir):
+    dst = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
+                          BATCH_BUCKET)
+    return compare_form(TB.read_logs(spark, dst))
+
+
+@register("storage_footprint", None)
+def q_storage_footprint(spark, sf_dir):
+    dst = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
+                          BATCH_BUCKET)
+    return TB.storage_footprint(spark, dst)
+
+
+@register("stats_report", None)
+def q_stats_report(spark, sf_dir):
+    dst = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
+                          BATCH_BUCKET)
+    return log_stats_report(spark, dst, FX.chain_tips(spark, sf_dir), FX.chains(spark))
+
+
+@register("export_chunks", with_views(f"""
+SELECT {API_SQL_COLUMNS} FROM logs
+WHERE chain_id = {PAGE_CHAIN} AND topic0 = lower('{PAGE_TOPIC[2:]}')
+""", "logs"))
+def q_export_chunks(spark, sf_dir):
+    path = scratch_path(spark, "export")
+    X.export_logs(tables.logs(spark, sf_dir), path, PAGE_CHAIN, PAGE_TOPIC, chunks=8)
+    return api_compare(X.read_export(spark, path))
+
+
+@register("export_manifest", None)
+def q_export_manifest(spark, sf_dir):
+    path = scratch_path(spark, "export")
+    return X.export_logs(tables.logs(spark, sf_dir), path, PAGE_CHAIN, PAGE_TOPIC, chunks=8)
+
+
+def _run_stream(spark, source, landing, fmt="json"):
+    q = IN.ingest_stream(spark, source, landing, scratch_path(spark, "ckpt"), fmt=fmt,
+                         quarantine=scratch_path(spark, "quarantine"))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@register("stream_ingest", REGISTRY["dedup_logs"][1])
+def q_stream_ingest(spark, sf_dir):
+    src = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-stream"), 8)
+    landing = scratch_path(spark, "stream-landing")
+    _run_stream(spark, src, landing)
+    from ..operators.dedup import dedup_logs
+    return compare_form(dedup_logs(TB.read_landed(spark, landing).drop("batch_id")))
+
+
+@register("stream_dedup", with_views("""
+SELECT chain_id, block_number, block_hash, timestamp, transaction_hash, transaction_index, log_index,
+       address, data, topic0, topic1, topic2, topic3, removed
+FROM logs_landed WHERE ingest_seq = 1
+""", "logs_landed"))
+def q_stream_dedup(spark, sf_dir):
+    """First copies land in one drop of files, replays in a later one; the
+    streaming keep-first dedup keeps the first copies."""
+    src = scratch_path(spark, "raw-dedup")
+    landed = tables.landed_logs(spark, sf_dir)
+    TB.append_logs(landed.where(F.col("ingest_seq") == 1), src, 1)
+    out = scratch_path(spark, "dedup-out")
+    sdf = spark.readStream.schema(TB.LANDED_WITH_BATCH).parquet(src)
+    deduped = IN.dedup_stream(sdf, delay="36500 days")
+    q = (deduped.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "ckpt")).start())
+    try:
+        q.processAllAvailable()
+        TB.append_logs(landed.where(F.col("ingest_seq") == 2), src, 2)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return compare_form(spark.read.schema(TB.LANDED_WITH_BATCH).parquet(out))
