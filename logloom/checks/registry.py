@@ -117,7 +117,15 @@ def _requests(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    return B.rank_streams(tables.logs(spark, sf_dir), PAYLOAD, BATCH_BUCKET)
+    from ..session import materialize
+    return materialize(B.rank_streams(tables.logs(spark, sf_dir), PAYLOAD, BATCH_BUCKET))
+
+
+def _plan(spark, sf_dir):
+    from ..session import materialize
+    ok, _ = _requests(spark, sf_dir)
+    ranked = _ranked(spark, sf_dir)
+    return ranked, ok, materialize(B.bucket_plan(ranked, ok, BATCH_BUCKET))
 
 
 @register("check_requests", with_views("""
@@ -164,8 +172,8 @@ SELECT request_id, n, block_number, log_index, address, data, topic0, transactio
 FROM req_matched WHERE n <= page_limit
 """, "req_matched"))
 def q_get_logs_batch(spark, sf_dir):
-    ok, _ = _requests(spark, sf_dir)
-    rows = B.get_logs_batch(_ranked(spark, sf_dir), ok, BATCH_BUCKET)
+    ranked, ok, plan = _plan(spark, sf_dir)
+    rows = B.get_logs_batch(ranked, ok, BATCH_BUCKET, plan)
     return rows.select("request_id", "n", "block_number", "log_index", bare_hex("address"),
                        bare_hex("data"), bare_hex("topic0"), bare_hex("transaction_hash"))
 
@@ -178,8 +186,8 @@ FROM req_ok r LEFT JOIN req_matched m ON m.request_id = r.request_id AND m.n <=
 GROUP BY r.request_id, r.page_limit
 """, "req_matched"))
 def q_next_cursor(spark, sf_dir):
-    ok, _ = _requests(spark, sf_dir)
-    pages = B.get_logs_batch(_ranked(spark, sf_dir), ok, BATCH_BUCKET)
+    ranked, ok, plan = _plan(spark, sf_dir)
+    pages = B.get_logs_batch(ranked, ok, BATCH_BUCKET, plan)
     return B.batch_cursors(pages, ok)
 
 
@@ -198,8 +206,8 @@ FROM pages p LEFT JOIN req_matched m
   ON m.request_id = p.request_id AND m.n = (p.page + 1) * p.page_limit
 """, "req_matched"))
 def q_page_manifest(spark, sf_dir):
-    ok, _ = _requests(spark, sf_dir)
-    return B.page_manifest(_ranked(spark, sf_dir), ok, BATCH_BUCKET)
+    ranked, ok, plan = _plan(spark, sf_dir)
+    return B.page_manifest(ranked, ok, BATCH_BUCKET, plan)
 
 
 GET_LOG_CHAIN, GET_LOG_BLOCK, GET_LOG_INDEX = 10, 1000, 2

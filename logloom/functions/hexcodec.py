@@ -12,9 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PREFIX = r"^0[xX]"
-_HEX_DIGITS = r"^[0-9a-fA-F]*$"
-_HEX_PAIRS = r"^([0-9a-fA-F]{2})*$"
+_MAX_LEN = 2_147_483_647
 
 
 def _c(c) -> Column:
@@ -22,8 +20,9 @@ def _c(c) -> Column:
 
 
 def strip_prefix(c) -> Column:
-    """Drop a leading ``0x``/``0X``; NULL stays NULL."""
-    return F.regexp_replace(_c(c), _PREFIX, "")
+    """Drop a leading ``0x``/``0X``; NULL stays NULL (plain string ops, no regex)."""
+    c = _c(c)
+    return F.when(F.substring(c, 1, 2).isin("0x", "0X"), F.substring(c, 3, _MAX_LEN)).otherwise(c)
 
 
 def normalise_hex(c, width: int | None = None) -> Column:
@@ -38,26 +37,41 @@ def normalise_hex(c, width: int | None = None) -> Column:
     return F.when(F.length(digits) <= 2 * width, F.lpad(digits, 2 * width, "0")).otherwise(digits)
 
 
+def hex_digits_ok(c) -> Column:
+    """True when the text (prefix stripped) has only hex digits.
+
+    ``unhex`` yields NULL on any non-hex character (odd lengths are padded),
+    so validity needs no regular expression.
+    """
+    c = _c(c)
+    return F.when(c.isNotNull(), F.unhex(strip_prefix(c)).isNotNull())
+
+
 def fixed_hex_ok(c, width: int) -> Column:
     """True when ``c`` is hex of at most ``width`` bytes (NULL -> NULL)."""
+    c = _c(c)
     digits = strip_prefix(c)
-    return digits.rlike(_HEX_DIGITS) & (F.length(digits) <= 2 * width)
+    return F.when(c.isNotNull(), (F.length(digits) <= 2 * width) & F.unhex(digits).isNotNull())
 
 
 def var_hex_ok(c) -> Column:
     """True when ``c`` is an even number of hex digits (NULL -> NULL)."""
-    return strip_prefix(c).rlike(_HEX_PAIRS)
+    c = _c(c)
+    digits = strip_prefix(c)
+    return F.when(c.isNotNull(), (F.length(digits) % 2 == 0) & F.unhex(digits).isNotNull())
 
 
 def hex_to_bytes(c, width: int | None = None) -> Column:
     """Decode hex text to ``binary``; fixed width when ``width`` is given.
 
-    Invalid input decodes to NULL; use the ``*_ok`` checks to tell invalid
-    from absent.
+    Invalid input decodes to NULL (``unhex`` of a bad digit is NULL; the
+    length guards stop ``lpad`` truncating and ``unhex`` padding odd input);
+    use the ``*_ok`` checks to tell invalid from absent.
     """
+    digits = strip_prefix(c)
     if width is None:
-        return F.when(var_hex_ok(c), F.unhex(strip_prefix(c)))
-    return F.when(fixed_hex_ok(c, width), F.unhex(normalise_hex(c, width)))
+        return F.when(F.length(digits) % 2 == 0, F.unhex(digits))
+    return F.when(F.length(digits) <= 2 * width, F.unhex(F.lpad(digits, 2 * width, "0")))
 
 
 def hex_col(c, alias: str | None = None, prefix: str = "0x") -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hexcodec import fixed_hex_ok, hex_to_bytes, strip_prefix, var_hex_ok
+from ..functions.hexcodec import hex_digits_ok, hex_to_bytes, strip_prefix, var_hex_ok
 from ..schema import FIXED_WIDTH_BYTES, LOGS_LANDED
 
 FLAT_COLUMNS = ["chain_id", "ingest_seq", "block_number", "block_hash", "timestamp",
@@ -88,7 +88,7 @@ def _fixed_reason(name: str, c: Column, width: int, required: bool = True) -> Co
     digits = strip_prefix(c)
     missing = c.isNull() if required else F.lit(False)
     return (F.when(missing, F.lit(f"{name}_missing"))
-            .when(~digits.rlike(r"^[0-9a-fA-F]*$"), F.lit(f"{name}_hex"))
+            .when(~hex_digits_ok(c), F.lit(f"{name}_hex"))
             .when(F.length(digits) > 2 * width, F.lit(f"{name}_length")))
 
 

@@ -60,3 +60,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if path.startswith("/"):
         os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
+
+
+def materialize(df, eager: bool = True):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    Used where one derived table feeds several branches of a plan (the ranked
+    streams of the batch engine): the branches then read the written table
+    instead of recomputing it, and the table keeps its hash partitioning, so
+    joins and aggregates on the same key do not shuffle it again.  Survives
+    executor loss (unlike a local checkpoint).
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=eager)
