@@ -116,15 +116,15 @@ def _requests(spark, sf_dir):
     return check_requests(FX.log_requests(spark, sf_dir), FX.chains(spark))
 
 
-def _ranked(spark, sf_dir):
-    from ..session import materialize
-    return materialize(B.rank_streams(tables.logs(spark, sf_dir), PAYLOAD, BATCH_BUCKET))
-
-
 def _plan(spark, sf_dir):
+    """Ranked streams of the requested topics/addresses and the per-request
+    bucket plan, each written once to the checkpoint folder (several branches
+    read them)."""
     from ..session import materialize
     ok, _ = _requests(spark, sf_dir)
-    ranked = _ranked(spark, sf_dir)
+    ok = materialize(ok)
+    ranked = materialize(B.rank_streams(tables.logs(spark, sf_dir), PAYLOAD, BATCH_BUCKET,
+                                        requests=ok))
     return ranked, ok, materialize(B.bucket_plan(ranked, ok, BATCH_BUCKET))
 
 

@@ -71,5 +71,14 @@ def materialize(df, eager: bool = True):
     joins and aggregates on the same key do not shuffle it again.  Survives
     executor loss (unlike a local checkpoint).
     """
+    from pyspark import StorageLevel
+
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    # without a persisted copy the checkpoint job would compute the plan a
+    # second time; the cache only lives until the checkpoint files exist
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=eager)
+    finally:
+        if eager:
+            df.unpersist()
