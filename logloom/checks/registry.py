@@ -788,3 +788,54 @@ def q_stream_dedup(spark, sf_dir):
     finally:
         q.stop()
     return compare_form(spark.read.schema(TB.LANDED_WITH_BATCH).parquet(out))
+
+
+# ---------------------------------------------------------------------------
+# chain tag (S13), single-page cursor (L7), micro-batch metrics
+# ---------------------------------------------------------------------------
+TAG_CHAIN = 10
+
+
+@register("tag_chain", with_views(f"""
+SELECT * FROM logs_landed WHERE chain_id = {TAG_CHAIN}
+""", "logs_landed"))
+def q_tag_chain(spark, sf_dir):
+    """Single-chain input carries no chain column; decode tags it."""
+    ev = FX.raw_events(spark, sf_dir).where(F.col("chain_id") == TAG_CHAIN).drop("chain_id") \
+        .withColumn("chain_id", F.lit(None).cast("bigint"))
+    good, _ = D.split_valid(D.decode_logs(D.flatten_events(ev), chain_id=TAG_CHAIN))
+    return compare_form(good, ["ingest_seq"])
+
+
+@register("page_cursor", with_views(f"""
+SELECT CAST(count(*) AS BIGINT) AS page_rows,
+  CASE WHEN count(*) >= {PAGE_LIMIT} THEN CAST(arg_max(block_number, pos) AS VARCHAR) || ':' ||
+       CAST(arg_max(log_index, pos) AS VARCHAR) END AS next_cursor
+FROM (SELECT block_number, log_index, block_number * 100000 + log_index AS pos FROM logs
+      WHERE chain_id = {PAGE_CHAIN} AND topic0 = lower('{PAGE_TOPIC[2:]}') AND block_number >= {PAGE_FROM}
+      ORDER BY block_number, log_index LIMIT {PAGE_LIMIT}) p
+""", "logs"))
+def q_page_cursor(spark, sf_dir):
+    page = Q.get_logs(tables.logs(spark, sf_dir), PAGE_CHAIN, PAGE_TOPIC, from_block=PAGE_FROM,
+                      limit=PAGE_LIMIT)
+    return Q.page_cursor(page, PAGE_LIMIT)
+
+
+@register("stream_metrics", None)
+def q_stream_metrics(spark, sf_dir):
+    """One row per micro-batch of a rate-limited ingest (T6) with the metrics
+    observed in flight (T9).  The metrics are a few numbers per batch."""
+    src = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-metrics"), 6)
+    landing = scratch_path(spark, "metrics-landing")
+    q = IN.ingest_stream(spark, src, landing, scratch_path(spark, "ckpt"), max_files_per_trigger=2,
+                         query_name=f"ingest_{abs(hash(landing)) % 10**8}")
+    q.awaitTermination()
+    rows = []
+    for p in q.recentProgress:
+        m = (p.get("observedMetrics") or {}).get(q.name) if isinstance(p, dict) else \
+            (p.observedMetrics or {}).get(q.name)
+        if m is not None:
+            get = m.get if isinstance(m, dict) else (lambda k, m=m: m[k])
+            rows.append((int(p["batchId"] if isinstance(p, dict) else p.batchId), int(get("rows")),
+                         int(get("good_rows")), int(get("max_block") or 0)))
+    return spark.createDataFrame(rows, "batch_id bigint, rows bigint, good_rows bigint, max_block bigint")
