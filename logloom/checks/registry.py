@@ -116,7 +116,7 @@ def _requests(spark, sf_dir):
     return check_requests(FX.log_requests(spark, sf_dir), FX.chains(spark))
 
 
-def _plan(spark, sf_dir):
+def _plan(spark, sf_dir, first_page_only=False):
     """Ranked streams of the requested topics/addresses and the per-request
     bucket plan, each written once to the checkpoint folder (several branches
     read them)."""
@@ -125,7 +125,8 @@ def _plan(spark, sf_dir):
     ok = materialize(ok)
     ranked = materialize(B.rank_streams(tables.logs(spark, sf_dir), PAYLOAD, BATCH_BUCKET,
                                         requests=ok))
-    return ranked, ok, materialize(B.bucket_plan(ranked, ok, BATCH_BUCKET))
+    plan = B.bucket_plan(ranked, ok, BATCH_BUCKET, first_page_only=first_page_only)
+    return ranked, ok, materialize(plan)
 
 
 @register("check_requests", with_views("""
@@ -172,7 +173,7 @@ SELECT request_id, n, block_number, log_index, address, data, topic0, transactio
 FROM req_matched WHERE n <= page_limit
 """, "req_matched"))
 def q_get_logs_batch(spark, sf_dir):
-    ranked, ok, plan = _plan(spark, sf_dir)
+    ranked, ok, plan = _plan(spark, sf_dir, first_page_only=True)
     rows = B.get_logs_batch(ranked, ok, BATCH_BUCKET, plan)
     return rows.select("request_id", "n", "block_number", "log_index", bare_hex("address"),
                        bare_hex("data"), bare_hex("topic0"), bare_hex("transaction_hash"))
@@ -186,7 +187,7 @@ FROM req_ok r LEFT JOIN req_matched m ON m.request_id = r.request_id AND m.n <=
 GROUP BY r.request_id, r.page_limit
 """, "req_matched"))
 def q_next_cursor(spark, sf_dir):
-    ranked, ok, plan = _plan(spark, sf_dir)
+    ranked, ok, plan = _plan(spark, sf_dir, first_page_only=True)
     pages = B.get_logs_batch(ranked, ok, BATCH_BUCKET, plan)
     return B.batch_cursors(pages, ok)
 

@@ -44,6 +44,18 @@ def flatten_events(events: DataFrame) -> DataFrame:
     )
 
 
+def select_fields(events: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """The 12 log + 2 block fields of nested events, flat (S4); ``cols``
+    narrows further (Catalyst prunes nested fields in the scan)."""
+    flat = flatten_events(events)
+    return flat.select(*cols) if cols else flat
+
+
+def tag_chain(df: DataFrame, chain_id: int) -> DataFrame:
+    """Constant chain column for single-chain input."""
+    return df.withColumn("chain_id", F.lit(chain_id).cast("bigint"))
+
+
 def topics_from_columns(t0="t0", t1="t1", t2="t2", t3="t3") -> Column:
     """Flat ``t0..t3`` -> topics array without NULLs (order kept)."""
     return F.filter(F.array(F.col(t0), F.col(t1), F.col(t2), F.col(t3)), lambda x: x.isNotNull())
@@ -99,7 +111,7 @@ def decode_logs(flat: DataFrame, chain_id: int | None = None) -> DataFrame:
     column already.
     """
     if chain_id is not None:
-        flat = flat.withColumn("chain_id", F.lit(chain_id).cast("bigint"))
+        flat = tag_chain(flat, chain_id)
     t0, t1, t2, t3 = split_topics(F.col("topics"))
     text = {
         "block_hash": F.col("block_hash"),

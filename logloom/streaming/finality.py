@@ -100,6 +100,16 @@ def plan_ranges_strict(safes: DataFrame, start=0) -> DataFrame:
                       F.col("v").alias("to_block"))
 
 
+def plan_ranges(safes: DataFrame, start=0, mode: str = "gapless") -> DataFrame:
+    """Block ranges to fetch per height event (T3); ``start`` is an int or a
+    DataFrame ``chain_id, start_block`` (e.g. ``chain_state``'s startBlock)."""
+    if mode == "gapless":
+        return plan_ranges_gapless(safes, start)
+    if mode == "strict":
+        return plan_ranges_strict(safes, start)
+    raise ValueError(f"unknown mode {mode!r}")
+
+
 def coverage_gaps(ranges: DataFrame, chunk_blocks: int = VALUE_CHUNK) -> DataFrame:
     """Blocks not covered by any ingested range, per chain.
 
