@@ -44,15 +44,22 @@ b AS (
     CASE WHEN l_discount > 0.075 THEN '0x' || sha256('t3:' || CAST(l_linenumber AS STRING)) END AS t3,
     (l_linestatus = 'F' AND l_tax > 0.075) AS removed
   FROM l)
+-- every log lands once; logs of every tenth block land again (a replay)
 SELECT chain_id, block_number, log_index, transaction_index, transaction_hash, address,
-       CASE WHEN s.ingest_seq = 2 THEN data || '01' ELSE data END AS data,
-       CAST(s.ingest_seq AS BIGINT) AS ingest_seq,
+       data, CAST(1 AS BIGINT) AS ingest_seq,
        t0, CASE WHEN t0 IS NOT NULL THEN t1 END AS t1,
        CASE WHEN t0 IS NOT NULL THEN t2 END AS t2,
        CASE WHEN t0 IS NOT NULL THEN t3 END AS t3,
        removed
-FROM b CROSS JOIN (SELECT 1 AS ingest_seq UNION ALL SELECT 2 AS ingest_seq) s
-WHERE s.ingest_seq = 1 OR block_number % 10 = 0
+FROM b
+UNION ALL
+SELECT chain_id, block_number, log_index, transaction_index, transaction_hash, address,
+       data || '01', CAST(2 AS BIGINT),
+       t0, CASE WHEN t0 IS NOT NULL THEN t1 END,
+       CASE WHEN t0 IS NOT NULL THEN t2 END,
+       CASE WHEN t0 IS NOT NULL THEN t3 END,
+       removed
+FROM b WHERE block_number % 10 = 0
 """)
 
 _view("logs_landed", """
