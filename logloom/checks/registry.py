@@ -852,3 +852,32 @@ def q_compact_incremental(spark, sf_dir):
     TB.compact_incremental(spark, landed.where(F.col("ingest_seq") == 2), served,
                            scratch_path(spark, "staging"), BATCH_BUCKET)
     return compare_form(TB.read_logs(spark, served))
+
+
+
+@register("served_batch", REGISTRY["get_logs_batch"][1])
+def q_served_batch(spark, sf_dir):
+    """Batched pages answered from the compacted table with its stored ranks."""
+    from ..session import materialize
+    served = TB.read_logs(spark, TB.compact_logs(tables.landed_logs(spark, sf_dir),
+                                                 scratch_path(spark, "served"), BATCH_BUCKET))
+    ok, _ = _requests(spark, sf_dir)
+    ok = materialize(ok)
+    ranked = materialize(B.served_streams(served, PAYLOAD, requests=ok))
+    plan = materialize(B.bucket_plan(ranked, ok, BATCH_BUCKET, first_page_only=True))
+    rows = B.get_logs_batch(ranked, ok, BATCH_BUCKET, plan)
+    return rows.select("request_id", "n", "block_number", "log_index", bare_hex("address"),
+                       bare_hex("data"), bare_hex("topic0"), bare_hex("transaction_hash"))
+
+
+@register("served_manifest", REGISTRY["page_manifest"][1])
+def q_served_manifest(spark, sf_dir):
+    """Page manifest answered from the compacted table with its stored ranks."""
+    from ..session import materialize
+    served = TB.read_logs(spark, TB.compact_logs(tables.landed_logs(spark, sf_dir),
+                                                 scratch_path(spark, "served"), BATCH_BUCKET))
+    ok, _ = _requests(spark, sf_dir)
+    ok = materialize(ok)
+    ranked = materialize(B.served_streams(served, PAYLOAD, requests=ok))
+    plan = materialize(B.bucket_plan(ranked, ok, BATCH_BUCKET))
+    return B.page_manifest(ranked, ok, BATCH_BUCKET, plan)

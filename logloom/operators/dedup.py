@@ -20,6 +20,12 @@ from ..schema import LOG_KEY
 
 
 def dedup_logs(landed: DataFrame, key: list[str] = LOG_KEY, keep_seq: bool = False) -> DataFrame:
+    """Keep the newest copy of every key.
+
+    Extra columns that are functions of the key (``block_bucket``) may be added
+    to ``key``; that lets an enclosing job reuse one exchange for this window
+    and its own windows.
+    """
     w = Window.partitionBy(*key).orderBy(F.col("ingest_seq").desc(),
                                          F.col("transaction_hash"), F.col("data"))
     out = landed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")

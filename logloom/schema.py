@@ -86,8 +86,12 @@ LOGS_LANDED = T.StructType(LOGS.fields + [
     T.StructField("ingest_seq", T.LongType(), False),
 ])
 
-# Stored layout: the landed schema plus the derived pruning column.
+# Stored layout: the landed schema, the stream ranks kept by compaction
+# (position of the row inside its (chain, topic0, bucket) and
+# (chain, topic0, address, bucket) streams) and the derived pruning column.
 LOGS_STORED = T.StructType(LOGS_LANDED.fields + [
+    T.StructField("topic_rank", T.LongType(), False),
+    T.StructField("address_rank", T.LongType(), False),
     T.StructField("block_bucket", T.LongType(), False),
 ])
 

@@ -82,3 +82,19 @@ def materialize(df, eager: bool = True):
     finally:
         if eager:
             df.unpersist()
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast ``df`` only after counting it; above ``max_rows`` keep the
+    shuffle join (AQE may still switch on measured sizes).
+
+    Meant for key tables derived from a request table: usually tiny, but a
+    request table has no size bound of its own.  ``df`` should be cheap to
+    count (checkpointed or small).
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -15,13 +15,13 @@ Layout (SURVEY §4.3):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dedup import dedup_logs
 from ..plans.tables import with_bucket
-from ..schema import DEFAULT_BUCKET_BLOCKS, FLUSH_ROWS, LOGS_LANDED, LOGS_STORED
+from ..schema import DEFAULT_BUCKET_BLOCKS, FLUSH_ROWS, LOG_KEY, LOGS_LANDED, LOGS_STORED
 
 LANDED_WITH_BATCH = T.StructType(LOGS_LANDED.fields + [T.StructField("batch_id", T.LongType(), True)])
 BLOOM_NDV = 50_000  # distinct addresses per file the address bloom filter is sized for
@@ -80,12 +80,36 @@ def layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.sortWithinPartitions(*SORT_KEY)
 
 
+def served_rows(landed: DataFrame, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
+    """Keep-last rows with ``block_bucket`` and the two stream ranks.
+
+    All three windows (keep-last on the log key, rank in the topic stream,
+    rank in the topic+address stream) are clustered by a superset of
+    ``(chain_id, topic0, block_bucket)``, so Spark satisfies them with a
+    single hash exchange on those columns.  A group is at most one bucket of
+    one topic, however hot the topic.
+    """
+    rows = with_bucket(landed, bucket_blocks).repartition("chain_id", "topic0", "block_bucket")
+    rows = dedup_logs(rows, key=[*LOG_KEY, "block_bucket"], keep_seq=True)
+    pos = ["block_number", "log_index"]
+    w_topic = Window.partitionBy("chain_id", "topic0", "block_bucket").orderBy(*pos)
+    w_addr = Window.partitionBy("chain_id", "topic0", "block_bucket", "address").orderBy(*pos)
+    rows = rows.withColumn("topic_rank", F.row_number().over(w_topic).cast("bigint")) \
+        .withColumn("address_rank", F.row_number().over(w_addr).cast("bigint"))
+    return rows.select(*[f.name for f in LOGS_STORED.fields])
+
+
 def compact_logs(landed: DataFrame, dst: str, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS,
                  partitions: int | None = None, expected_ndv: int = BLOOM_NDV) -> str:
-    """Keep-last + layout + write the served table to a fresh ``dst`` (S16+S17)."""
-    rows = with_bucket(dedup_logs(landed, keep_seq=True), bucket_blocks)
-    rows = rows.select(*[f.name for f in LOGS_STORED.fields])
-    _writer(layout(rows, partitions), expected_ndv).mode("errorifexists").parquet(dst)
+    """Keep-last + stream ranks + layout, written to a fresh ``dst`` (S16+S17).
+
+    Two exchanges: one on ``(chain_id, topic0, block_bucket)`` for the three
+    windows of :func:`served_rows`, one ``rebalance`` on the output partition
+    columns so each ``(chain, bucket)`` directory gets a few large files instead
+    of one small file per task (AQE splits a skewed bucket).
+    """
+    rows = layout(served_rows(landed, bucket_blocks), partitions)
+    _writer(rows, expected_ndv).mode("errorifexists").parquet(dst)
     return dst
 
 
@@ -102,12 +126,15 @@ def compact_incremental(spark: SparkSession, new_landed: DataFrame, served: str,
 
     Never reads and overwrites the same path in one job.
     """
-    new = with_bucket(new_landed, bucket_blocks).select(*[f.name for f in LOGS_STORED.fields])
+    new = with_bucket(new_landed, bucket_blocks).select(*[f.name for f in LOGS_LANDED.fields],
+                                                         "block_bucket")
     touched = new.select("chain_id", "block_bucket").distinct()
-    old = read_logs(spark, served).join(touched, ["chain_id", "block_bucket"], "left_semi")
-    merged = dedup_logs(old.unionByName(new), keep_seq=True)
-    merged = merged.select(*[f.name for f in LOGS_STORED.fields])
-    _writer(layout(merged, partitions), BLOOM_NDV).mode("errorifexists").parquet(staging)
+    old = read_logs(spark, served).join(touched, ["chain_id", "block_bucket"], "left_semi") \
+        .select(*new.columns)
+    # ranks are recomputed over whole touched partitions (old rows + new)
+    merged = served_rows(old.unionByName(new).drop("block_bucket"), bucket_blocks)
+    merged = layout(merged, partitions)
+    _writer(merged, BLOOM_NDV).mode("errorifexists").parquet(staging)
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
