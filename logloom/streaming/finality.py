@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import split_height_events
 from ..operators.scan import running_agg
+from ..session import materialize
 
 SEQ_CHUNK = 100_000      # events per chunk of the running max
 VALUE_CHUNK = 1_000_000  # block numbers per chunk of the value-ordered scans
@@ -81,8 +82,14 @@ def plan_ranges_gapless(safes: DataFrame, start=0) -> DataFrame:
 
 
 def plan_ranges_strict(safes: DataFrame, start=0) -> DataFrame:
-    """``chain_id, seq, from_block, to_block`` for the strict mode."""
-    r = _records(safes, start).select("chain_id", "seq", F.col("safe").alias("v"), "_start")
+    """``chain_id, seq, from_block, to_block`` for the strict mode.
+
+    Each running aggregate reads its input twice (rows and chunk totals), so
+    stacked ones multiply the plan; the records (one row per new high) and
+    the run starts are written once with a reliable checkpoint in between.
+    """
+    r = materialize(_records(safes, start).select("chain_id", "seq", F.col("safe").alias("v"),
+                                                  "_start"))
     virtual = r.groupBy("chain_id").agg(F.first("_start").alias("_start")).select(
         "chain_id", F.lit(None).cast("bigint").alias("seq"), (F.col("_start") - 1).alias("v"),
         "_start")
@@ -92,7 +99,7 @@ def plan_ranges_strict(safes: DataFrame, start=0) -> DataFrame:
     s = s.withColumn("_run_mark", F.when(F.col("_has_prev").isNull(), F.col("v")))
     vchunk = F.floor(F.col("v") / VALUE_CHUNK)
     s = running_agg(s, ["chain_id"], ["v"], "_run_mark", vchunk, "max", True, "_run_start")
-    s = s.withColumn("_picked", ((F.col("v") - F.col("_run_start")) % 2) == 0)
+    s = materialize(s.withColumn("_picked", ((F.col("v") - F.col("_run_start")) % 2) == 0))
     s = running_agg(s, ["chain_id"], ["v"], F.when(F.col("_picked"), F.col("v")), vchunk, "max",
                     inclusive=False, out="_prev_pick")
     out = s.where(F.col("_picked") & F.col("seq").isNotNull())
