@@ -881,3 +881,18 @@ def q_served_manifest(spark, sf_dir):
     ranked = materialize(B.served_streams(served, PAYLOAD, requests=ok))
     plan = materialize(B.bucket_plan(ranked, ok, BATCH_BUCKET))
     return B.page_manifest(ranked, ok, BATCH_BUCKET, plan)
+
+
+
+@register("served_chain_stats", with_views("""
+SELECT c.chain_id, CAST(count(l.chain_id) AS BIGINT) AS total,
+       CAST(coalesce(max(l.block_number), 0) AS BIGINT) AS maxIndexedBlock
+FROM chains c LEFT JOIN logs l ON l.chain_id = c.chain_id GROUP BY c.chain_id
+""", "chains", "logs"))
+def q_served_chain_stats(spark, sf_dir):
+    """Per-chain count and height of the compacted table, answered from
+    Parquet footers (one partition-filtered aggregate per configured chain)."""
+    from ..plans.stats import chain_stats
+    served = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
+                             BATCH_BUCKET)
+    return chain_stats(spark, served, [c for c, _name, _margin in FX.FIXTURE_CHAINS])

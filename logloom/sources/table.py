@@ -42,10 +42,25 @@ def read_landed(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(LANDED_WITH_BATCH).parquet(root)
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, footer_aggregates: bool = False) -> DataFrame:
     """The served table (S19); ``chain_id``/``block_bucket`` are partition
-    columns typed by the declared schema."""
-    return spark.read.schema(LOGS_STORED).parquet(path)
+    columns typed by the declared schema.
+
+    ``footer_aggregates=True`` binds the read to the DataSource V2 Parquet
+    scan, which answers ``count``/``min``/``max`` (optionally under a
+    partition filter) from file footers without reading rows.  The choice is
+    made when the relation is created, so the session setting is restored
+    right after.
+    """
+    if not footer_aggregates:
+        return spark.read.schema(LOGS_STORED).parquet(path)
+    key = "spark.sql.sources.useV1SourceList"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, ",".join(x for x in prev.split(",") if x.strip() != "parquet"))
+    try:
+        return spark.read.schema(LOGS_STORED).parquet(path)
+    finally:
+        spark.conf.set(key, prev)
 
 
 def _writer(df: DataFrame, expected_ndv: int):

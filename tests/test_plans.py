@@ -44,3 +44,15 @@ def test_footprint_reads_footers_only(spark):
     fp = TB.storage_footprint(spark, dst).collect()
     assert sum(r.rows for r in fp) == tables.logs(spark, SF_SMALL).count()
     assert all(r.compressed_bytes > 0 for r in fp)
+
+
+def test_chain_stats_from_footers(spark):
+    from logloom.plans.stats import chain_stats
+    dst = TB.compact_logs(tables.landed_logs(spark, SF_SMALL), scratch_path(spark, "t-served"), 1000)
+    st = chain_stats(spark, dst, [1, 10])
+    assert "PushedAggregation: [COUNT(*), MAX(block_number)]" in _plan(st)
+    got = {r.chain_id: (r.total, r.maxIndexedBlock) for r in st.collect()}
+    logs = tables.logs(spark, SF_SMALL)
+    for c in (1, 10):
+        sub = logs.where(f"chain_id = {c}")
+        assert got[c] == (sub.count(), sub.agg({"block_number": "max"}).collect()[0][0])
