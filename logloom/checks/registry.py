@@ -18,9 +18,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import formatting as FM
+from ..functions import hexcodec as H
+from ..functions.cursor import decode_cursor
+from ..functions.cursor import encode_cursor
 from ..functions.hexcodec import bare_hex
+from ..operators import aggregates as A
+from ..operators import decode as D
+from ..operators import filters as P
+from ..operators.dedup import dedup_logs
+from ..operators.filters import known_chain
+from ..operators.requests import check_requests
+from ..plans import batch as B
+from ..plans import export as X
 from ..plans import query as Q
 from ..plans import tables
+from ..plans.stats import chain_stats
+from ..plans.stats import log_stats_report
+from ..session import materialize
+from ..session import scratch_path
+from ..sources import fixtures as FX
+from ..sources import table as TB
+from ..streaming import finality as FN
+from ..streaming import ingest as IN
 from .fixture_sql import with_views
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -103,9 +123,6 @@ def q_get_logs_page(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # requests: validation, batched pages, cursors, manifests, point lookups
 # ---------------------------------------------------------------------------
-from ..operators.requests import check_requests  # noqa: E402
-from ..plans import batch as B  # noqa: E402
-from ..sources import fixtures as FX  # noqa: E402
 
 BATCH_BUCKET = 1_000  # blocks per bucket in the fixture (orders are blocks)
 PAYLOAD = ["block_hash", "timestamp", "transaction_hash", "transaction_index", "data",
@@ -120,7 +137,6 @@ def _plan(spark, sf_dir, first_page_only=False):
     """Ranked streams of the requested topics/addresses and the per-request
     bucket plan, each written once to the checkpoint folder (several branches
     read them)."""
-    from ..session import materialize
     ok, _ = _requests(spark, sf_dir)
     ok = materialize(ok)
     ranked = materialize(B.rank_streams(tables.logs(spark, sf_dir), PAYLOAD, BATCH_BUCKET,
@@ -150,7 +166,6 @@ def q_check_requests(spark, sf_dir):
 SELECT request_id, chain_id FROM log_requests WHERE chain_id IN (SELECT chain_id FROM chains)
 """, "log_requests", "chains"))
 def q_known_chain(spark, sf_dir):
-    from ..operators.filters import known_chain
     ok, _unknown = known_chain(FX.log_requests(spark, sf_dir), FX.chains(spark))
     return ok.select("request_id", "chain_id")
 
@@ -162,7 +177,6 @@ SELECT request_id, cursor,
 FROM log_requests WHERE cursor IS NOT NULL
 """, "log_requests"))
 def q_decode_cursor(spark, sf_dir):
-    from ..functions.cursor import decode_cursor
     r = FX.log_requests(spark, sf_dir).where(F.col("cursor").isNotNull())
     b, i = decode_cursor("cursor")
     return r.select("request_id", "cursor", b.alias("cursor_block"), i.alias("cursor_log_index"))
@@ -241,9 +255,6 @@ def q_get_log_batch(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # sources and decode steps
 # ---------------------------------------------------------------------------
-from ..functions import hexcodec as H  # noqa: E402
-from ..operators import decode as D  # noqa: E402
-from ..operators import filters as P  # noqa: E402
 
 RANGE_LO, RANGE_HI = 1000, 5000
 
@@ -419,8 +430,6 @@ def q_height_events(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # projections and scalar functions
 # ---------------------------------------------------------------------------
-from ..functions import formatting as FM  # noqa: E402
-from ..functions.cursor import encode_cursor  # noqa: E402
 
 
 @register("hex_projection", with_views("""
@@ -522,7 +531,6 @@ def q_ratio_round(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # aggregates, stats, chains
 # ---------------------------------------------------------------------------
-from ..operators import aggregates as A  # noqa: E402
 
 
 @register("log_height", with_views("""
@@ -602,7 +610,6 @@ def q_ingest_progress(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # finality and range planning
 # ---------------------------------------------------------------------------
-from ..streaming import finality as FN  # noqa: E402
 
 
 def _safes(spark, sf_dir):
@@ -677,11 +684,6 @@ def q_coverage_gaps(spark, sf_dir):
 # storage, export, streaming ingest
 # Scratch output goes under the session's checkpoint folder.
 # ---------------------------------------------------------------------------
-from ..plans import export as X  # noqa: E402
-from ..plans.stats import log_stats_report  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import table as TB  # noqa: E402
-from ..streaming import ingest as IN  # noqa: E402
 
 
 @register("raw_source_json", REGISTRY["select_fields"][1])
@@ -708,7 +710,6 @@ def q_replay_converges(spark, sf_dir):
     TB.append_logs(landed.where(F.col("ingest_seq") == 1), root, 1)
     TB.append_logs(landed, root, 2)
     TB.append_logs(landed.where(F.col("ingest_seq") == 1), root, 1)
-    from ..operators.dedup import dedup_logs
     return compare_form(dedup_logs(TB.read_landed(spark, root).drop("batch_id")))
 
 
@@ -762,7 +763,6 @@ def q_stream_ingest(spark, sf_dir):
     src = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-stream"), 8)
     landing = scratch_path(spark, "stream-landing")
     _run_stream(spark, src, landing)
-    from ..operators.dedup import dedup_logs
     return compare_form(dedup_logs(TB.read_landed(spark, landing).drop("batch_id")))
 
 
@@ -854,11 +854,9 @@ def q_compact_incremental(spark, sf_dir):
     return compare_form(TB.read_logs(spark, served))
 
 
-
 @register("served_batch", REGISTRY["get_logs_batch"][1])
 def q_served_batch(spark, sf_dir):
     """Batched pages answered from the compacted table with its stored ranks."""
-    from ..session import materialize
     served = TB.read_logs(spark, TB.compact_logs(tables.landed_logs(spark, sf_dir),
                                                  scratch_path(spark, "served"), BATCH_BUCKET))
     ok, _ = _requests(spark, sf_dir)
@@ -873,7 +871,6 @@ def q_served_batch(spark, sf_dir):
 @register("served_manifest", REGISTRY["page_manifest"][1])
 def q_served_manifest(spark, sf_dir):
     """Page manifest answered from the compacted table with its stored ranks."""
-    from ..session import materialize
     served = TB.read_logs(spark, TB.compact_logs(tables.landed_logs(spark, sf_dir),
                                                  scratch_path(spark, "served"), BATCH_BUCKET))
     ok, _ = _requests(spark, sf_dir)
@@ -883,7 +880,6 @@ def q_served_manifest(spark, sf_dir):
     return B.page_manifest(ranked, ok, BATCH_BUCKET, plan)
 
 
-
 @register("served_chain_stats", with_views("""
 SELECT c.chain_id, CAST(count(l.chain_id) AS BIGINT) AS total,
        CAST(coalesce(max(l.block_number), 0) AS BIGINT) AS maxIndexedBlock
@@ -892,7 +888,6 @@ FROM chains c LEFT JOIN logs l ON l.chain_id = c.chain_id GROUP BY c.chain_id
 def q_served_chain_stats(spark, sf_dir):
     """Per-chain count and height of the compacted table, answered from
     Parquet footers (one partition-filtered aggregate per configured chain)."""
-    from ..plans.stats import chain_stats
     served = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
                              BATCH_BUCKET)
     return chain_stats(spark, served, [c for c, _name, _margin in FX.FIXTURE_CHAINS])
