@@ -60,7 +60,9 @@ def final_logs(logs: DataFrame, ceilings: DataFrame) -> DataFrame:
 
 def _starts(safes: DataFrame, start) -> DataFrame:
     if isinstance(start, DataFrame):
-        s = start.select("chain_id", F.col("start_block").cast("bigint").alias("_start"))
+        # per-chain start points, e.g. chain_state()'s resume block (T4)
+        col = "start_block" if "start_block" in start.columns else "startBlock"
+        s = start.select("chain_id", F.col(col).cast("bigint").alias("_start"))
         return safes.join(F.broadcast(s), "chain_id", "left") \
             .withColumn("_start", F.coalesce(F.col("_start"), F.lit(0).cast("bigint")))
     return safes.withColumn("_start", F.lit(int(start)).cast("bigint"))
