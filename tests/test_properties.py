@@ -112,3 +112,18 @@ def test_stored_ranks_survive_incremental_compaction(spark):
     a, b = stored.select(*cols), fresh.select(*cols)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0
+
+
+def test_resume_from_chain_state(spark):
+    """Planning from the resume point of chain_state equals planning from the
+    same numbers given explicitly (T4)."""
+    from logloom.operators.aggregates import chain_state
+    safes = FN.safe_ceiling(FX.height_events(spark, SF_SMALL), FX.chains(spark))
+    state = chain_state(tables.logs(spark, SF_SMALL))
+    starts = {r.chain_id: r.startBlock for r in state.collect()}
+    got = FN.plan_ranges(safes, state, "strict").collect()
+    rows = [(r.seq, r.chain_id, r.safe) for r in safes.collect()]
+    for chain, start in starts.items():
+        seq_safes = sorted((s, v) for s, c, v in rows if c == chain)
+        want = _fold(seq_safes, start, True)
+        assert sorted((r.seq, r.from_block, r.to_block) for r in got if r.chain_id == chain) == want
