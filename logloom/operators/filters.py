@@ -17,6 +17,14 @@ from ..functions.hexcodec import hex_literal
 from ..schema import DEFAULT_BUCKET_BLOCKS
 
 
+def _check_hex(value: str, width: int, what: str) -> str:
+    """Validate a request literal: optional ``0x``, 0..2*width hex digits."""
+    digits = value[2:] if value[:2] in ("0x", "0X") else value
+    if len(digits) > 2 * width or any(c not in "0123456789abcdefABCDEF" for c in digits):
+        raise ValueError(f"invalid {what}: {value!r}")
+    return value
+
+
 def _bucketed(df: DataFrame) -> bool:
     return "block_bucket" in df.columns
 
@@ -31,16 +39,16 @@ def by_chain(df: DataFrame, chain_id: int) -> DataFrame:
 
 def by_topic0(df: DataFrame, topic_hex: str) -> DataFrame:
     """Required topic; any case, any length up to 32 bytes (left-padded)."""
-    return df.where(F.col("topic0") == hex_literal(topic_hex, 32))
+    return df.where(F.col("topic0") == hex_literal(_check_hex(topic_hex, 32, "topic"), 32))
 
 
 def by_address(df: DataFrame, address_hex: str | None) -> DataFrame:
     """Optional emitting address; ``None`` adds no clause."""
     if address_hex is None:
         return df
-    if address_hex == "":
+    if address_hex in ("", "0x", "0X"):
         raise ValueError("empty address: pass None for no address filter")
-    return df.where(F.col("address") == hex_literal(address_hex, 20))
+    return df.where(F.col("address") == hex_literal(_check_hex(address_hex, 20, "address"), 20))
 
 
 def from_block(df: DataFrame, n: int | None, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:

@@ -33,3 +33,18 @@ def test_hex_round_trip(spark):
     df = spark.createDataFrame([("0x00ff",), ("0x",), (None,)], "h string")
     out = [r.x for r in df.select(hex_col(hex_to_bytes("h"), "x")).collect()]
     assert out == ["0x00ff", "0x", None]
+
+
+def test_bad_request_literals_raise(spark):
+    import pytest
+
+    from logloom.operators import filters as P
+    df = spark.createDataFrame([(b"\x00" * 32, b"\x00" * 20)], "topic0 binary, address binary")
+    with pytest.raises(ValueError):
+        P.by_topic0(df, "0xzz")
+    with pytest.raises(ValueError):
+        P.by_topic0(df, "0x" + "1" * 65)
+    with pytest.raises(ValueError):
+        P.by_address(df, "")
+    assert P.by_topic0(df, "0x0").count() == 1
+    assert P.by_address(df, "0X0").count() == 1
