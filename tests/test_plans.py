@@ -56,3 +56,14 @@ def test_chain_stats_from_footers(spark):
     for c in (1, 10):
         sub = logs.where(f"chain_id = {c}")
         assert got[c] == (sub.count(), sub.agg({"block_number": "max"}).collect()[0][0])
+
+
+def test_stats_report_footer_path_equals_scan(spark):
+    from logloom.plans.stats import log_stats_report
+    dst = TB.compact_logs(tables.landed_logs(spark, SF_SMALL), scratch_path(spark, "t-served"), 1000)
+    tips, chains = FX.chain_tips(spark, SF_SMALL), FX.chains(spark)
+    ids = [c for c, _n, _m in FX.FIXTURE_CHAINS]
+    a = log_stats_report(spark, dst, tips, chains).collect()
+    b = log_stats_report(spark, dst, tips, chains, chain_ids=ids)
+    assert "PushedAggregation: [COUNT(*), MAX(block_number)]" in _plan(b)
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b.collect()))
