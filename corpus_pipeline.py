@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import exact_dedup
+from logloom.llm import exact_dedup, mixing, packing
 from logloom.llm.common import read, written
 
 
@@ -18,8 +18,20 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the weighted fair queue takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their place in a sequence."""
+    return packing.packed_documents(docs)
+
+
 STAGES = [
     ("exact_dedup", exact_stage),
+    ("mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 #: the near-duplicate and scoring stages have no SQL form; tests hold the

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import exact_dedup
+from logloom.llm import exact_dedup, mixing, packing
 from logloom.llm.common import read
 
 
@@ -14,6 +14,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_exact_dedup": (op3_exact_dedup, exact_dedup.SQL),
+    "op6_mix_sources": (op6_mix_sources, mixing.SQL),
+    "op7_best_fit_packing": (op7_best_fit_packing, None),
 }
