@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import exact_dedup, mixing, packing
+from logloom.llm import chosen_path, exact_dedup, mixing, packing
 from logloom.llm.common import read, written
 
 
@@ -18,6 +18,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the smallest doc_id."""
+    return chosen_path.drop_near_copies(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the weighted fair queue takes it."""
     return mixing.mixed_documents(docs)
@@ -30,6 +35,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("exact_dedup", exact_stage),
+    ("minhash_near_dedup", near_stage),
     ("mixing", mixing_stage),
     ("best_fit_packing", packing_stage),
 ]

@@ -160,8 +160,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     ided = docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
     rows = written(group_copies(ided, "doc_id", "__row"), "copies")
     key = ["fp", "n_bytes", "variant"]
-    best = rows.groupBy(*key).agg(
-        F.max(F.struct("doc_id", "__row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that both sides of the join are plain exchanges and a hot group can be split
+    best = written(rows.groupBy(*key).agg(
+        F.max(F.struct("doc_id", "__row")).alias("best"), F.count(F.lit(1)).alias("group_size")), "best-copies")
     return (rows.join(best, key)
             .select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
                     (F.col("__row") == F.col("best.__row")).alias("kept"), F.col("sha").alias("text_sha256")))
