@@ -9,10 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import chosen_path, exact_dedup, mixing, packing
+from logloom.llm import chosen_path, exact_dedup, mixing, packing, toxicity
 from logloom.llm.common import read, written
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model (learned from ``labels``) predicts toxic go."""
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays: the largest doc_id."""
     return exact_dedup.drop_copies(docs)
@@ -34,6 +39,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("exact_dedup", exact_stage),
     ("minhash_near_dedup", near_stage),
     ("mixing", mixing_stage),

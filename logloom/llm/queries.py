@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import chosen_path, exact_dedup, mixing, packing
+from logloom.llm import chosen_path, exact_dedup, mixing, packing, toxicity
 from logloom.llm.common import read
 
 
@@ -26,9 +26,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_minhash_near_dedup": (op2_minhash_near_dedup, None),
     "op3_exact_dedup": (op3_exact_dedup, exact_dedup.SQL),
     "op6_mix_sources": (op6_mix_sources, mixing.SQL),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
+    "op9_toxicity": (op9_toxicity, None),
 }
