@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import chosen_path, exact_dedup, mixing, packing, toxicity
+from logloom.llm import chosen_path, exact_dedup, mixing, packing, secret_scan, toxicity, url_filter
 from logloom.llm.common import read
 
 
@@ -26,14 +26,24 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_report(read(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_report(read(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_minhash_near_dedup": (op2_minhash_near_dedup, None),
     "op3_exact_dedup": (op3_exact_dedup, exact_dedup.SQL),
     "op6_mix_sources": (op6_mix_sources, mixing.SQL),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
+    "op8_url_filter": (op8_url_filter, url_filter.sql()),
     "op9_toxicity": (op9_toxicity, None),
+    "op10_secret_scan": (op10_secret_scan, secret_scan.sql()),
 }
