@@ -7,6 +7,8 @@ tasks work on UTF-8 bytes; SQL expressions use the same character class.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +72,12 @@ def schema_of(ddl: str) -> pa.Schema:
     return pa.schema([(name.strip().strip("`"), _TYPES[kind]) for name, kind in pairs])
 
 
+def worker_memory() -> dict:
+    """A dict that lives as long as the Python worker, which Spark uses for
+    many tasks one after another.  For memories of bounded size only."""
+    return vars(sys.modules.setdefault("_logloom_worker_memory", types.ModuleType("_logloom_worker_memory")))
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash; forgets everything once it holds ``most``."""
 

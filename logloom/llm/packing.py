@@ -7,9 +7,8 @@ final; underfull bins go on as items of the next round, dealt anew into
 groups, until one group has packed them or a round merges nothing.  No task
 ever holds more than a group, whatever the number of documents.
 
-A text is tokenised word by word (``bytes.split``) with a bounded memory of
-words seen: the tokenizer drops white space before it looks for pieces, so
-the ids of a text are those of its words, joined.
+Texts are tokenised with a bounded memory of the words and pieces of words
+seen (:class:`TokenIds`), whose ids joined are the ids of the text.
 
 Defined cases: null text is empty and gives the end id alone; documents longer
 than ``capacity`` are cut from the front, the last piece may be shorter;
@@ -18,6 +17,9 @@ repeated rows are packed each for itself; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import batch_of, batches, schema_of, text_bytes, written
+from logloom.llm.common import GOLD, batch_of, batches, mixed, schema_of, text_bytes, worker_memory, written
 
 CAPACITY = 4096
 END_ID = 1
-#: items of a packing group, and words a task remembers
+#: items of a packing group, and words or pieces of words a worker remembers (under 300 MB)
 GROUP = 20_000
-MOST_WORDS = 400_000
+MOST_KNOWN = 1_500_000
 #: a bin with less room than this is nearly full
 NEARLY = 8
+#: bytes whose words are hashed at once
+BLOCK = 1 << 20
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
@@ -45,45 +49,173 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Token ids of words, remembered until ``most`` words are known."""
-
-    def __init__(self, path: str, most: int = MOST_WORDS) -> None:
-        from tokenizers import Tokenizer
-
-        self.tok, self.most = Tokenizer.from_file(path), most
-        self.reset()
-
-    def reset(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.lens: list[int] = []
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        new = list({w for words in texts for w in words if w not in self.at})
-        if len(self.at) + len(new) > self.most:
-            self.reset()
-            new = list({w for words in texts for w in words})
-        for k in range(0, len(new), 10_000):
-            some = new[k:k + 10_000]
-            got = [e.ids for e in self.tok.encode_batch([w.decode() for w in some], add_special_tokens=False)]
-            self.at.update(zip(some, range(len(self.at), len(self.at) + len(some))))
-            self.lens.extend(map(len, got))
-            self.parts.append(np.array([i for ids in got for i in ids], np.uint32))
-        self.flat = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
-        self.parts = [self.flat]
-        self.length = np.array(self.lens, np.int64)
+#: Words of these characters only are cut into pieces here; others are given
+#: to the tokenizer whole.  (ASCII and the Latin-1 letters: no normalisation,
+#: one-to-one lower case.)
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: fixed value: the tokenizer's own pieces, for lower-cased plain words
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+_RAW = "\0"
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: base of the words' polynomial hash (odd, so that it has an inverse)
+_BASE = 0x9E6F0F2D3C1B5A8F
+_power = np.zeros(0, np.uint64)
+_inverse = _power
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of every word, all at once: differences of
+    the running polynomial, shifted back to the word's start.  Two of a task's
+    at most about a million remembered words share a hash with probability 1e-7."""
+    global _power, _inverse
+    raw = np.frombuffer(data, np.uint8)
+    if len(raw) > len(_power):
+        grown = [np.full(len(raw), b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for x in grown:
+            x[0] = 1
+        _power, _inverse = map(np.cumprod, grown)
+    space = np.concatenate([[True], _IS_SPACE[raw], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    run = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power[:len(raw)], out=run[1:])
+    h = (run[ends] - run[starts]) * _inverse[starts]
+    return starts, ends, mixed(h ^ ((ends - starts).astype(np.uint64) * GOLD))
+
+
+class _Numbers(dict):
+    """Numbers keys in the order they come; ``new`` lists those not yet learned."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self.new.append(key)
+        n = self[key] = len(self)
+        return n
+
+
+class _Rows:
+    """Ragged rows of numbers, in one flat array."""
+
+    def __init__(self) -> None:
+        self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.begin = self.length
+
+    def add(self, flat: list[np.ndarray], length: list[np.ndarray]) -> None:
+        self.flat, self.length = np.concatenate([self.flat, *flat]), np.concatenate([self.length, *length])
         self.begin = np.cumsum(self.length) - self.length
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of known words and the end id."""
-        k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+    def joined(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows ``k`` one after another, and their lengths."""
         n = self.length[k]
-        out = np.empty(int(n.sum()) + 1, np.uint32)
         shift = np.cumsum(n) - n
-        out[:-1] = self.flat[np.repeat(self.begin[k] - shift, n) + np.arange(len(out) - 1)]
-        out[-1] = END_ID
-        return out
+        return self.flat[np.repeat(self.begin[k] - shift, n) + np.arange(int(n.sum()))], n
+
+
+class TokenIds:
+    """Token ids of texts, with a memory of words and of pieces of words.
+
+    The tokenizer lower-cases, drops white space and cuts a text into pieces
+    (runs of letters, digits, runs of signs) that it encodes each for itself,
+    so a word's ids are those of its pieces and a text's those of its words.
+    A piece's last token, and no other, is one that ends a word.  Each memory
+    is emptied when it holds more than ``most``."""
+
+    def __init__(self, path: str, most: int = MOST_KNOWN) -> None:
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.tok, self.most = Tokenizer.from_str(json.dumps(made)), most
+        # the same model over pieces that are cut and lower-cased already
+        made["normalizer"] = None
+        made["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.piece_tok = Tokenizer.from_str(json.dumps(made))
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words, self.word_ids, self.pieces, self.piece_ids = {}, _Rows(), _Numbers(), _Rows()
+
+    def _learn_pieces(self) -> None:
+        flat, length = [], []
+        new, self.pieces.new = self.pieces.new, []
+        at = 0
+        while at < len(new):
+            if new[at].startswith(_RAW):
+                ids = np.array(self.tok.encode(new[at][1:], add_special_tokens=False).ids, np.uint32)
+                flat.append(ids)
+                length.append(np.array([len(ids)], np.int64))
+                at += 1
+                continue
+            some = list(itertools.takewhile(lambda x: not x.startswith(_RAW), new[at:at + 256]))
+            ids = np.array(self.piece_tok.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            assert len(last) == len(some), "a piece without one last token"
+            flat.append(ids)
+            length.append(np.diff(last, prepend=-1))
+            at += len(some)
+        self.piece_ids.add(flat, length)
+
+    def _learn_words(self, new: list[bytes]) -> None:
+        numbers, count, number = [], [], self.pieces.__getitem__
+        for w in new:
+            x = w.decode()
+            if _PLAIN.fullmatch(x) and "<|" not in x:
+                got = _PIECE.findall(x.lower())
+                numbers.extend(map(number, got))
+                count.append(len(got))
+            else:
+                numbers.append(number(_RAW + x))
+                count.append(1)
+        self._learn_pieces()
+        flat, n = self.piece_ids.joined(np.array(numbers, np.int64))
+        ends = np.cumsum(count)
+        total = np.concatenate([[0], np.cumsum(n)])
+        self.word_ids.add([flat], [total[ends] - total[ends - count]])
+
+    def _numbers(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of every word of ``data``; learns those not known."""
+        starts, ends, h = word_hashes(data)
+        kinds, first, back = np.unique(h, return_index=True, return_inverse=True)
+        numbers, new, known = [], [], self.words
+        for x, a, b in zip(kinds.tolist(), starts[first].tolist(), ends[first].tolist()):
+            n = known.get(x)
+            if n is None:
+                n = known[x] = len(known)
+                new.append(data[a:b])
+            numbers.append(n)
+        if new:
+            self._learn_words(new)
+        return starts, np.array(numbers, np.int64)[back]
+
+    def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Each text's ids and the end id."""
+        if len(self.words) > self.most:
+            self.words, self.word_ids = {}, _Rows()
+        if len(self.pieces) > self.most:
+            self.pieces, self.piece_ids = _Numbers(), _Rows()
+        data = b"\n".join(texts)
+        starts, numbers, at = [], [], 0
+        while at < len(data):  # blocks end at white space
+            end = _SPACE.search(data, min(at + BLOCK, len(data)))
+            end = end.start() if end else len(data)
+            some, k = self._numbers(data[at:end])
+            starts.append(some + at)
+            numbers.append(k)
+            at = max(end, at + 1)
+        starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        numbers = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        ends = np.cumsum([len(x) + 1 for x in texts])
+        cut = np.searchsorted(starts, ends)
+        begin = 0
+        for stop in cut.tolist():
+            yield np.append(self.word_ids.joined(numbers[begin:stop])[0], np.uint32(END_ID))
+            begin = stop
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
@@ -95,16 +227,15 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        schema, known = schema_of(PIECES), WordIds(path)
+        schema = schema_of(PIECES)
+        known = worker_memory().get(("token ids", path)) or TokenIds(path)
+        worker_memory()["token ids", path] = known
 
         def rows():
             for big in it:
-                for at in range(0, big.num_rows, 500):
-                    b = big.slice(at, 500)
-                    texts = [x.split() for x in text_bytes(b.column(1))]
-                    known.learn(texts)
-                    for doc, words in zip(b.column(0).to_pylist(), texts):
-                        ids = known.ids(words)
+                for at in range(0, big.num_rows, 400):
+                    b = big.slice(at, 400)
+                    for doc, ids in zip(b.column(0).to_pylist(), known.of(text_bytes(b.column(1)))):
                         for k in range(0, len(ids), capacity):
                             raw = ids[k:k + capacity].astype("<u4").tobytes()
                             yield doc, k // capacity, k, len(raw) // 4, zlib.crc32(raw), raw if keep_ids else None
