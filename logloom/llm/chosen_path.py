@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import (GOLD, WordHashes, batch_of, batches, mixed, schema_of, shingle_hashes,
-                                text_bytes, written)
+from logloom.llm.common import GOLD, batch_of, batch_words, batches, mixed, schema_of, shingle_hashes, text_bytes, written
 from logloom.llm.components import components
 
 SHINGLE = 5
@@ -55,10 +54,12 @@ _SEEDS = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) * GOLD)
 _ODD = mixed(_SEEDS ^ GOLD) | np.uint64(1)
 
 
-def text_sets(batch_column: pa.Array, hashes: WordHashes, width: int = SHINGLE) -> Iterator[np.ndarray]:
+def text_sets(batch_column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of every text."""
-    for text in text_bytes(batch_column):
-        yield np.unique(shingle_hashes(hashes.of(text.lower().split()), width))
+    for at in range(0, len(batch_column), 400):
+        h, begin = batch_words([x.lower() for x in text_bytes(batch_column.slice(at, 400))])
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            yield np.unique(shingle_hashes(h[a:b], width))
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -83,12 +84,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     ddl = "doc_id bigint, row bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<int>"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, hashes = schema_of(ddl), WordHashes()
+        schema = schema_of(ddl)
 
         def rows():
             for b in it:
                 for doc, row, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
-                                       text_sets(b.column(2), hashes)):
+                                       text_sets(b.column(2))):
                     yield doc, row, len(s), *set_key(s), minwise(s).tolist() if len(s) else None
 
         yield batch_of([], schema)
@@ -239,12 +240,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, hashes = schema_of("set_a bigint, set_b bigint, items array<bigint>"), WordHashes()
+        schema = schema_of("set_a bigint, set_b bigint, items array<bigint>")
         look = np.frombuffer(bits.value, np.uint8)
 
         def rows():
             for b in it:
-                for s in text_sets(b.column(0), hashes):
+                for s in text_sets(b.column(0)):
                     a, c = set_key(s)
                     at = a & ((1 << BITMAP_BITS) - 1)
                     if look[at >> 3] >> (at & 7) & 1:

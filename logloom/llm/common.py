@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,23 +77,6 @@ def worker_memory() -> dict:
     return vars(sys.modules.setdefault("_logloom_worker_memory", types.ModuleType("_logloom_worker_memory")))
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash; forgets everything once it holds ``most``."""
-
-    def __init__(self, most: int = 1_000_000, seed: int = 0) -> None:
-        super().__init__()
-        self.most, self.seed = most, seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalising 64-bit mix (wraps)."""
     x = x ^ (x >> np.uint64(32))
@@ -104,18 +86,83 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: base of the words' polynomial hash (odd, so that it has an inverse)
+_BASE = 0x9E6F0F2D3C1B5A8F
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers (mod 2^64) of an odd base and of its inverse."""
+    known = _powers.get(base)
+    if known is None or len(known[0]) < n:
+        known = tuple(np.full(max(n, 1 << 16), b, np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+        for x in known:
+            x[0] = 1
+            np.cumprod(x, out=x)
+        _powers[base] = known
+    return known[0][:n], known[1][:n]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of every word, all at once: differences of
+    the running polynomial, shifted back to the word's start.  Two of a
+    million different words share a hash with probability 3e-8."""
+    raw = np.frombuffer(data, np.uint8)
+    power, inverse = powers(_BASE, len(raw))
+    space = np.concatenate([[True], _IS_SPACE[raw], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    run = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=run[1:])
+    h = (run[ends] - run[starts]) * inverse[starts]
+    return starts, ends, mixed(h ^ ((ends - starts).astype(np.uint64) * GOLD))
+
+
+#: words (or bytes) whose running polynomial is taken at once
+SEGMENT = 1 << 20
+_WINDOW_BASE = 0xD1342543DE82EF95
+
+
+def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and where each
+    text's words begin (one more at the end)."""
+    out, counts, group, size = [], [], [], 0
+
+    def flush():
+        starts, _, h = word_hashes(b"\n".join(group))
+        out.append(h)
+        counts.append(np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in group])), prepend=0))
+
+    for x in texts:
+        group.append(x)
+        size += len(x)
+        if size >= SEGMENT:
+            flush()
+            group, size = [], 0
+    if group:
+        flush()
+    n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(n)])
+
+
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of every run of ``width`` consecutive word hashes."""
+    out = []
+    for at in range(0, len(h) - width + 1, SEGMENT):
+        part = h[at:at + SEGMENT + width - 1]
+        power, inverse = powers(_WINDOW_BASE, len(part))
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * power, out=run[1:])
+        out.append(mixed((run[width:] - run[:-width]) * inverse[:len(part) - width + 1]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` consecutive word hashes; the whole
     sequence as one when it is shorter; empty for no words."""
-    if not len(h):
-        return h
-    width = min(width, len(h))
-    n = len(h) - width + 1
-    out = np.full(n, width, np.uint64)
-    for k in range(width):
-        out = (out ^ h[k:k + n]) * GOLD
-        out ^= out >> np.uint64(29)
-    return mixed(out)
+    return window_hashes(h, min(width, len(h))) if len(h) else h
 
 
 def batches(rows: Iterator, schema: pa.Schema, size: int = 5_000) -> Iterator[pa.RecordBatch]:

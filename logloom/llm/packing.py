@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import GOLD, batch_of, batches, mixed, schema_of, text_bytes, worker_memory, written
+from logloom.llm.common import batch_of, batches, schema_of, text_bytes, word_hashes, worker_memory, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -59,32 +59,6 @@ _RAW = "\0"
 
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: base of the words' polynomial hash (odd, so that it has an inverse)
-_BASE = 0x9E6F0F2D3C1B5A8F
-_power = np.zeros(0, np.uint64)
-_inverse = _power
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of every word, all at once: differences of
-    the running polynomial, shifted back to the word's start.  Two of a task's
-    at most about a million remembered words share a hash with probability 1e-7."""
-    global _power, _inverse
-    raw = np.frombuffer(data, np.uint8)
-    if len(raw) > len(_power):
-        grown = [np.full(len(raw), b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-        for x in grown:
-            x[0] = 1
-        _power, _inverse = map(np.cumprod, grown)
-    space = np.concatenate([[True], _IS_SPACE[raw], [True]])
-    edges = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edges[0::2], edges[1::2]
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power[:len(raw)], out=run[1:])
-    h = (run[ends] - run[starts]) * _inverse[starts]
-    return starts, ends, mixed(h ^ ((ends - starts).astype(np.uint64) * GOLD))
 
 
 class _Numbers(dict):

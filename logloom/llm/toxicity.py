@@ -37,7 +37,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import (WordHashes, batch_of, batches, id_text, schema_of, shingle_hashes, text_bytes,
+from logloom.llm.common import (batch_of, batch_words, batches, id_text, schema_of, shingle_hashes, text_bytes,
                                 written)
 
 FOLDS = 5
@@ -77,8 +77,8 @@ def learnable(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 
 @F.pandas_udf("bigint")
 def _smallest_shingle(texts: pd.Series) -> pd.Series:
-    hashes = WordHashes()
-    found = [shingle_hashes(hashes.of(b"".split() if x is None else x.encode().lower().split()), 5) for x in texts]
+    h, begin = batch_words([b"" if x is None else x.encode().lower() for x in texts])
+    found = [shingle_hashes(h[a:b], 5) for a, b in zip(begin[:-1], begin[1:])]
     return pd.Series([int(h.min().view(np.int64)) if len(h) else 0 for h in found], dtype="int64")
 
 
