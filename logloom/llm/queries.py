@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import chosen_path, exact_dedup, mixing, packing, secret_scan, substring_dedup, toxicity, url_filter
+from logloom.llm import chosen_path, exact_dedup, lm_bloom, mixing, packing, secret_scan, substring_dedup, toxicity, url_filter
 from logloom.llm.common import read
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_bloom.score_report(read(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_report(read(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_lm_scoring": (op1_lm_scoring, None),
     "op2_minhash_near_dedup": (op2_minhash_near_dedup, None),
     "op3_exact_dedup": (op3_exact_dedup, exact_dedup.SQL),
     "op5_substring_dedup": (op5_substring_dedup, None),

@@ -107,7 +107,7 @@ def collected(slices: DataFrame, bits: int, width: int) -> bytearray:
     """The filter from its slices (bucket, data): ``(1 << bits) * width`` bits,
     a size that the caller bounds."""
     out = bytearray((1 << bits) * width // 8)
-    for r in slices.toLocalIterator():
+    for r in slices.collect():
         at = r["bucket"] * width // 8
         out[at:at + width // 8] = r["data"]
     return out

@@ -46,8 +46,8 @@ WINDOW = 50
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 PERIOD = 31
 CHUNK_WORDS = 4_000_000
-#: filter: bits for each shared anchor, probes, and the most bits of all (128 MB)
-KEY_BITS, PROBES, MOST_BITS = 16, 4, 1 << 30
+#: filter: bits for each shared anchor, probes, and the most bits of all (64 MB)
+KEY_BITS, PROBES, MOST_BITS = 16, 4, 1 << 29
 NO_ID = np.iinfo(np.int64).max
 
 
