@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import chosen_path, exact_dedup, lm_bloom, mixing, packing, secret_scan, substring_dedup, toxicity, url_filter
+from logloom.llm import (chosen_path, embed_dedup, exact_dedup, lm_bloom, mixing, packing, secret_scan, substring_dedup,
+                         toxicity, url_filter)
 from logloom.llm.common import read
 
 
@@ -22,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_digest(read(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_lm_scoring": (op1_lm_scoring, None),
     "op2_minhash_near_dedup": (op2_minhash_near_dedup, None),
     "op3_exact_dedup": (op3_exact_dedup, exact_dedup.SQL),
+    "op4_embedding_near_dedup": (op4_embedding_near_dedup, embed_dedup.SQL),
     "op5_substring_dedup": (op5_substring_dedup, None),
     "op6_mix_sources": (op6_mix_sources, mixing.SQL),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
