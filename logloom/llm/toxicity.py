@@ -75,11 +75,16 @@ def learnable(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     return written(docs.join(sampled, docs.doc_id == F.col("__id")).select("text", "label", "fold"), "labelled")
 
 
-@F.pandas_udf("bigint")
-def _smallest_shingle(texts: pd.Series) -> pd.Series:
-    h, begin = batch_words([b"" if x is None else x.encode().lower() for x in texts])
-    found = [shingle_hashes(h[a:b], 5) for a, b in zip(begin[:-1], begin[1:])]
-    return pd.Series([int(h.min().view(np.int64)) if len(h) else 0 for h in found], dtype="int64")
+def smallest_shingle(text: Column) -> Column:
+    """The smallest 5-word shingle hash of each text (0 without words)."""
+
+    @F.pandas_udf("bigint")
+    def of(texts: pd.Series) -> pd.Series:
+        h, begin = batch_words([b"" if x is None else x.encode().lower() for x in texts])
+        found = [shingle_hashes(h[a:b], 5) for a, b in zip(begin[:-1], begin[1:])]
+        return pd.Series([int(h.min().view(np.int64)) if len(h) else 0 for h in found], dtype="int64")
+
+    return of(text)
 
 
 def lexicon(train: DataFrame, most: int = LEXICON) -> dict[bytes, float]:
@@ -107,7 +112,7 @@ def lexicon(train: DataFrame, most: int = LEXICON) -> dict[bytes, float]:
                 yield from flush()
         yield from flush()
 
-    train = train.withColumn("first", _smallest_shingle(F.col("text"))).dropDuplicates(["first", "label"])
+    train = train.withColumn("first", smallest_shingle(F.col("text"))).dropDuplicates(["first", "label"])
     docs = train.groupBy().agg(F.count(F.when(F.col("label") == 1, 1)).alias("t"),
                                F.count(F.when(F.col("label") != 1, 1)).alias("o")).first()
     t, o = docs["t"], docs["o"]
