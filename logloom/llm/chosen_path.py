@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import GOLD, batch_of, batch_words, batches, mixed, schema_of, shingle_hashes, text_bytes, written
+from logloom.llm.common import (GOLD, batch_of, batch_words, batches, boxed, mixed, schema_of, shingle_hashes,
+                                text_bytes, written)
 from logloom.llm.components import components
 
 SHINGLE = 5
@@ -304,11 +305,11 @@ def near_report(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group, the one of the smallest id."""
-    ided = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-in")
-    named = ided.select(F.col("__row").alias("doc_id"), "text")
-    order = ided.select("__row", F.col("doc_id").alias("id"))
+    ided = written(boxed(docs), "near-in")
+    named = ided.select(F.col("__row").alias("doc_id"), "__doc.text")
+    order = ided.select("__row", F.col("__doc.doc_id").alias("id"))
     groups = near_components(named).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("root"))
     keep = (groups.join(order, "__row").groupBy("root")
             .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("f"))
             .select(F.col("f.__row").alias("__row")))
-    return ided.join(keep, "__row", "left_semi").select(*docs.columns)
+    return ided.join(keep, "__row", "left_semi").select("__doc.*")

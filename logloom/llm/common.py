@@ -42,6 +42,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """(__row, __doc): a row number and the whole row as one column, so that no
+    name in ``docs`` can clash with a column of an operator."""
+    return docs.select(F.monotonically_increasing_id().alias("__row"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+
+
 def id_text(doc_id: Column) -> Column:
     """Document id as text; null ids count as the empty text."""
     return F.coalesce(doc_id.cast("string"), F.lit(""))

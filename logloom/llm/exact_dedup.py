@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import batch_of, batches, schema_of, text_bytes, written
+from logloom.llm.common import batch_of, batches, boxed, schema_of, text_bytes, written
 
 CHUNK = 4096
 #: two primes below 2^31: products of residues stay inside 64 bits
@@ -170,11 +170,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, the largest id."""
-    ided = written(docs.withColumn("__row", F.monotonically_increasing_id()), "docs-in")
-    rows = group_copies(ided.select("doc_id", "text", "__row"), "doc_id", "__row")
+    ided = written(boxed(docs), "docs-in")
+    rows = group_copies(ided.select("__doc.doc_id", "__doc.text", "__row"), "doc_id", "__row")
     keep = (rows.groupBy("fp", "n_bytes", "variant").agg(F.max(F.struct("doc_id", "__row")).alias("best"))
             .select(F.col("best.__row").alias("__row")))
-    return ided.join(keep, "__row", "left_semi").select(*docs.columns)
+    return ided.join(keep, "__row", "left_semi").select("__doc.*")
 
 
 SQL = """

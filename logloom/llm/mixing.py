@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import SPACE, id_text, written
+from logloom.llm.common import SPACE, boxed, id_text, written
 from logloom.operators.scan import running_agg
 
 WEIGHTS = (3, 1, 2)
@@ -119,13 +119,13 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken (0, 1 or 2)."""
-    ided = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-in")
-    rows = written(ided.select("__row", "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    ided = written(boxed(docs), "mix-in")
+    rows = written(ided.select("__row", "__doc.doc_id", "__doc.source", word_count(F.col("__doc.text")).alias("size")), "sizes")
     targets, budget = source_targets(rows)
     taken = fair_queue(rows, written(targets, "targets"), budget)
     times = taken.groupBy("__row").agg(F.count(F.lit(1)).cast("int").alias("__times"))
     return (ided.join(times, "__row")
-            .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns))
+            .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select("__doc.*"))
 
 
 SQL = r"""

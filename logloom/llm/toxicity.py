@@ -37,7 +37,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import (batch_of, batch_words, batches, id_text, schema_of, shingle_hashes, text_bytes,
+from logloom.llm.common import (batch_of, batch_words, batches, boxed, id_text, schema_of, shingle_hashes, text_bytes,
                                 written)
 
 FOLDS = 5
@@ -72,7 +72,7 @@ def learnable(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     n = known.count()
     share = min(1.0, max_train / max(1, n))
     sampled = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
-    return written(docs.join(sampled, docs.doc_id == F.col("__id")).select("text", "label", "fold"), "labelled")
+    return written(docs.select("doc_id", "text").join(sampled, F.col("doc_id") == F.col("__id")).select("text", "label", "fold"), "labelled")
 
 
 def smallest_shingle(text: Column) -> Column:
@@ -223,5 +223,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """``docs`` without the rows that the model predicts toxic."""
-    scored = fit(docs, labels, max_train).scored(docs, "__toxicity")
-    return scored.filter(F.col("__toxicity") < 0.5).select(*docs.columns)
+    rows = boxed(docs).select("__doc", "__doc.text")
+    return fit(docs, labels, max_train).scored(rows, "__toxicity").filter(F.col("__toxicity") < 0.5).select("__doc.*")
