@@ -14,10 +14,11 @@ similarity 0.75 meets in a small node of one tree with probability 0.75 per
 branching, so 16 trees miss a pair with probability 2e-10 after one branching
 and under 1e-3 after four.
 
-A node's comparison estimates similarity from the minwise tokens, leaves out
-pairs under ``SCREEN`` (over 4 standard errors below the threshold) and, among
-pairs far above it, those whose ends are joined already; what is left is
-confirmed on the full sets.  Trees run in two rounds; the second drops every
+A node's comparison estimates similarity from the minwise tokens and leaves
+out pairs under ``SCREEN`` (over 4 standard errors below the threshold).  Of
+the others it keeps ``FORESTS`` spanning forests, best estimates first, which
+are as many pairs as documents and not their square; those are confirmed on
+the full sets.  Trees run in two rounds; the second drops every
 node whose documents are in one component by then.
 
 Defined cases: null and empty texts have no set, link with nothing and are
@@ -46,7 +47,7 @@ LEAF = 64
 DEPTH = 6
 ROUNDS = (range(0, 2), range(2, 16))
 SCREEN = 0.5
-SURE = 0.92
+FORESTS = 3
 #: bits of the bitmap that spares texts outside the candidates; fixed size,
 #: false positives only cost time
 BITMAP_BITS = 24
@@ -142,29 +143,26 @@ def leaves(vertices: DataFrame, trees: range) -> DataFrame:
     return out.unionByName(both.select(F.xxhash64("path", "block").alias("node"), "v", "comp"))
 
 
-def _forest(i: np.ndarray, j: np.ndarray, est: np.ndarray, comp: np.ndarray) -> np.ndarray:
-    """Which pairs to confirm: a forest over the sure ones, and every other
-    pair whose ends the forest does not join.  ``comp`` numbers the ends'
-    present components."""
-    up = {}
+def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray) -> np.ndarray:
+    """Which pairs to confirm: best estimates first, each pair goes into the
+    first of ``FORESTS`` forests in which it joins two trees, and is left out
+    if there is none.  Every document keeps its FORESTS best partners, and a
+    group stays joined while fewer than FORESTS of its pairs fail."""
+    ups: list[dict] = [{} for _ in range(FORESTS)]
 
-    def find(x):
-        while up.get(x, x) != x:
-            up[x] = up.get(up[x], up[x])
-            x = up[x]
+    def find(up, x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
         return x
 
-    keep = np.zeros(len(i), bool)
-    a, b = comp[i].tolist(), comp[j].tolist()
-    sure = np.flatnonzero(est >= SURE)
-    for k in sure.tolist():
-        x, y = find(a[k]), find(b[k])
-        if x != y:
-            up[x] = y
-            keep[k] = True
-    for k in np.flatnonzero(est < SURE).tolist():
-        if find(a[k]) != find(b[k]):
-            keep[k] = True
+    keep = np.zeros(len(a), bool)
+    for k in np.argsort(-est, kind="stable").tolist():
+        for up in ups:
+            x, y = find(up, int(a[k])), find(up, int(b[k]))
+            if x != y:
+                up[x] = y
+                keep[k] = True
+                break
     return keep
 
 
@@ -197,7 +195,7 @@ def candidates(leaf_rows: DataFrame, vertices: DataFrame) -> DataFrame:
         if not left:
             return
         i, j, e = map(np.concatenate, (left, right, est))
-        keep = _forest(i, j, e, comp)
+        keep = _forests(comp[i], comp[j], e)
         lo, hi = np.minimum(v[i[keep]], v[j[keep]]), np.maximum(v[i[keep]], v[j[keep]])
         yield from zip(lo.tolist(), hi.tolist())
 
