@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,14 +57,18 @@ _SEEDS = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) * GOLD)
 _ODD = mixed(_SEEDS ^ GOLD) | np.uint64(1)
 
 
-def text_sets(batch_column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of every text."""
-    for at in range(0, len(batch_column), 400):
-        h, begin = batch_words([x.lower() for x in text_bytes(batch_column.slice(at, 400))])
+def text_sets(texts: list[bytes], width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of every (lower-cased) text."""
+    for at in range(0, len(texts), 400):
+        h, begin = batch_words(texts[at:at + 400])
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
             yield np.unique(shingle_hashes(h[a:b], width))
 
 
+def text_hash(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def set_key(s: np.ndarray) -> tuple[int, int]:
     """128-bit fingerprint of a set as two signed 64-bit numbers."""
     if not len(s):
@@ -82,17 +87,17 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_shingles, set_a, set_b, sig of every row."""
-    ddl = "doc_id bigint, row bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<int>"
+    """doc_id, row, n_shingles, set_a, set_b, text_hash, sig of every row."""
+    ddl = "doc_id bigint, row bigint, n_shingles bigint, set_a bigint, set_b bigint, text_hash bigint, sig array<int>"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = schema_of(ddl)
 
         def rows():
             for b in it:
-                for doc, row, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
-                                       text_sets(b.column(2))):
-                    yield doc, row, len(s), *set_key(s), minwise(s).tolist() if len(s) else None
+                texts = [x.lower() for x in text_bytes(b.column(2))]
+                for doc, row, x, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, text_sets(texts)):
+                    yield doc, row, len(s), *set_key(s), text_hash(x), minwise(s).tolist() if len(s) else None
 
         yield batch_of([], schema)
         yield from batches(rows(), schema, 2_000)
@@ -225,7 +230,7 @@ def candidates(leaf_rows: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def _bitmap(sets: DataFrame) -> bytes:
-    pos = F.col("set_a").bitwiseAND((1 << BITMAP_BITS) - 1)
+    pos = F.col("text_hash").bitwiseAND((1 << BITMAP_BITS) - 1)
     rows = (sets.select(F.bitmap_bucket_number(pos + 1).alias("b"), F.bitmap_bit_position(pos + 1).alias("p"))
             .groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect())
     out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
@@ -235,7 +240,10 @@ def _bitmap(sets: DataFrame) -> bytes:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(v, items) for the vertices in ``wanted`` (v, set_a, set_b)."""
+    """(v, items) for the vertices in ``wanted`` (v, set_a, set_b, text_hash).
+
+    Only texts whose hash is in a bitmap of the wanted ones are cut into
+    shingles again."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,23 +252,26 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         def rows():
             for b in it:
-                for s in text_sets(b.column(0)):
-                    a, c = set_key(s)
-                    at = a & ((1 << BITMAP_BITS) - 1)
+                found = []
+                for x in text_bytes(b.column(0)):
+                    x = x.lower()
+                    at = text_hash(x) & ((1 << BITMAP_BITS) - 1)
                     if look[at >> 3] >> (at & 7) & 1:
-                        yield a, c, s.view(np.int64)
+                        found.append(x)
+                for s in text_sets(found):
+                    yield *set_key(s), s.view(np.int64)
 
         yield batch_of([], schema)
         yield from batches(rows(), schema, 200)
 
     found = docs.select("text").mapInArrow(run, "set_a bigint, set_b bigint, items array<bigint>")
-    return found.dropDuplicates(["set_a", "set_b"]).join(wanted, ["set_a", "set_b"]).select("v", "items")
+    return found.dropDuplicates(["set_a", "set_b"]).join(wanted.drop("text_hash"), ["set_a", "set_b"]).select("v", "items")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     """Those pairs whose full sets have the similarity."""
     ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    sets = written(full_sets(docs, ends.join(vertices, "v").select("v", "set_a", "set_b")), "sets")
+    sets = written(full_sets(docs, ends.join(vertices, "v").select("v", "set_a", "set_b", "text_hash")), "sets")
     both = (pairs.join(sets.select(F.col("v").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("v").alias("b"), F.col("items").alias("y")), "b")
             .withColumn("common", F.size(F.array_intersect("x", "y"))))
@@ -273,7 +284,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     doc_id) and first_row (its row that stays)."""
     rows = written(sketches(docs), "sketches")
     grouped = rows.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(
-        F.min("row").alias("v"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        F.min("row").alias("v"), F.first("n_shingles").alias("n_shingles"), F.first("text_hash").alias("text_hash"),
+        F.first("sig").alias("sig"))
     vertices = written(grouped, "vertices")
     comps, links = None, None
     for trees in ROUNDS:
