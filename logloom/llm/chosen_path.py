@@ -9,17 +9,21 @@ A tree is a recursion: a node picks one minwise position from its own path and
 branches its documents by their token there.  A node of at most ``LEAF``
 documents is compared exhaustively; a larger one branches again, and a node
 still larger after ``DEPTH`` branchings is compared in blocks that all hold
-one common pivot.  ``TREES`` independent trees reach the recall: a pair of
+one common pivot.  Sixteen independent trees (``ROUNDS``) reach the recall: a pair of
 similarity 0.75 meets in a small node of one tree with probability 0.75 per
 branching, so 16 trees miss a pair with probability 2e-10 after one branching
 and under 1e-3 after four.
 
 A node's comparison estimates similarity from the minwise tokens and leaves
-out pairs under ``SCREEN`` (over 4 standard errors below the threshold).  Of
-the others it keeps ``FORESTS`` spanning forests, best estimates first, which
-are as many pairs as documents and not their square; those are confirmed on
-the full sets.  Trees run in two rounds; the second drops every
-node whose documents are in one component by then.
+out pairs under ``SCREEN`` (over 4 standard errors below the threshold).  What
+is left is confirmed on the full sets.
+
+Trees run in two rounds.  The first joins most of every group: it confirms
+only ``FORESTS`` spanning forests of a node's pairs, best estimates first,
+which are as many pairs as documents and not their square.  The second drops
+every node whose documents are in one component by then, and confirms all
+pairs between different components, but for those that pairs of estimates
+over ``SURE`` join anyway.
 
 Defined cases: null and empty texts have no set, link with nothing and are
 their own component; rows that repeat an id are separate rows, equal sets
@@ -49,6 +53,7 @@ DEPTH = 6
 ROUNDS = (range(0, 2), range(2, 16))
 SCREEN = 0.5
 FORESTS = 3
+SURE = 0.92
 #: bits of the bitmap that spares texts outside the candidates; fixed size,
 #: false positives only cost time
 BITMAP_BITS = 24
@@ -148,12 +153,12 @@ def leaves(vertices: DataFrame, trees: range) -> DataFrame:
     return out.unionByName(both.select(F.xxhash64("path", "block").alias("node"), "v", "comp"))
 
 
-def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray) -> np.ndarray:
+def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray, all_doubtful: bool) -> np.ndarray:
     """Which pairs to confirm: best estimates first, each pair goes into the
     first of ``FORESTS`` forests in which it joins two trees, and is left out
-    if there is none.  Every document keeps its FORESTS best partners, and a
-    group stays joined while fewer than FORESTS of its pairs fail."""
-    ups: list[dict] = [{} for _ in range(FORESTS)]
+    if there is none.  With ``all_doubtful`` only pairs of at least ``SURE``
+    make one forest, and every other pair that it does not join is kept."""
+    ups: list[dict] = [{} for _ in range(1 if all_doubtful else FORESTS)]
 
     def find(up, x):
         while (y := up.get(x, x)) != x:
@@ -165,13 +170,14 @@ def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray) -> np.ndarray:
         for up in ups:
             x, y = find(up, int(a[k])), find(up, int(b[k]))
             if x != y:
-                up[x] = y
                 keep[k] = True
+                if not all_doubtful or est[k] >= SURE:
+                    up[x] = y
                 break
     return keep
 
 
-def candidates(leaf_rows: DataFrame, vertices: DataFrame) -> DataFrame:
+def candidates(leaf_rows: DataFrame, vertices: DataFrame, all_doubtful: bool) -> DataFrame:
     """Distinct pairs (a, b) to confirm, from comparing every node exhaustively."""
     rows = (leaf_rows.join(vertices.select("v", "sig", "n_shingles"), "v").select("node", "v", "comp", "n_shingles", "sig")
             .repartition("node").sortWithinPartitions("node", "v"))
@@ -200,7 +206,7 @@ def candidates(leaf_rows: DataFrame, vertices: DataFrame) -> DataFrame:
         if not left:
             return
         i, j, e = map(np.concatenate, (left, right, est))
-        keep = _forests(comp[i], comp[j], e)
+        keep = _forests(comp[i], comp[j], e, all_doubtful)
         lo, hi = np.minimum(v[i[keep]], v[j[keep]]), np.maximum(v[i[keep]], v[j[keep]])
         yield from zip(lo.tolist(), hi.tolist())
 
@@ -292,7 +298,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         now = vertices.withColumn("comp", F.col("v")) if comps is None else (
             vertices.join(comps.select(F.col("vertex").alias("v"), "component"), "v", "left")
             .withColumn("comp", F.coalesce("component", "v")).drop("component"))
-        pairs = written(candidates(leaves(now, trees), vertices), "pairs")
+        pairs = written(candidates(leaves(now, trees), vertices, comps is not None), "pairs")
         good = written(confirmed(docs, pairs, vertices), "links")
         links = good if links is None else links.unionByName(good)
         comps = components(links)
