@@ -72,7 +72,8 @@ def learnable(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     n = known.count()
     share = min(1.0, max_train / max(1, n))
     sampled = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
-    return written(docs.select("doc_id", "text").join(sampled, F.col("doc_id") == F.col("__id")).select("text", "label", "fold"), "labelled")
+    # at most about max_train rows of 16 bytes: broadcast, so that no other text moves
+    return written(docs.select("doc_id", "text").join(F.broadcast(sampled), F.col("doc_id") == F.col("__id")).select("text", "label", "fold"), "labelled")
 
 
 def smallest_shingle(text: Column) -> Column:
