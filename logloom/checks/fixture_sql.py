@@ -174,7 +174,9 @@ SELECT r.*,
     WHEN coalesce(r.from_block, 0) < 0 THEN 'from_block_negative'
     WHEN r.to_block < 0 THEN 'to_block_negative'
     WHEN coalesce(r.page_limit, 1000) NOT BETWEEN 1 AND 1000000 THEN 'bad_limit'
-    WHEN r.cursor IS NOT NULL AND NOT regexp_full_match(r.cursor, '[0-9]+:[0-9]+') THEN 'bad_cursor'
+    WHEN r.cursor IS NOT NULL AND (NOT regexp_full_match(r.cursor, '[0-9]+:[0-9]+')
+         OR TRY_CAST(split_part(r.cursor, ':', 1) AS BIGINT) IS NULL
+         OR TRY_CAST(split_part(r.cursor, ':', 2) AS BIGINT) IS NULL) THEN 'bad_cursor'
   END AS reject_reason
 FROM log_requests r
 """, ["log_requests", "chains"])

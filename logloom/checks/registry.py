@@ -133,13 +133,13 @@ def _requests(spark, sf_dir):
     return check_requests(FX.log_requests(spark, sf_dir), FX.chains(spark))
 
 
-def _plan(spark, sf_dir, first_page_only=False):
+def _plan(spark, sf_dir, first_page_only=False, payload=PAYLOAD):
     """Ranked streams of the requested topics/addresses and the per-request
     bucket plan, each written once to the checkpoint folder (several branches
     read them)."""
     ok, _ = _requests(spark, sf_dir)
     ok = materialize(ok)
-    ranked = materialize(B.rank_streams(tables.logs(spark, sf_dir), PAYLOAD, BATCH_BUCKET,
+    ranked = materialize(B.rank_streams(tables.logs(spark, sf_dir), payload, BATCH_BUCKET,
                                         requests=ok))
     plan = B.bucket_plan(ranked, ok, BATCH_BUCKET, first_page_only=first_page_only)
     return ranked, ok, materialize(plan)
@@ -201,7 +201,7 @@ FROM req_ok r LEFT JOIN req_matched m ON m.request_id = r.request_id AND m.n <=
 GROUP BY r.request_id, r.page_limit
 """, "req_matched"))
 def q_next_cursor(spark, sf_dir):
-    ranked, ok, plan = _plan(spark, sf_dir, first_page_only=True)
+    ranked, ok, plan = _plan(spark, sf_dir, first_page_only=True, payload=[])
     pages = B.get_logs_batch(ranked, ok, BATCH_BUCKET, plan)
     return B.batch_cursors(pages, ok)
 
@@ -221,7 +221,7 @@ FROM pages p LEFT JOIN req_matched m
   ON m.request_id = p.request_id AND m.n = (p.page + 1) * p.page_limit
 """, "req_matched"))
 def q_page_manifest(spark, sf_dir):
-    ranked, ok, plan = _plan(spark, sf_dir)
+    ranked, ok, plan = _plan(spark, sf_dir, payload=[])
     return B.page_manifest(ranked, ok, BATCH_BUCKET, plan)
 
 
@@ -247,7 +247,7 @@ SELECT request_id, found, block_number, log_index, address, topic0 FROM (
 WHERE rn = 1
 """, "log_positions", "logs"))
 def q_get_log_batch(spark, sf_dir):
-    res = B.get_log_batch(tables.logs(spark, sf_dir), FX.log_positions(spark, sf_dir), BATCH_BUCKET)
+    res = B.get_log_batch(tables.logs(spark, sf_dir), FX.log_positions(spark, sf_dir))
     return res.select("request_id", "found", "block_number", "log_index", bare_hex("address"),
                       bare_hex("topic0"))
 
@@ -392,7 +392,7 @@ SELECT * FROM logs WHERE block_number >= {RANGE_LO} AND block_number <= {RANGE_H
 """, "logs"))
 def q_filter_from_to(spark, sf_dir):
     logs = tables.logs(spark, sf_dir, bucket_blocks=BATCH_BUCKET)
-    out = P.to_block(P.from_block(logs, RANGE_LO, BATCH_BUCKET), RANGE_HI, BATCH_BUCKET)
+    out = P.to_block(P.from_block(logs, RANGE_LO), RANGE_HI)
     return compare_form(out)
 
 
@@ -402,7 +402,7 @@ SELECT * FROM logs WHERE chain_id = 1 AND (block_number > {CURSOR_BLOCK}
 """, "logs"))
 def q_after_cursor(spark, sf_dir):
     logs = tables.logs(spark, sf_dir, bucket_blocks=BATCH_BUCKET)
-    return compare_form(P.after_cursor(P.by_chain(logs, 1), CURSOR_BLOCK, CURSOR_INDEX, BATCH_BUCKET))
+    return compare_form(P.after_cursor(P.by_chain(logs, 1), CURSOR_BLOCK, CURSOR_INDEX))
 
 
 @register("cursor_over_from", with_views(f"""
@@ -559,24 +559,28 @@ def q_chain_state(spark, sf_dir):
 
 
 @register("log_stats", with_views("""
-SELECT chain_id, CAST(count(*) AS BIGINT) AS total, CAST(max(block_number) AS BIGINT) AS maxIndexedBlock
-FROM logs GROUP BY chain_id
-""", "logs"))
+SELECT c.chain_id, CAST(count(l.chain_id) AS BIGINT) AS total,
+       CAST(coalesce(max(l.block_number), 0) AS BIGINT) AS maxIndexedBlock
+FROM chains c LEFT JOIN logs l ON l.chain_id = c.chain_id GROUP BY c.chain_id
+""", "chains", "logs"))
 def q_log_stats(spark, sf_dir):
-    return A.log_stats(tables.logs(spark, sf_dir))
+    return A.log_stats(tables.logs(spark, sf_dir), chains=FX.chains(spark))
 
 
-@register("indexing_progress", with_views("""
-SELECT s.chain_id, s.total, s.maxIndexedBlock, t.archive_height, c.margin,
-  CASE WHEN t.archive_height - c.margin <= 0 THEN 0.0 ELSE
-    CAST((2 * CAST(s.maxIndexedBlock AS HUGEINT) * 10000 + (t.archive_height - c.margin))
+_PROGRESS_SQL = """
+SELECT c.chain_id, CAST(count(l.chain_id) AS BIGINT) AS total,
+  CAST(coalesce(max(l.block_number), 0) AS BIGINT) AS maxIndexedBlock, t.archive_height, c.margin,
+  CASE WHEN coalesce(t.archive_height, 0) - c.margin <= 0 THEN 0.0 ELSE
+    CAST((2 * CAST(coalesce(max(l.block_number), 0) AS HUGEINT) * 10000 + (t.archive_height - c.margin))
          // (2 * (t.archive_height - c.margin)) AS DOUBLE) / 100.0 END AS progress
-FROM (SELECT chain_id, CAST(count(*) AS BIGINT) AS total, CAST(max(block_number) AS BIGINT) AS maxIndexedBlock
-      FROM logs GROUP BY chain_id) s
-JOIN chain_tips t ON t.chain_id = s.chain_id JOIN chains c ON c.chain_id = s.chain_id
-""", "logs", "chain_tips", "chains"))
+FROM chains c LEFT JOIN logs l ON l.chain_id = c.chain_id LEFT JOIN chain_tips t ON t.chain_id = c.chain_id
+GROUP BY c.chain_id, t.archive_height, c.margin
+"""
+
+
+@register("indexing_progress", with_views(_PROGRESS_SQL, "logs", "chain_tips", "chains"))
 def q_indexing_progress(spark, sf_dir):
-    stats = A.log_stats(tables.logs(spark, sf_dir))
+    stats = A.log_stats(tables.logs(spark, sf_dir), chains=FX.chains(spark))
     return A.indexing_progress(stats, FX.chain_tips(spark, sf_dir), FX.chains(spark))
 
 
@@ -630,7 +634,7 @@ def q_safe_ceiling(spark, sf_dir):
 
 
 @register("final_logs", with_views(_SAFES_SQL + """
-, ceil AS (SELECT chain_id, arg_max(safe, seq) AS ceiling FROM safes GROUP BY chain_id)
+, ceil AS (SELECT chain_id, max(safe) AS ceiling FROM safes GROUP BY chain_id)
 SELECT l.* FROM logs l JOIN ceil c ON c.chain_id = l.chain_id WHERE l.block_number <= c.ceiling
 """, "height_events", "chains", "logs"))
 def q_final_logs(spark, sf_dir):
@@ -688,7 +692,7 @@ def q_coverage_gaps(spark, sf_dir):
 
 @register("raw_source_json", REGISTRY["select_fields"][1])
 def q_raw_source_json(spark, sf_dir):
-    path = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-json"), 8, "json")
+    path = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-json"))
     flat = D.flatten_events(IN.read_raw_logs(spark, path, "json"))
     return flat.select("chain_id", "ingest_seq", "block_number", "log_index", "transaction_index",
                        "timestamp", "block_hash", "transaction_hash", "address", "data",
@@ -720,18 +724,28 @@ def q_compact_logs(spark, sf_dir):
     return compare_form(TB.read_logs(spark, dst))
 
 
-@register("storage_footprint", None)
+@register("storage_footprint", with_views("""
+SELECT chain_id, CAST(count(*) AS BIGINT) AS rows, TRUE AS has_files, TRUE AS has_sizes FROM logs GROUP BY chain_id
+""", "logs"))
 def q_storage_footprint(spark, sf_dir):
+    """Rows per chain from the footers; sizes depend on the writer, so only
+    their presence is compared here (a test sums the footers independently)."""
     dst = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
                           BATCH_BUCKET)
-    return TB.storage_footprint(spark, dst)
+    f = TB.storage_footprint(spark, dst)
+    return f.select("chain_id", F.col("rows").cast("bigint").alias("rows"), (F.col("files") > 0).alias("has_files"),
+                    ((F.col("compressed_bytes") > 0) & (F.col("uncompressed_bytes") > 0)).alias("has_sizes"))
 
 
-@register("stats_report", None)
+@register("stats_report", with_views("""
+SELECT chain_id, total, maxIndexedBlock, progress, total > 0 AS has_size FROM (""" + _PROGRESS_SQL + """) p
+""", "logs", "chain_tips", "chains"))
 def q_stats_report(spark, sf_dir):
     dst = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
                           BATCH_BUCKET)
-    return log_stats_report(spark, dst, FX.chain_tips(spark, sf_dir), FX.chains(spark))
+    r = log_stats_report(spark, dst, FX.chain_tips(spark, sf_dir), FX.chains(spark))
+    return r.select("chain_id", "total", "maxIndexedBlock", "progress",
+                    (F.col("compressedSize") != "0 B").alias("has_size"))
 
 
 @register("export_chunks", with_views(f"""
@@ -740,14 +754,32 @@ WHERE chain_id = {PAGE_CHAIN} AND topic0 = lower('{PAGE_TOPIC[2:]}')
 """, "logs"))
 def q_export_chunks(spark, sf_dir):
     path = scratch_path(spark, "export")
-    X.export_logs(tables.logs(spark, sf_dir), path, PAGE_CHAIN, PAGE_TOPIC, chunks=8)
+    X.export_logs(tables.logs(spark, sf_dir), path, PAGE_CHAIN, PAGE_TOPIC)
     return api_compare(X.read_export(spark, path))
 
 
-@register("export_manifest", None)
+@register("export_manifest", with_views(f"""
+SELECT CAST(count(*) AS BIGINT) AS rows,
+  CAST(arg_min(block_number, pos) AS VARCHAR) || ':' || CAST(arg_min(log_index, pos) AS VARCHAR) AS first_cursor,
+  CAST(arg_max(block_number, pos) AS VARCHAR) || ':' || CAST(arg_max(log_index, pos) AS VARCHAR) AS last_cursor,
+  CAST(0 AS BIGINT) AS out_of_order
+FROM (SELECT *, block_number * 100000 + log_index AS pos FROM logs
+      WHERE chain_id = {PAGE_CHAIN} AND topic0 = lower('{PAGE_TOPIC[2:]}')) l
+""", "logs"))
 def q_export_manifest(spark, sf_dir):
+    """The manifest's totals: rows of all chunks, first and last position, and
+    chunks that begin before the one ahead of them ends (none)."""
     path = scratch_path(spark, "export")
-    return X.export_logs(tables.logs(spark, sf_dir), path, PAGE_CHAIN, PAGE_TOPIC, chunks=8)
+    m = X.export_logs(tables.logs(spark, sf_dir), path, PAGE_CHAIN, PAGE_TOPIC)
+    (fb, fi), (lb, li) = decode_cursor("first_cursor"), decode_cursor("last_cursor")
+    m = m.select("chunk", "rows", F.struct(fb.alias("b"), fi.alias("i")).alias("first"),
+                 F.struct(lb.alias("b"), li.alias("i")).alias("last"))
+    nxt = m.select((F.col("chunk") - 1).alias("chunk"), F.col("first").alias("next_first"))
+    t = m.join(nxt, "chunk", "left").agg(
+        F.sum("rows").alias("rows"), F.min("first").alias("f"), F.max("last").alias("l"),
+        F.count(F.when(F.col("next_first") < F.col("last"), 1)).alias("out_of_order"))
+    return t.select(F.col("rows").cast("bigint").alias("rows"), encode_cursor(F.col("f.b"), F.col("f.i")).alias("first_cursor"),
+                    encode_cursor(F.col("l.b"), F.col("l.i")).alias("last_cursor"), "out_of_order")
 
 
 def _run_stream(spark, source, landing, fmt="json"):
@@ -760,7 +792,7 @@ def _run_stream(spark, source, landing, fmt="json"):
 
 @register("stream_ingest", REGISTRY["dedup_logs"][1])
 def q_stream_ingest(spark, sf_dir):
-    src = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-stream"), 8)
+    src = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-stream"))
     landing = scratch_path(spark, "stream-landing")
     _run_stream(spark, src, landing)
     return compare_form(dedup_logs(TB.read_landed(spark, landing).drop("batch_id")))
@@ -772,23 +804,26 @@ SELECT chain_id, block_number, block_hash, timestamp, transaction_hash, transact
 FROM logs_landed WHERE ingest_seq = 1
 """, "logs_landed"))
 def q_stream_dedup(spark, sf_dir):
-    """First copies land in one drop of files, replays in a later one; the
-    streaming keep-first dedup keeps the first copies."""
+    """First copies land newest blocks first, then a backfill of the older
+    ones, then the replays; the streaming keep-first dedup, with a finite
+    delay, keeps every first copy."""
     src = scratch_path(spark, "raw-dedup")
     landed = tables.landed_logs(spark, sf_dir)
-    TB.append_logs(landed.where(F.col("ingest_seq") == 1), src, 1)
+    first, half = landed.where(F.col("ingest_seq") == 1), F.col("block_number") % 1000 >= 500
+    TB.append_logs(first.where(half), src, 1)
     out = scratch_path(spark, "dedup-out")
-    sdf = spark.readStream.schema(TB.LANDED_WITH_BATCH).parquet(src)
-    deduped = IN.dedup_stream(sdf, delay="36500 days")
-    q = (deduped.writeStream.format("parquet").option("path", out)
+    sdf = spark.readStream.schema(TB.LANDED_WITH_SOURCE).parquet(src)
+    q = (IN.dedup_stream(sdf, delay="1 hour").writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "ckpt")).start())
     try:
         q.processAllAvailable()
-        TB.append_logs(landed.where(F.col("ingest_seq") == 2), src, 2)
+        TB.append_logs(first.where(~half), src, 2)
+        q.processAllAvailable()
+        TB.append_logs(landed.where(F.col("ingest_seq") == 2), src, 3)
         q.processAllAvailable()
     finally:
         q.stop()
-    return compare_form(spark.read.schema(TB.LANDED_WITH_BATCH).parquet(out))
+    return compare_form(spark.read.schema(TB.LANDED_WITH_SOURCE).parquet(out))
 
 
 # ---------------------------------------------------------------------------
@@ -822,24 +857,21 @@ def q_page_cursor(spark, sf_dir):
     return Q.page_cursor(page, PAGE_LIMIT)
 
 
-@register("stream_metrics", None)
+@register("stream_metrics", with_views("""
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(b.number) AS BIGINT) AS good_rows,
+       max(CASE WHEN b.number IS NOT NULL THEN r.block_number END) AS max_block
+FROM raw_logs r LEFT JOIN raw_blocks b ON b.chain_id = r.chain_id AND b.number = r.block_number
+""", "raw_logs", "raw_blocks"))
 def q_stream_metrics(spark, sf_dir):
-    """One row per micro-batch of a rate-limited ingest (T6) with the metrics
-    observed in flight (T9).  The metrics are a few numbers per batch."""
-    src = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-metrics"), 6)
-    landing = scratch_path(spark, "metrics-landing")
-    q = IN.ingest_stream(spark, src, landing, scratch_path(spark, "ckpt"), max_files_per_trigger=2,
-                         query_name=f"ingest_{abs(hash(landing)) % 10**8}")
+    """Totals of the metrics table of a rate-limited ingest (T6, T9): one row
+    for each micro-batch, written with the batch."""
+    src = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-metrics"))
+    metrics = scratch_path(spark, "metrics")
+    q = IN.ingest_stream(spark, src, scratch_path(spark, "metrics-landing"), scratch_path(spark, "ckpt"),
+                         max_files_per_trigger=2, metrics=metrics)
     q.awaitTermination()
-    rows = []
-    for p in q.recentProgress:
-        m = (p.get("observedMetrics") or {}).get(q.name) if isinstance(p, dict) else \
-            (p.observedMetrics or {}).get(q.name)
-        if m is not None:
-            get = m.get if isinstance(m, dict) else (lambda k, m=m: m[k])
-            rows.append((int(p["batchId"] if isinstance(p, dict) else p.batchId), int(get("rows")),
-                         int(get("good_rows")), int(get("max_block") or 0)))
-    return spark.createDataFrame(rows, "batch_id bigint, rows bigint, good_rows bigint, max_block bigint")
+    return IN.read_metrics(spark, metrics).agg(F.sum("rows").alias("rows"), F.sum("good_rows").alias("good_rows"),
+                                               F.max("max_block").alias("max_block"))
 
 
 @register("compact_incremental", REGISTRY["dedup_logs"][1])
@@ -861,9 +893,9 @@ def q_served_batch(spark, sf_dir):
                                                  scratch_path(spark, "served"), BATCH_BUCKET))
     ok, _ = _requests(spark, sf_dir)
     ok = materialize(ok)
-    ranked = materialize(B.served_streams(served, PAYLOAD, requests=ok))
+    ranked = materialize(B.served_streams(served, [], requests=ok))
     plan = materialize(B.bucket_plan(ranked, ok, BATCH_BUCKET, first_page_only=True))
-    rows = B.get_logs_batch(ranked, ok, BATCH_BUCKET, plan)
+    rows = B.get_logs_batch(ranked, ok, BATCH_BUCKET, plan, payload_from=served)
     return rows.select("request_id", "n", "block_number", "log_index", bare_hex("address"),
                        bare_hex("data"), bare_hex("topic0"), bare_hex("transaction_hash"))
 
@@ -875,7 +907,7 @@ def q_served_manifest(spark, sf_dir):
                                                  scratch_path(spark, "served"), BATCH_BUCKET))
     ok, _ = _requests(spark, sf_dir)
     ok = materialize(ok)
-    ranked = materialize(B.served_streams(served, PAYLOAD, requests=ok))
+    ranked = materialize(B.served_streams(served, [], requests=ok))
     plan = materialize(B.bucket_plan(ranked, ok, BATCH_BUCKET))
     return B.page_manifest(ranked, ok, BATCH_BUCKET, plan)
 
@@ -891,3 +923,94 @@ def q_served_chain_stats(spark, sf_dir):
     served = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
                              BATCH_BUCKET)
     return chain_stats(spark, served, [c for c, _name, _margin in FX.FIXTURE_CHAINS])
+
+
+# ---------------------------------------------------------------------------
+# the served table tells its own width (S16, Q1, Q4) and serves final blocks
+# ---------------------------------------------------------------------------
+OTHER_WIDTH = 7_500
+
+
+def _served_wide(spark, sf_dir, **kw):
+    return TB.read_logs(spark, TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
+                                               OTHER_WIDTH, **kw))
+
+
+@register("served_page", REGISTRY["get_logs_page"][1])
+def q_served_page(spark, sf_dir):
+    return api_compare(Q.get_logs(_served_wide(spark, sf_dir), PAGE_CHAIN, PAGE_TOPIC, from_block=PAGE_FROM,
+                                  limit=PAGE_LIMIT))
+
+
+@register("served_get_log", REGISTRY["get_log"][1])
+def q_served_get_log(spark, sf_dir):
+    return api_compare(Q.get_log(_served_wide(spark, sf_dir), GET_LOG_CHAIN, GET_LOG_BLOCK, GET_LOG_INDEX))
+
+
+@register("served_get_log_batch", REGISTRY["get_log_batch"][1])
+def q_served_get_log_batch(spark, sf_dir):
+    res = B.get_log_batch(_served_wide(spark, sf_dir), FX.log_positions(spark, sf_dir))
+    return res.select("request_id", "found", "block_number", "log_index", bare_hex("address"),
+                      bare_hex("topic0"))
+
+
+@register("served_final", REGISTRY["final_logs"][1])
+def q_served_final(spark, sf_dir):
+    """Compaction with the chains' ceilings: no unfinal block is ever served."""
+    ceilings = FN.latest_ceiling(_safes(spark, sf_dir))
+    return compare_form(_served_wide(spark, sf_dir, ceilings=ceilings))
+
+
+@register("planned_gaps", with_views("""
+, planned AS (SELECT chain_id, lo - 1200 AS lo, hi + 700 AS hi FROM (
+    SELECT chain_id, min(from_block) AS lo, max(to_block) AS hi FROM covered_ranges GROUP BY chain_id) e
+  UNION ALL SELECT CAST(56 AS BIGINT), CAST(10 AS BIGINT), CAST(99 AS BIGINT))
+, r AS (SELECT chain_id, from_block, to_block FROM covered_ranges
+        UNION ALL SELECT chain_id, lo - 1, lo - 1 FROM planned UNION ALL SELECT chain_id, hi + 1, hi + 1 FROM planned)
+SELECT chain_id, prev_to + 1 AS gap_from, from_block - 1 AS gap_to FROM (
+  SELECT *, max(to_block) OVER (PARTITION BY chain_id ORDER BY from_block, to_block
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_to FROM r) x
+WHERE from_block > prev_to + 1
+""", "covered_ranges"))
+def q_planned_gaps(spark, sf_dir):
+    """Gaps against a plan that starts before and ends after what is covered,
+    and one chain that has nothing yet."""
+    covered = FX.covered_ranges(spark, sf_dir)
+    planned = covered.groupBy("chain_id").agg((F.min("from_block") - 1200).alias("from_block"),
+                                              (F.max("to_block") + 700).alias("to_block"))
+    alone = spark.createDataFrame([(56, 10, 99)], "chain_id bigint, from_block bigint, to_block bigint")
+    return FN.coverage_gaps(covered, planned=planned.unionByName(alone))
+
+
+# ---------------------------------------------------------------------------
+# every reject reason (S11): raw rows spoiled by their key, one way each
+# ---------------------------------------------------------------------------
+SPOILED = [("chain_id", None, "chain_id_missing"), ("log_index", None, "log_index_missing"),
+           ("transaction_index", None, "transaction_index_missing"), ("transaction_hash", None, "transaction_hash_missing"),
+           ("transaction_hash", "0xzz", "transaction_hash_hex"), ("transaction_hash", "0x" + "a" * 65, "transaction_hash_length"),
+           ("address", None, "address_missing"), ("address", "0xg1", "address_hex"), ("address", "0x" + "b" * 41, "address_length"),
+           ("data", None, "data_missing"), ("data", "0xabc", "data_hex"), ("t0", "0xq", "topic0_hex"),
+           ("t0", "0x" + "c" * 66, "topic0_length"), ("block_number", None, "block_missing")]
+_SPOIL_EVERY = len(SPOILED) + 3
+
+
+@register("quarantine_reasons", with_views(f"""
+, s AS (SELECT block_number % {_SPOIL_EVERY} AS k FROM raw_logs)
+SELECT CASE k {' '.join(f"WHEN {i} THEN '{r}'" for i, (_c, _v, r) in enumerate(SPOILED))} ELSE 'ok' END AS reject_reason,
+       count(*) AS n
+FROM s GROUP BY 1
+""", "raw_logs"))
+def q_quarantine_reasons(spark, sf_dir):
+    r, b = FX.raw_logs(spark, sf_dir), FX.raw_blocks(spark, sf_dir)
+    kind = F.col("_k")
+    flat = r.withColumn("_k", F.col("block_number") % _SPOIL_EVERY)
+    headed = D.attach_block_header(flat, b).withColumn("_k", F.col("block_number") % _SPOIL_EVERY)
+    for i, (col, value, _reason) in enumerate(SPOILED):
+        if col == "t0":
+            headed = headed.withColumn("topics", F.when(kind == i, F.array(F.lit(value))).otherwise(F.col("topics")))
+        elif col == "block_number":
+            headed = headed.withColumn("has_block", F.when(kind == i, F.lit(False)).otherwise(F.col("has_block")))
+        else:
+            headed = headed.withColumn(col, F.when(kind == i, F.lit(value)).otherwise(F.col(col)))
+    d = D.decode_logs(headed)
+    return d.groupBy(F.coalesce(F.col("reject_reason"), F.lit("ok")).alias("reject_reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -92,11 +92,6 @@ def ratio_half_even(num, den, scale: int = 2) -> Column:
     return F.when((d == 0) | d.isNull() | n.isNull(), F.lit(0.0)).otherwise(res)
 
 
-def round_half_up(x, scale: int = 2) -> Column:
-    """``Math.round(x * 100) / 100`` style rounding."""
-    return F.round(_c(x), scale)
-
-
 def percent_half_up(num, den, scale: int = 2) -> Column:
     """``round(100 * num / den, scale)`` rounding half up, exactly.
 

@@ -25,18 +25,6 @@ def strip_prefix(c) -> Column:
     return F.when(F.substring(c, 1, 2).isin("0x", "0X"), F.substring(c, 3, _MAX_LEN)).otherwise(c)
 
 
-def normalise_hex(c, width: int | None = None) -> Column:
-    """Canonical lower-case hex digits (no prefix), left-padded to ``2*width``.
-
-    Values longer than the width come back unchanged (and so fail
-    :func:`fixed_hex_ok`); callers guard with that check.
-    """
-    digits = F.lower(strip_prefix(c))
-    if width is None:
-        return digits
-    return F.when(F.length(digits) <= 2 * width, F.lpad(digits, 2 * width, "0")).otherwise(digits)
-
-
 def hex_digits_ok(c) -> Column:
     """True when the text (prefix stripped) has only hex digits.
 
@@ -47,13 +35,6 @@ def hex_digits_ok(c) -> Column:
     return F.when(c.isNotNull(), F.unhex(strip_prefix(c)).isNotNull())
 
 
-def fixed_hex_ok(c, width: int) -> Column:
-    """True when ``c`` is hex of at most ``width`` bytes (NULL -> NULL)."""
-    c = _c(c)
-    digits = strip_prefix(c)
-    return F.when(c.isNotNull(), (F.length(digits) <= 2 * width) & F.unhex(digits).isNotNull())
-
-
 def var_hex_ok(c) -> Column:
     """True when ``c`` is an even number of hex digits (NULL -> NULL)."""
     c = _c(c)

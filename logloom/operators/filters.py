@@ -1,20 +1,18 @@
 """Predicates of the log queries.
 
 Every filter is a plain ``where`` so Catalyst pushes it to the Parquet scan.
-When the frame carries the derived ``block_bucket`` partition column, block
-bounds also add the implied bucket bound (Catalyst cannot infer it), which
-turns into partition pruning on the stored table.
+When the frame carries the partition columns ``block_bucket`` and
+``bucket_blocks`` (the width the table was written with), block bounds also
+add the implied bucket bound (Catalyst cannot infer it), which turns into
+partition pruning on the stored table.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hexcodec import hex_literal
-from ..schema import DEFAULT_BUCKET_BLOCKS
 
 
 def _check_hex(value: str, width: int, what: str) -> str:
@@ -25,12 +23,21 @@ def _check_hex(value: str, width: int, what: str) -> str:
     return value
 
 
-def _bucketed(df: DataFrame) -> bool:
-    return "block_bucket" in df.columns
+def _bucket_bound(df: DataFrame, op: str, n: int) -> DataFrame:
+    """The bucket bound that a block bound implies, for a table that carries
+    its own bucket width (``bucket_blocks``, a partition column like
+    ``block_bucket``): pruned by partition at any width, also mixed ones."""
+    if "block_bucket" not in df.columns or "bucket_blocks" not in df.columns:
+        return df
+    return df.where(F.expr(f"block_bucket {op} {int(n)}L div bucket_blocks"))
 
 
-def _bucket_of(n: int, bucket_blocks: int) -> int:
-    return n // bucket_blocks
+def check_width(df: DataFrame, bucket_blocks: int | None) -> None:
+    """Refuse a width that is not the table's own (metadata of a few values)."""
+    if bucket_blocks is not None and "bucket_blocks" in df.columns:
+        found = [r[0] for r in df.select("bucket_blocks").distinct().collect()]
+        if any(w != bucket_blocks for w in found):
+            raise ValueError(f"the table's buckets hold {found} blocks, not {bucket_blocks}")
 
 
 def by_chain(df: DataFrame, chain_id: int) -> DataFrame:
@@ -51,26 +58,19 @@ def by_address(df: DataFrame, address_hex: str | None) -> DataFrame:
     return df.where(F.col("address") == hex_literal(_check_hex(address_hex, 20, "address"), 20))
 
 
-def from_block(df: DataFrame, n: int | None, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
+def from_block(df: DataFrame, n: int | None) -> DataFrame:
     if n is None:
         return df
-    out = df.where(F.col("block_number") >= F.lit(n).cast("bigint"))
-    if _bucketed(df):
-        out = out.where(F.col("block_bucket") >= _bucket_of(n, bucket_blocks))
-    return out
+    return _bucket_bound(df.where(F.col("block_number") >= F.lit(n).cast("bigint")), ">=", n)
 
 
-def to_block(df: DataFrame, n: int | None, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
+def to_block(df: DataFrame, n: int | None) -> DataFrame:
     if n is None:
         return df
-    out = df.where(F.col("block_number") <= F.lit(n).cast("bigint"))
-    if _bucketed(df):
-        out = out.where(F.col("block_bucket") <= _bucket_of(n, bucket_blocks))
-    return out
+    return _bucket_bound(df.where(F.col("block_number") <= F.lit(n).cast("bigint")), "<=", n)
 
 
 def block_range(df: DataFrame, lo: int | None, hi: int | None,
-                bucket_blocks: int = DEFAULT_BUCKET_BLOCKS,
                 block_col: str = "block_number") -> DataFrame:
     """Blocks ``lo..hi``, inclusive on both ends (S2); ``None`` = open."""
     if block_col != "block_number":
@@ -80,7 +80,7 @@ def block_range(df: DataFrame, lo: int | None, hi: int | None,
         if hi is not None:
             df = df.where(c <= hi)
         return df
-    return to_block(from_block(df, lo, bucket_blocks), hi, bucket_blocks)
+    return to_block(from_block(df, lo), hi)
 
 
 def cursor_condition(block: Column, index: Column) -> Column:
@@ -90,29 +90,17 @@ def cursor_condition(block: Column, index: Column) -> Column:
         (F.col("block_number") > block) | (F.col("log_index") > index))
 
 
-def after_cursor(df: DataFrame, block: int, index: int,
-                 bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
+def after_cursor(df: DataFrame, block: int, index: int) -> DataFrame:
     out = df.where(cursor_condition(F.lit(block).cast("bigint"), F.lit(index).cast("bigint")))
-    if _bucketed(df):
-        out = out.where(F.col("block_bucket") >= _bucket_of(block, bucket_blocks))
-    return out
+    return _bucket_bound(out, ">=", block)
 
 
-def at_position(df: DataFrame, chain_id: int, block: int, index: int,
-                bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
+def at_position(df: DataFrame, chain_id: int, block: int, index: int) -> DataFrame:
     """One position of one chain."""
     out = df.where((F.col("chain_id") == F.lit(chain_id).cast("bigint"))
                    & (F.col("block_number") == F.lit(block).cast("bigint"))
                    & (F.col("log_index") == F.lit(index).cast("bigint")))
-    if _bucketed(df):
-        out = out.where(F.col("block_bucket") == _bucket_of(block, bucket_blocks))
-    return out
-
-
-def all_of(predicates: list[Column | None]) -> Column:
-    """Conjunction of the present predicates (P8); none -> TRUE."""
-    present = [p for p in predicates if p is not None]
-    return reduce(lambda a, b: a & b, present) if present else F.lit(True)
+    return _bucket_bound(out, "=", block)
 
 
 def known_chain(df: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame]:

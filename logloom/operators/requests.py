@@ -9,10 +9,12 @@ and rejected ones with a ``reject_reason``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cursor import decode_cursor
+from ..functions.cursor import cursor_fits, decode_cursor
 from ..functions.hexcodec import hex_to_bytes, strip_prefix
 from ..schema import CURSOR_PATTERN, DEFAULT_PAGE_LIMIT, MAX_PAGE_LIMIT
 
@@ -42,7 +44,8 @@ def check_requests(requests: DataFrame, chains: DataFrame) -> tuple[DataFrame, D
         F.when(from_b < 0, F.lit("from_block_negative")),
         F.when(F.col("to_block") < 0, F.lit("to_block_negative")),
         F.when((limit < 1) | (limit > MAX_PAGE_LIMIT), F.lit("bad_limit")),
-        F.when(F.col("cursor").isNotNull() & ~F.col("cursor").rlike(CURSOR_PATTERN),
+        F.when(F.col("cursor").isNotNull() & ~(F.col("cursor").rlike(CURSOR_PATTERN)
+                                               & F.coalesce(cursor_fits("cursor"), F.lit(False))),
                F.lit("bad_cursor")),
     )
     checked = r.withColumn("reject_reason", reason).drop("_known")
@@ -59,3 +62,31 @@ def check_requests(requests: DataFrame, chains: DataFrame) -> tuple[DataFrame, D
     )
     bad = checked.where(F.col("reject_reason").isNotNull())
     return ok, bad
+
+
+_LONG_MAX = (1 << 63) - 1
+
+
+def request_fault(topic: str | None, address: str | None = None, from_block: int | None = None,
+                  to_block: int | None = None, cursor: str | None = None,
+                  page_limit: int | None = None) -> str | None:
+    """The ``reject_reason`` that :func:`check_requests` gives such a request
+    (its chain aside), or None.  The single-request API raises it."""
+    bare = lambda x: x[2:] if x[:2] in ("0x", "0X") else x
+    limit = DEFAULT_PAGE_LIMIT if page_limit is None else page_limit
+    if topic is None:
+        return "topic_missing"
+    if not re.fullmatch("[0-9a-fA-F]{0,64}", bare(topic)):
+        return "topic_invalid"
+    if address is not None and not re.fullmatch("[0-9a-fA-F]{1,40}", bare(address)):
+        return "address_invalid"
+    if from_block is not None and from_block < 0:
+        return "from_block_negative"
+    if to_block is not None and to_block < 0:
+        return "to_block_negative"
+    if not 1 <= limit <= MAX_PAGE_LIMIT:
+        return "bad_limit"
+    if cursor is not None and not (re.fullmatch(CURSOR_PATTERN.strip("^$"), cursor)
+                                   and all(int(x) <= _LONG_MAX for x in cursor.split(":"))):
+        return "bad_cursor"
+    return None

@@ -14,35 +14,33 @@ from pyspark.sql import functions as F
 from ..functions.cursor import encode_cursor
 from ..functions.formatting import format_logs, hex_projection
 from ..operators import filters as P
-from ..schema import CHAIN_URL_TEMPLATE, DEFAULT_BUCKET_BLOCKS, DEFAULT_PAGE_LIMIT, LOG_POSITION
+from ..operators.requests import request_fault
+from ..schema import CHAIN_URL_TEMPLATE, DEFAULT_PAGE_LIMIT, LOG_POSITION
+from ..streaming.finality import final_logs
 
 
 def select_logs(logs: DataFrame, chain_id: int, topic: str, address: str | None = None,
                 from_block: int | None = None, to_block: int | None = None,
-                cursor: str | None = None,
-                bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
+                cursor: str | None = None, bucket_blocks: int | None = None) -> DataFrame:
     """All logs matching one request, unordered.
 
-    A cursor replaces ``from_block``; ``to_block`` still applies (P7).
+    A cursor replaces ``from_block``; ``to_block`` still applies (P7).  A
+    request that ``check_requests`` would reject raises ``ValueError`` with its
+    reason.  The bucket width comes from the table; ``bucket_blocks`` only
+    states what the caller expects, and a different one is refused.
     """
+    fault = request_fault(topic, address, from_block, to_block, cursor)
+    if fault:
+        raise ValueError(fault)
+    P.check_width(logs, bucket_blocks)
     df = P.by_topic0(P.by_chain(logs, chain_id), topic)
     df = P.by_address(df, address)
     if cursor is not None:
-        b, i = _parse_cursor(cursor)
-        df = P.after_cursor(df, b, i, bucket_blocks)
+        b, i = map(int, cursor.split(":"))
+        df = P.after_cursor(df, b, i)
     else:
-        df = P.from_block(df, from_block if from_block is not None else 0, bucket_blocks)
-    return P.to_block(df, to_block, bucket_blocks)
-
-
-def _parse_cursor(cursor: str) -> tuple[int, int]:
-    parts = cursor.split(":")
-    def num(i):
-        try:
-            return int(parts[i])
-        except (IndexError, ValueError):
-            return 0
-    return num(0), num(1)
+        df = P.from_block(df, from_block if from_block is not None else 0)
+    return P.to_block(df, to_block)
 
 
 def in_position_order(df: DataFrame) -> DataFrame:
@@ -52,8 +50,18 @@ def in_position_order(df: DataFrame) -> DataFrame:
 def get_logs(logs: DataFrame, chain_id: int, topic: str, address: str | None = None,
              from_block: int | None = None, to_block: int | None = None,
              cursor: str | None = None, limit: int | None = DEFAULT_PAGE_LIMIT,
-             bucket_blocks: int = DEFAULT_BUCKET_BLOCKS, formatted: bool = True) -> DataFrame:
-    """One page (Q1): matching logs in position order, at most ``limit``."""
+             bucket_blocks: int | None = None, formatted: bool = True,
+             ceilings: DataFrame | None = None) -> DataFrame:
+    """One page (Q1): matching logs in position order, at most ``limit``.
+
+    With ``ceilings`` (``chain_id, safe``) no block above its chain's ceiling
+    is served."""
+    if limit is not None:
+        fault = request_fault(topic, page_limit=limit)
+        if fault:
+            raise ValueError(fault)
+    if ceilings is not None:
+        logs = final_logs(logs, ceilings)
     df = select_logs(logs, chain_id, topic, address, from_block, to_block, cursor, bucket_blocks)
     df = in_position_order(df)
     if limit is not None:
@@ -74,13 +82,14 @@ def page_cursor(page: DataFrame, limit: int, block="blockNumber", index="logInde
 
 
 def get_log(logs: DataFrame, chain_id: int, block: int, index: int,
-            bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
+            bucket_blocks: int | None = None) -> DataFrame:
     """The log at one position (Q4): 0 rows = not found.
 
     Two different logs can share a position (the key also has topic0 and
     address); the first by ``(topic0, address)`` is returned.
     """
-    df = P.at_position(logs, chain_id, block, index, bucket_blocks)
+    P.check_width(logs, bucket_blocks)
+    df = P.at_position(logs, chain_id, block, index)
     df = df.orderBy("topic0", "address").limit(1)
     return format_logs(hex_projection(df))
 

@@ -34,5 +34,6 @@ def logs(spark: SparkSession, sf_dir: str, bucket_blocks: int | None = None) ->
 
 
 def with_bucket(df: DataFrame, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
-    return df.withColumn("block_bucket",
-                         F.floor(F.col("block_number") / F.lit(bucket_blocks)).cast("bigint"))
+    """``block_bucket`` and the width it stands for, ``bucket_blocks``."""
+    return df.withColumn("bucket_blocks", F.lit(bucket_blocks).cast("bigint")) \
+        .withColumn("block_bucket", F.expr("block_number div bucket_blocks"))

@@ -53,7 +53,8 @@ DEFAULT_CHAINS = [
 # Size units of the readable-size format, fixed values.
 SIZE_UNITS = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"]
 
-# Blocks per ``block_bucket``; real chains use 100_000 or more.
+# Blocks per ``block_bucket`` when a table is written; readers take the width
+# from the table itself.  Real chains use 100_000 or more.
 DEFAULT_BUCKET_BLOCKS = 1_000
 
 # Column order of the logs table (the sort key is
@@ -88,10 +89,12 @@ LOGS_LANDED = T.StructType(LOGS.fields + [
 
 # Stored layout: the landed schema, the stream ranks kept by compaction
 # (position of the row inside its (chain, topic0, bucket) and
-# (chain, topic0, address, bucket) streams) and the derived pruning column.
+# (chain, topic0, address, bucket) streams) and the pruning columns: the width
+# the table's buckets were written with, and the bucket.
 LOGS_STORED = T.StructType(LOGS_LANDED.fields + [
     T.StructField("topic_rank", T.LongType(), False),
     T.StructField("address_rank", T.LongType(), False),
+    T.StructField("bucket_blocks", T.LongType(), False),
     T.StructField("block_bucket", T.LongType(), False),
 ])
 

@@ -7,7 +7,6 @@ setting is absent (local runs and tests) do we create one.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -51,6 +50,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="logloom-ckpt-")
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -60,10 +62,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the checkpoint folder."""
     root = checkpoint_root(spark)
-    path = f"{root}/logloom/{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("/"):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+    return f"{root}/logloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df, eager: bool = True):
@@ -71,8 +70,8 @@ def materialize(df, eager: bool = True):
 
     Used where one derived table feeds several branches of a plan (the ranked
     streams of the batch engine): the branches then read the written table
-    instead of recomputing it, and the table keeps its hash partitioning, so
-    joins and aggregates on the same key do not shuffle it again.  Survives
+    instead of recomputing it.  Its partitioning is not known to later plans,
+    so joins on it shuffle what they read; keep such tables narrow.  Survives
     executor loss (unlike a local checkpoint).
     """
     from pyspark import StorageLevel
@@ -86,19 +85,3 @@ def materialize(df, eager: bool = True):
     finally:
         if eager:
             df.unpersist()
-
-
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast ``df`` only after counting it; above ``max_rows`` keep the
-    shuffle join (AQE may still switch on measured sizes).
-
-    Meant for key tables derived from a request table: usually tiny, but a
-    request table has no size bound of its own.  ``df`` should be cheap to
-    count (checkpointed or small).
-    """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= max_rows else df

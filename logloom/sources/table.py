@@ -2,11 +2,12 @@
 
 Layout (SURVEY §4.3):
 
-* **landing** (append only): ``<root>/batch_id=N/`` Parquet, every copy of
-  every row with its ``ingest_seq``.  Re-writing a batch overwrites exactly
+* **landing** (append only): ``<root>/source=S/batch_id=N/`` Parquet, every
+  copy of every row with its ``ingest_seq``.  Re-writing a batch overwrites exactly
   its own directory, so a replayed batch is harmless (S15, T5).
 * **served**: the output of :func:`compact_logs`: keep-last rows,
-  ``partitionBy(chain_id, block_bucket)``, sorted inside files by
+  ``partitionBy(bucket_blocks, chain_id, block_bucket)``, so the table itself
+  tells its bucket width, sorted inside files by
   ``(topic0, block_number, log_index, address)`` so Parquet min/max statistics
   prune row groups for topic and block predicates, zstd, and a bloom filter
   on ``address`` (dictionary encoding is switched off for that column, else
@@ -15,31 +16,38 @@ Layout (SURVEY §4.3):
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dedup import dedup_logs
 from ..plans.tables import with_bucket
+from ..streaming.finality import final_logs
 from ..schema import DEFAULT_BUCKET_BLOCKS, FLUSH_ROWS, LOG_KEY, LOGS_LANDED, LOGS_STORED
 
 LANDED_WITH_BATCH = T.StructType(LOGS_LANDED.fields + [T.StructField("batch_id", T.LongType(), True)])
-BLOOM_NDV = 50_000  # distinct addresses per file the address bloom filter is sized for
-SORT_KEY = ["chain_id", "block_bucket", "topic0", "block_number", "log_index", "address"]
+LANDED_WITH_SOURCE = T.StructType(LANDED_WITH_BATCH.fields + [T.StructField("source", T.StringType(), True)])
+SORT_KEY = ["bucket_blocks", "chain_id", "block_bucket", "topic0", "block_number", "log_index", "address"]
 
 
-def append_logs(df: DataFrame, root: str, batch_id: int, max_records_per_file: int = FLUSH_ROWS) -> str:
-    """Write one landed batch to ``root/batch_id=N`` (replay-safe overwrite)."""
-    path = f"{root.rstrip('/')}/batch_id={int(batch_id)}"
+def append_logs(df: DataFrame, root: str, batch_id: int, max_records_per_file: int = FLUSH_ROWS,
+                source: str = "batch") -> str:
+    """Write one landed batch to ``root/source=S/batch_id=N`` (replay-safe
+    overwrite).  Batch numbers are a source's own: two streams, or a stream
+    restarted on a new checkpoint, never overwrite each other."""
+    path = f"{root.rstrip('/')}/source={quote(source, safe='')}/batch_id={int(batch_id)}"
     (df.select(*[f.name for f in LOGS_LANDED.fields])
        .write.mode("overwrite").option("compression", "zstd")
        .option("maxRecordsPerFile", max_records_per_file).parquet(path))
     return path
 
 
-def read_landed(spark: SparkSession, root: str) -> DataFrame:
+def read_landed(spark: SparkSession, root: str, with_source: bool = False) -> DataFrame:
     """All landed batches (with ``batch_id``), fixed schema, no inference."""
-    return spark.read.schema(LANDED_WITH_BATCH).parquet(root)
+    df = spark.read.schema(LANDED_WITH_SOURCE).parquet(root)
+    return df if with_source else df.drop("source")
 
 
 def read_logs(spark: SparkSession, path: str, footer_aggregates: bool = False) -> DataFrame:
@@ -63,21 +71,19 @@ def read_logs(spark: SparkSession, path: str, footer_aggregates: bool = False) -
         spark.conf.set(key, prev)
 
 
-def _writer(df: DataFrame, expected_ndv: int):
-    # The bloom filter is allocated per file for ``expected_ndv`` distinct
-    # addresses (50,000 -> ~64 KB at 1%); a file with more distinct values
-    # only gets a higher false-positive rate (less pruning, same results).
-    # The adaptive sizing option is not honoured by this Parquet build, so the
-    # size is set explicitly and capped.
+def _writer(df: DataFrame):
+    # A file holds at most FLUSH_ROWS rows, so at most that many distinct
+    # addresses: the bloom filter is sized for them (about 600 KB at 1%), and
+    # its false-positive rate holds however large the table is.
     return (df.write
             .option("compression", "zstd")
             .option("maxRecordsPerFile", FLUSH_ROWS)
             .option("parquet.bloom.filter.enabled#address", "true")
             .option("parquet.bloom.filter.fpp#address", "0.01")
-            .option("parquet.bloom.filter.expected.ndv#address", str(expected_ndv))
-            .option("parquet.bloom.filter.max.bytes", str(256 * 1024))
+            .option("parquet.bloom.filter.expected.ndv#address", str(FLUSH_ROWS))
+            .option("parquet.bloom.filter.max.bytes", str(1024 * 1024))
             .option("parquet.enable.dictionary#address", "false")
-            .partitionBy("chain_id", "block_bucket"))
+            .partitionBy("bucket_blocks", "chain_id", "block_bucket"))
 
 
 def layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -89,9 +95,9 @@ def layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
     partitioner.  ``partitions`` forces a range partitioning instead.
     """
     if partitions:
-        df = df.repartitionByRange(partitions, "chain_id", "block_bucket", "topic0", "block_number")
+        df = df.repartitionByRange(partitions, *SORT_KEY[:5])
     else:
-        df = df.hint("rebalance", "chain_id", "block_bucket")
+        df = df.hint("rebalance", "bucket_blocks", "chain_id", "block_bucket")
     return df.sortWithinPartitions(*SORT_KEY)
 
 
@@ -106,7 +112,7 @@ def served_rows(landed: DataFrame, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -
     """
     rows = with_bucket(landed, bucket_blocks).repartition("chain_id", "topic0", "block_bucket")
     rows = dedup_logs(rows, key=[*LOG_KEY, "block_bucket"], keep_seq=True)
-    pos = ["block_number", "log_index"]
+    pos = ["block_number", "log_index", "address"]  # two logs may share a position
     w_topic = Window.partitionBy("chain_id", "topic0", "block_bucket").orderBy(*pos)
     w_addr = Window.partitionBy("chain_id", "topic0", "block_bucket", "address").orderBy(*pos)
     rows = rows.withColumn("topic_rank", F.row_number().over(w_topic).cast("bigint")) \
@@ -115,47 +121,74 @@ def served_rows(landed: DataFrame, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -
 
 
 def compact_logs(landed: DataFrame, dst: str, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS,
-                 partitions: int | None = None, expected_ndv: int = BLOOM_NDV) -> str:
+                 partitions: int | None = None, ceilings: DataFrame | None = None) -> str:
     """Keep-last + stream ranks + layout, written to a fresh ``dst`` (S16+S17).
 
     Two exchanges: one on ``(chain_id, topic0, block_bucket)`` for the three
     windows of :func:`served_rows`, one ``rebalance`` on the output partition
     columns so each ``(chain, bucket)`` directory gets a few large files instead
-    of one small file per task (AQE splits a skewed bucket).
+    of one small file per task (AQE splits a skewed bucket).  With ``ceilings``
+    (``chain_id, safe``) only final blocks are served.
     """
+    if ceilings is not None:
+        landed = final_logs(landed, ceilings)
     rows = layout(served_rows(landed, bucket_blocks), partitions)
-    _writer(rows, expected_ndv).mode("errorifexists").parquet(dst)
+    _writer(rows).mode("errorifexists").parquet(dst)
     return dst
 
 
+def table_width(spark: SparkSession, path: str, expected: int | None = None) -> int:
+    """Blocks per bucket of a served table, from its partition directories;
+    a different ``expected`` width is refused."""
+    found = [r[0] for r in read_logs(spark, path).select("bucket_blocks").distinct().collect()]
+    if len(found) > 1:
+        raise ValueError(f"{path} mixes bucket widths: {sorted(found)}")
+    if expected is not None and found and found[0] != expected:
+        raise ValueError(f"{path} has buckets of {found[0]} blocks, not {expected}")
+    return found[0] if found else (expected or DEFAULT_BUCKET_BLOCKS)
+
+
+def in_partitions(df: DataFrame, touched: DataFrame) -> DataFrame:
+    """Rows of ``df`` in the ``(chain_id, block_bucket)`` partitions of
+    ``touched``, as literal partition filters.
+
+    Dynamic pruning depends on the caller's predicates; this does not.  The
+    touched list has at most one entry for each directory of the table, which
+    the driver lists anyway when it plans the scan."""
+    by_chain: dict[int, list[int]] = {}
+    for chain, bucket in touched.select("chain_id", "block_bucket").where(
+            "chain_id is not null and block_bucket is not null").distinct().collect():
+        by_chain.setdefault(chain, []).append(bucket)
+    keep = F.lit(False)
+    for chain, buckets in sorted(by_chain.items()):
+        keep = keep | ((F.col("chain_id") == chain) & F.col("block_bucket").isin(sorted(buckets)))
+    return df.where(keep)
+
+
 def compact_incremental(spark: SparkSession, new_landed: DataFrame, served: str, staging: str,
-                        bucket_blocks: int = DEFAULT_BUCKET_BLOCKS,
-                        partitions: int | None = None) -> str:
+                        bucket_blocks: int | None = None,
+                        partitions: int | None = None, ceilings: DataFrame | None = None) -> str:
     """Merge newly landed rows into the served table, bucket by bucket.
 
     1. read served rows of only the ``(chain, bucket)`` partitions the new rows
-       touch (a semi-join on partition columns: dynamic partition pruning),
-       union the new rows, keep-last, write to a fresh ``staging`` path;
-    2. copy staging over ``served`` with dynamic partition overwrite, which
-       replaces exactly the partitions present in staging.
+       touch, union the new rows, keep-last, write to a fresh ``staging`` path;
+    2. write staging over ``served`` with dynamic partition overwrite, which
+       replaces exactly the partitions present in staging, laid out and sorted
+       again so that the served files stay in key order.
 
-    Never reads and overwrites the same path in one job.
+    The bucket width is the table's own.  Never reads and overwrites the same
+    path in one job.
     """
-    new = with_bucket(new_landed, bucket_blocks).select(*[f.name for f in LOGS_LANDED.fields],
-                                                         "block_bucket")
-    touched = new.select("chain_id", "block_bucket").distinct()
-    old = read_logs(spark, served).join(touched, ["chain_id", "block_bucket"], "left_semi") \
-        .select(*new.columns)
+    bucket_blocks = table_width(spark, served, bucket_blocks)
+    if ceilings is not None:
+        new_landed = final_logs(new_landed, ceilings)
+    new = with_bucket(new_landed, bucket_blocks).select(*[f.name for f in LOGS_LANDED.fields], "block_bucket")
+    old = in_partitions(read_logs(spark, served), new).select(*new.columns)
     # ranks are recomputed over whole touched partitions (old rows + new)
-    merged = served_rows(old.unionByName(new).drop("block_bucket"), bucket_blocks)
-    merged = layout(merged, partitions)
-    _writer(merged, BLOOM_NDV).mode("errorifexists").parquet(staging)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        _writer(read_logs(spark, staging), BLOOM_NDV).mode("overwrite").parquet(served)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    merged = layout(served_rows(old.unionByName(new).drop("block_bucket"), bucket_blocks), partitions)
+    _writer(merged).mode("errorifexists").parquet(staging)
+    (_writer(layout(read_logs(spark, staging), partitions)).option("partitionOverwriteMode", "dynamic")
+     .mode("overwrite").parquet(served))
     return served
 
 

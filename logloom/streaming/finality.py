@@ -46,8 +46,10 @@ def safe_ceiling(events: DataFrame, chains: DataFrame) -> DataFrame:
 
 
 def latest_ceiling(safes: DataFrame) -> DataFrame:
-    """The ceiling of the latest height event per chain (partial aggregation)."""
-    return safes.groupBy("chain_id").agg(F.max_by("safe", "seq").alias("safe"))
+    """The ceiling per chain: the highest safe block so far (partial
+    aggregation).  It never steps back: what was final stays final, also when
+    a later event reports a lower height."""
+    return safes.groupBy("chain_id").agg(F.max("safe").alias("safe"))
 
 
 def final_logs(logs: DataFrame, ceilings: DataFrame) -> DataFrame:
@@ -119,12 +121,30 @@ def plan_ranges(safes: DataFrame, start=0, mode: str = "gapless") -> DataFrame:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def coverage_gaps(ranges: DataFrame, chunk_blocks: int = VALUE_CHUNK) -> DataFrame:
+def coverage_gaps(ranges: DataFrame, chunk_blocks: int = VALUE_CHUNK,
+                  planned: DataFrame | None = None) -> DataFrame:
     """Blocks not covered by any ingested range, per chain.
 
     ``ranges``: ``chain_id, from_block, to_block`` (inclusive).  A gap starts
-    after the running max of earlier ``to_block``s.
+    after the running max of earlier ``to_block``s.  Without ``planned`` these
+    are the gaps between covered blocks.  With ``planned`` (the same columns,
+    e.g. the planner's ranges) every planned block that is not covered is
+    reported, before the first and after the last covered one too, and for
+    chains without any covered block; blocks that no plan asks for are none.
     """
+    cols = ["chain_id", "from_block", "to_block"]
+    ranges = ranges.select(*cols)
+    if planned is not None:
+        planned = planned.select(*cols)
+        extent = planned.groupBy("chain_id").agg(F.min("from_block").alias("lo"), F.max("to_block").alias("hi"))
+        # guards just outside the plan, and what lies between its ranges, count as covered
+        guards = extent.select("chain_id", F.explode(F.array(F.col("lo") - 1, F.col("hi") + 1)).alias("from_block")) \
+            .withColumn("to_block", F.col("from_block"))
+        unplanned = coverage_gaps(planned, chunk_blocks).toDF(*cols)
+        inside = ranges.join(F.broadcast(extent), "chain_id").select(
+            "chain_id", F.greatest("from_block", "lo").alias("from_block"), F.least("to_block", "hi").alias("to_block")) \
+            .where("from_block <= to_block")
+        ranges = inside.unionByName(guards).unionByName(unplanned)
     r = running_agg(ranges, ["chain_id"], ["from_block", "to_block"], "to_block",
                     F.floor(F.col("from_block") / chunk_blocks), "max", inclusive=False,
                     out="_prev_to")

@@ -8,7 +8,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from logloom import session
+from logloom.checks.registry import REGISTRY
 
 from .conftest import SF_SMALL
 
@@ -17,16 +18,39 @@ GLOBAL_WINDOW_OK = {"export_manifest", "export_chunks"}
 UNPARTITIONED = re.compile(r"windowspecdefinition\([^,()]+? (ASC|DESC) NULLS")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
-def test_plan_has_no_cross_product_or_global_window(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-    if name not in GLOBAL_WINDOW_OK:
-        assert not UNPARTITIONED.search(plan), plan
+@pytest.fixture
+def executed(spark, monkeypatch):
+    """Plans of everything a query writes, checkpoints or streams on its way."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, frame = [], type(spark.range(0))
+    note = lambda df: None if df.isStreaming else plans.append(
+        df._jdf.queryExecution().executedPlan().toString())
+    parquet, save, checkpoint = DataFrameWriter.parquet, DataFrameWriter.save, frame.checkpoint
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (note(self._df), parquet(self, *a, **b))[1])
+    monkeypatch.setattr(DataFrameWriter, "save", lambda self, *a, **b: (note(self._df), save(self, *a, **b))[1])
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **b: (note(self), checkpoint(self, *a, **b))[1])
+    return plans
+
+
+@pytest.mark.parametrize("name", sorted(REGISTRY))
+def test_plan_has_no_cross_product_or_global_window(spark, name, executed):
+    df = REGISTRY[name][0](spark, SF_SMALL)
+    for plan in [df._jdf.queryExecution().executedPlan().toString(), *executed]:
+        assert "CartesianProduct" not in plan
+        assert "BroadcastNestedLoopJoin" not in plan
+        if name not in GLOBAL_WINDOW_OK:
+            assert not UNPARTITIONED.search(plan), plan
+
+
+def test_plans_before_writes_are_seen(spark, executed):
+    REGISTRY["compact_logs"][0](spark, SF_SMALL)
+    assert any("Window" in p for p in executed)
 
 
 def test_detector_sees_the_known_global_window(spark):
-    df = E.queries()["export_manifest"](spark, SF_SMALL)
-    assert UNPARTITIONED.search(df._jdf.queryExecution().executedPlan().toString())
+    from logloom.plans import export
+    path = session.scratch_path(spark, "t-export")
+    from logloom.plans import tables
+    m = export.export_logs(tables.logs(spark, SF_SMALL), path, 1, "0x0")
+    assert UNPARTITIONED.search(m._jdf.queryExecution().executedPlan().toString())

@@ -20,7 +20,7 @@ def test_served_table_prunes_and_pushes(spark):
     page = Q.get_logs(served, 1, R.PAGE_TOPIC, from_block=1000, to_block=3000, limit=10, bucket_blocks=1000)
     p = _plan(page)
     assert "TakeOrderedAndProject" in p
-    assert "PartitionFilters: [isnotnull(chain_id" in p and "block_bucket" in p
+    assert "PartitionFilters: [isnotnull(chain_id" in p and "block_bucket" in p and "isnotnull(bucket_blocks" in p
     assert "PushedFilters: [IsNotNull(topic0), EqualTo(topic0" in p or "EqualTo(topic0" in p
     assert page.count() == 10
 
@@ -62,8 +62,7 @@ def test_stats_report_footer_path_equals_scan(spark):
     from logloom.plans.stats import log_stats_report
     dst = TB.compact_logs(tables.landed_logs(spark, SF_SMALL), scratch_path(spark, "t-served"), 1000)
     tips, chains = FX.chain_tips(spark, SF_SMALL), FX.chains(spark)
-    ids = [c for c, _n, _m in FX.FIXTURE_CHAINS]
-    a = log_stats_report(spark, dst, tips, chains).collect()
-    b = log_stats_report(spark, dst, tips, chains, chain_ids=ids)
+    a = log_stats_report(spark, dst, tips, chains, from_footers=False).collect()
+    b = log_stats_report(spark, dst, tips, chains)
     assert "PushedAggregation: [COUNT(*), MAX(block_number)]" in _plan(b)
     assert sorted(map(tuple, a)) == sorted(map(tuple, b.collect()))
