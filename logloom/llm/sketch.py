@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import GOLD, mixed
+from logloom.llm.common import GOLD
 
 #: bytes of text for one bucket, and the fewest buckets
 BUCKET_BYTES = 16 << 20
@@ -75,8 +75,9 @@ class SlicedBloom:
 
     @staticmethod
     def places(event: np.ndarray, width: int, probes: int) -> Iterator[np.ndarray]:
-        """Bit numbers of an event inside its slice, one array for each probe."""
-        x = mixed(event ^ GOLD)
+        """Bit numbers of an event (a well mixed hash) inside its slice, one
+        array for each probe."""
+        x = event * GOLD
         a, step = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
         for k in range(probes):
             yield ((a + np.uint64(k) * step & np.uint64(0xFFFFFFFF)) * np.uint64(width)) >> np.uint64(32)
@@ -94,7 +95,7 @@ class SlicedBloom:
         out = np.zeros(len(keys), bool)
         left = np.arange(len(keys))
         base = (keys >> np.uint64(64 - self.bits)) * np.uint64(self.width)
-        x = mixed(events ^ GOLD)
+        x = events * GOLD
         a, step = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
         for k in range(self.probes):
             at = base[left] + (((a[left] + np.uint64(k) * step[left] & np.uint64(0xFFFFFFFF)) * np.uint64(self.width)) >> np.uint64(32))
