@@ -1014,3 +1014,16 @@ def q_quarantine_reasons(spark, sf_dir):
             headed = headed.withColumn(col, F.when(kind == i, F.lit(value)).otherwise(F.col(col)))
     d = D.decode_logs(headed)
     return d.groupBy(F.coalesce(F.col("reject_reason"), F.lit("ok")).alias("reject_reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("served_batch_cells", REGISTRY["get_logs_batch"][1])
+def q_served_batch_cells(spark, sf_dir):
+    """Batched pages from wide storage buckets with narrow rank cells."""
+    served = TB.read_logs(spark, TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
+                                                 OTHER_WIDTH, cell_blocks=500))
+    ok, _ = _requests(spark, sf_dir)
+    ok = materialize(ok)
+    ranked = materialize(B.served_streams(served, [], requests=ok))
+    rows = B.get_logs_batch(ranked, ok, payload_from=served)
+    return rows.select("request_id", "n", "block_number", "log_index", bare_hex("address"),
+                       bare_hex("data"), bare_hex("topic0"), bare_hex("transaction_hash"))

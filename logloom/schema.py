@@ -88,13 +88,14 @@ LOGS_LANDED = T.StructType(LOGS.fields + [
 ])
 
 # Stored layout: the landed schema, the stream ranks kept by compaction
-# (position of the row inside its (chain, topic0, bucket) and
-# (chain, topic0, address, bucket) streams) and the pruning columns: the width
-# the table's buckets were written with, and the bucket.
+# (position of the row inside its (chain, topic0, cell) and
+# (chain, topic0, address, cell) streams) and the partition columns: the
+# widths of the table's storage buckets and rank cells, and the bucket.
 LOGS_STORED = T.StructType(LOGS_LANDED.fields + [
     T.StructField("topic_rank", T.LongType(), False),
     T.StructField("address_rank", T.LongType(), False),
     T.StructField("bucket_blocks", T.LongType(), False),
+    T.StructField("cell_blocks", T.LongType(), False),
     T.StructField("block_bucket", T.LongType(), False),
 ])
 

@@ -6,8 +6,8 @@ Layout (SURVEY §4.3):
   copy of every row with its ``ingest_seq``.  Re-writing a batch overwrites exactly
   its own directory, so a replayed batch is harmless (S15, T5).
 * **served**: the output of :func:`compact_logs`: keep-last rows,
-  ``partitionBy(bucket_blocks, chain_id, block_bucket)``, so the table itself
-  tells its bucket width, sorted inside files by
+  ``partitionBy(bucket_blocks, cell_blocks, chain_id, block_bucket)``, so the
+  table itself tells the widths of its buckets and rank cells, sorted inside files by
   ``(topic0, block_number, log_index, address)`` so Parquet min/max statistics
   prune row groups for topic and block predicates, zstd, and a bloom filter
   on ``address`` (dictionary encoding is switched off for that column, else
@@ -29,7 +29,7 @@ from ..schema import DEFAULT_BUCKET_BLOCKS, FLUSH_ROWS, LOG_KEY, LOGS_LANDED, LO
 
 LANDED_WITH_BATCH = T.StructType(LOGS_LANDED.fields + [T.StructField("batch_id", T.LongType(), True)])
 LANDED_WITH_SOURCE = T.StructType(LANDED_WITH_BATCH.fields + [T.StructField("source", T.StringType(), True)])
-SORT_KEY = ["bucket_blocks", "chain_id", "block_bucket", "topic0", "block_number", "log_index", "address"]
+SORT_KEY = ["bucket_blocks", "cell_blocks", "chain_id", "block_bucket", "topic0", "block_number", "log_index", "address"]
 
 
 def append_logs(df: DataFrame, root: str, batch_id: int, max_records_per_file: int = FLUSH_ROWS,
@@ -83,7 +83,7 @@ def _writer(df: DataFrame):
             .option("parquet.bloom.filter.expected.ndv#address", str(FLUSH_ROWS))
             .option("parquet.bloom.filter.max.bytes", str(1024 * 1024))
             .option("parquet.enable.dictionary#address", "false")
-            .partitionBy("bucket_blocks", "chain_id", "block_bucket"))
+            .partitionBy("bucket_blocks", "cell_blocks", "chain_id", "block_bucket"))
 
 
 def layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -95,57 +95,72 @@ def layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
     partitioner.  ``partitions`` forces a range partitioning instead.
     """
     if partitions:
-        df = df.repartitionByRange(partitions, *SORT_KEY[:5])
+        df = df.repartitionByRange(partitions, *SORT_KEY[:6])
     else:
-        df = df.hint("rebalance", "bucket_blocks", "chain_id", "block_bucket")
+        df = df.hint("rebalance", "bucket_blocks", "cell_blocks", "chain_id", "block_bucket")
     return df.sortWithinPartitions(*SORT_KEY)
 
 
-def served_rows(landed: DataFrame, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
+def default_cell(bucket_blocks: int) -> int:
+    """Blocks of a rank cell: a storage bucket, or a narrower standard cell
+    where the bucket is a multiple of it."""
+    return DEFAULT_BUCKET_BLOCKS if bucket_blocks % DEFAULT_BUCKET_BLOCKS == 0 else bucket_blocks
+
+
+def served_rows(landed: DataFrame, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS,
+                cell_blocks: int | None = None) -> DataFrame:
     """Keep-last rows with ``block_bucket`` and the two stream ranks.
 
-    All three windows (keep-last on the log key, rank in the topic stream,
-    rank in the topic+address stream) are clustered by a superset of
-    ``(chain_id, topic0, block_bucket)``, so Spark satisfies them with a
-    single hash exchange on those columns.  A group is at most one bucket of
-    one topic, however hot the topic.
+    Storage buckets may be wide (few directories) while ranks are counted in
+    narrower cells of ``cell_blocks`` blocks.  All three windows (keep-last on
+    the log key, rank in the topic stream, rank in the topic+address stream)
+    are clustered by a superset of ``(chain_id, topic0, cell)``, so Spark
+    satisfies them with a single hash exchange on those columns.  A group is
+    at most one cell of one topic, however hot the topic and wide the bucket.
     """
-    rows = with_bucket(landed, bucket_blocks).repartition("chain_id", "topic0", "block_bucket")
-    rows = dedup_logs(rows, key=[*LOG_KEY, "block_bucket"], keep_seq=True)
+    cell_blocks = cell_blocks or default_cell(bucket_blocks)
+    if bucket_blocks % cell_blocks:
+        raise ValueError(f"a bucket of {bucket_blocks} blocks does not hold whole cells of {cell_blocks}")
+    rows = with_bucket(landed, bucket_blocks).withColumn("cell_blocks", F.lit(cell_blocks).cast("bigint")) \
+        .withColumn("_cell", F.expr("block_number div cell_blocks")).repartition("chain_id", "topic0", "_cell")
+    rows = dedup_logs(rows, key=[*LOG_KEY, "_cell"], keep_seq=True)
     pos = ["block_number", "log_index", "address"]  # two logs may share a position
-    w_topic = Window.partitionBy("chain_id", "topic0", "block_bucket").orderBy(*pos)
-    w_addr = Window.partitionBy("chain_id", "topic0", "block_bucket", "address").orderBy(*pos)
+    w_topic = Window.partitionBy("chain_id", "topic0", "_cell").orderBy(*pos)
+    w_addr = Window.partitionBy("chain_id", "topic0", "_cell", "address").orderBy(*pos)
     rows = rows.withColumn("topic_rank", F.row_number().over(w_topic).cast("bigint")) \
         .withColumn("address_rank", F.row_number().over(w_addr).cast("bigint"))
     return rows.select(*[f.name for f in LOGS_STORED.fields])
 
 
 def compact_logs(landed: DataFrame, dst: str, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS,
-                 partitions: int | None = None, ceilings: DataFrame | None = None) -> str:
+                 partitions: int | None = None, ceilings: DataFrame | None = None,
+                 cell_blocks: int | None = None) -> str:
     """Keep-last + stream ranks + layout, written to a fresh ``dst`` (S16+S17).
 
-    Two exchanges: one on ``(chain_id, topic0, block_bucket)`` for the three
-    windows of :func:`served_rows`, one ``rebalance`` on the output partition
-    columns so each ``(chain, bucket)`` directory gets a few large files instead
-    of one small file per task (AQE splits a skewed bucket).  With ``ceilings``
-    (``chain_id, safe``) only final blocks are served.
+    Two exchanges: one on ``(chain_id, topic0, cell)`` for the three windows of
+    :func:`served_rows`, one ``rebalance`` on the output partition columns so
+    each ``(chain, bucket)`` directory gets a few large files instead of one
+    small file per task (AQE splits a skewed bucket).  With ``ceilings``
+    (``chain_id, safe``) only final blocks are served; later ones stay in the
+    landing table until a run with a higher ceiling.
     """
     if ceilings is not None:
         landed = final_logs(landed, ceilings)
-    rows = layout(served_rows(landed, bucket_blocks), partitions)
+    rows = layout(served_rows(landed, bucket_blocks, cell_blocks), partitions)
     _writer(rows).mode("errorifexists").parquet(dst)
     return dst
 
 
-def table_width(spark: SparkSession, path: str, expected: int | None = None) -> int:
-    """Blocks per bucket of a served table, from its partition directories;
-    a different ``expected`` width is refused."""
-    found = [r[0] for r in read_logs(spark, path).select("bucket_blocks").distinct().collect()]
+def table_width(spark: SparkSession, path: str, expected: int | None = None) -> tuple[int, int]:
+    """Blocks per bucket and per rank cell of a served table, from its
+    partition directories; a different ``expected`` bucket is refused."""
+    found = [tuple(r) for r in read_logs(spark, path).select("bucket_blocks", "cell_blocks").distinct().collect()]
     if len(found) > 1:
-        raise ValueError(f"{path} mixes bucket widths: {sorted(found)}")
-    if expected is not None and found and found[0] != expected:
-        raise ValueError(f"{path} has buckets of {found[0]} blocks, not {expected}")
-    return found[0] if found else (expected or DEFAULT_BUCKET_BLOCKS)
+        raise ValueError(f"{path} mixes widths: {sorted(found)}")
+    if expected is not None and found and found[0][0] != expected:
+        raise ValueError(f"{path} has buckets of {found[0][0]} blocks, not {expected}")
+    width = expected or DEFAULT_BUCKET_BLOCKS
+    return found[0] if found else (width, default_cell(width))
 
 
 def in_partitions(df: DataFrame, touched: DataFrame) -> DataFrame:
@@ -179,13 +194,14 @@ def compact_incremental(spark: SparkSession, new_landed: DataFrame, served: str,
     The bucket width is the table's own.  Never reads and overwrites the same
     path in one job.
     """
-    bucket_blocks = table_width(spark, served, bucket_blocks)
+    bucket_blocks, cell_blocks = table_width(spark, served, bucket_blocks)
     if ceilings is not None:
         new_landed = final_logs(new_landed, ceilings)
     new = with_bucket(new_landed, bucket_blocks).select(*[f.name for f in LOGS_LANDED.fields], "block_bucket")
     old = in_partitions(read_logs(spark, served), new).select(*new.columns)
     # ranks are recomputed over whole touched partitions (old rows + new)
-    merged = layout(served_rows(old.unionByName(new).drop("block_bucket"), bucket_blocks), partitions)
+    merged = layout(served_rows(old.unionByName(new).drop("block_bucket"), bucket_blocks, cell_blocks),
+                    partitions)
     _writer(merged).mode("errorifexists").parquet(staging)
     (_writer(layout(read_logs(spark, staging), partitions)).option("partitionOverwriteMode", "dynamic")
      .mode("overwrite").parquet(served))

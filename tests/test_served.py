@@ -48,6 +48,22 @@ def test_any_width_is_read_back_whole(spark, landed, width):
         Q.select_logs(served, 1, R.PAGE_TOPIC, bucket_blocks=width + 1)
 
 
+def test_rank_cells_are_narrower_than_buckets(spark, landed):
+    with pytest.raises(ValueError, match="whole cells"):
+        TB.compact_logs(landed, scratch_path(spark, "t-cell"), 1000, cell_blocks=300)
+    path = TB.compact_logs(landed.where("ingest_seq = 1"), scratch_path(spark, "t-cell"), 6000, cell_blocks=500)
+    assert TB.table_width(spark, path) == (6000, 500)
+    TB.compact_incremental(spark, landed.where("ingest_seq = 2"), path, scratch_path(spark, "t-cell-st"))
+    served = TB.read_logs(spark, path)
+    per_cell = served.groupBy("chain_id", "topic0", F.expr("block_number div 500").alias("c")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("topic_rank").alias("top"), F.countDistinct("topic_rank").alias("d"))
+    assert per_cell.where("n <> top or n <> d").count() == 0
+    ranked = B.served_streams(served, [])
+    assert B.stream_width(ranked) == 500
+    with pytest.raises(ValueError, match="500"):
+        B.stream_width(ranked, 6000)
+
+
 def test_lookups_and_merges_prune_without_caller_filters(spark, landed):
     path = TB.compact_logs(landed.where("ingest_seq = 1"), scratch_path(spark, "t-prune"), 500)
     served = TB.read_logs(spark, path)
