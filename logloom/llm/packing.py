@@ -34,9 +34,9 @@ from logloom.llm.common import batch_of, batches, schema_of, text_bytes, word_ha
 
 CAPACITY = 4096
 END_ID = 1
-#: items of a packing group, and words or pieces of words a worker remembers (under 300 MB)
+#: items of a packing group, and words or pieces of words a worker remembers (under 200 MB)
 GROUP = 20_000
-MOST_KNOWN = 1_500_000
+MOST_KNOWN = 600_000
 #: a bin with less room than this is nearly full
 NEARLY = 8
 #: bytes whose words are hashed at once
@@ -207,8 +207,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
         def rows():
             for big in it:
-                for at in range(0, big.num_rows, 400):
-                    b = big.slice(at, 400)
+                for at in range(0, big.num_rows, 2000):
+                    b = big.slice(at, 2000)
                     for doc, ids in zip(b.column(0).to_pylist(), known.of(text_bytes(b.column(1)))):
                         for k in range(0, len(ids), capacity):
                             raw = ids[k:k + capacity].astype("<u4").tobytes()
