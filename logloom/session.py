@@ -20,6 +20,7 @@ SESSION_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Parquet footers answer count/max on the compacted table.
     "spark.sql.parquet.aggregatePushdown": "true",
 }
@@ -59,10 +60,25 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the checkpoint folder."""
     root = checkpoint_root(spark)
-    return f"{root}/logloom/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{root}/logloom/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process has made so far; to be
+    called once the results that read them are written.  Returns how many."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialize(df, eager: bool = True):

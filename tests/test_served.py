@@ -224,6 +224,16 @@ def test_a_shared_folder_is_asked_for_off_local():
         checkpoint_root(Session())
 
 
+def test_scratch_can_be_dropped(spark, monkeypatch):
+    from logloom import session
+    monkeypatch.setattr(session, "_made", [])
+    path = scratch_path(spark, "t-drop")
+    spark.range(3).write.parquet(path)
+    assert session.drop_scratch(spark) == 1 and session.drop_scratch(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_hex_projection_still_reads_the_served_table(spark, landed):
     served = TB.read_logs(spark, TB.compact_logs(landed, scratch_path(spark, "t-hex")))
     assert hex_projection(served).count() == tables.logs(spark, SF_SMALL).count()
