@@ -116,7 +116,7 @@ SELECT c_custkey AS request_id,
   CASE WHEN c_custkey % 5 = 0 THEN '0x' || substring(sha256('addr:' || CAST(c_custkey % 100 AS STRING)), 25, 40) END AS address,
   CASE WHEN c_custkey % 8 <> 0 THEN c_custkey * 5 END AS from_block,
   CASE WHEN c_custkey % 6 <> 0 THEN c_custkey * 5 + 2000 END AS to_block,
-  CASE WHEN c_custkey % 50 = 8 THEN 'abc' WHEN c_custkey % 4 = 1 THEN CAST(c_custkey * 6 AS STRING) || ':0' END AS cursor,
+  CASE WHEN c_custkey % 50 = 8 THEN 'abc' WHEN c_custkey % 50 = 12 THEN '99999999999999999999:0' WHEN c_custkey % 4 = 1 THEN CAST(c_custkey * 6 AS STRING) || ':0' END AS cursor,
   CASE WHEN c_custkey % 50 = 7 THEN CAST(0 AS BIGINT) WHEN c_custkey % 9 <> 0 THEN CAST(5 + c_custkey % 7 AS BIGINT) END AS page_limit
 FROM customer
 """)

@@ -179,7 +179,7 @@ def log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         address.alias("address"),
         F.when(k % 8 != 0, k * 5).alias("from_block"),
         F.when(k % 6 != 0, k * 5 + 2000).alias("to_block"),
-        F.when(k % 50 == 8, F.lit("abc"))
+        F.when(k % 50 == 8, F.lit("abc")).when(k % 50 == 12, F.lit("99999999999999999999:0"))
          .when(k % 4 == 1, F.concat((k * 6).cast("string"), F.lit(":0"))).alias("cursor"),
         F.when(k % 50 == 7, F.lit(0).cast("bigint"))
          .when(k % 9 != 0, (5 + k % 7).cast("bigint")).alias("page_limit"),
