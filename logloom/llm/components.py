@@ -9,11 +9,14 @@ from logloom.llm.common import written
 
 
 def _stars(e: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on edges (u, v) with u > v."""
+    """One large-star and one small-star step on edges (u, v) with u > v.
+
+    The minima are written before they are joined back, so both sides of each
+    join are plain exchanges and a hub's edges can be split over tasks."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    down = large.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+    large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+    down = written(large.groupBy("u").agg(F.min("v").alias("m")), "down")
     small = (large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
              .unionByName(down.select("u", F.col("m").alias("v"))))
     return small.distinct()
