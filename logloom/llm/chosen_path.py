@@ -329,3 +329,21 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
             .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("f"))
             .select(F.col("f.__row").alias("__row")))
     return ided.join(keep, "__row", "left_semi").select("__doc.*")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(
+             range(1, greatest(len(ws) - 3, 2)), lambda i: md5(array_to_string(ws[i:i + 4], ' ')))) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS n
+      FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * n >= 75 * (na + nb - n)),
+p AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (WITH RECURSIVE q(v, reach) AS (SELECT a, b FROM p UNION SELECT q.v, p.b FROM q JOIN p ON q.reach = p.a)
+      SELECT v, min(reach) AS least FROM q GROUP BY v)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(r.least, s.doc_id)) AS component_id,
+       s.doc_id <= coalesce(r.least, s.doc_id) AS kept
+FROM s LEFT JOIN r ON r.v = s.doc_id
+"""

@@ -53,10 +53,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_lm_scoring": (op1_lm_scoring, None),
-    "op2_minhash_near_dedup": (op2_minhash_near_dedup, None),
+    "op2_minhash_near_dedup": (op2_minhash_near_dedup, chosen_path.SQL),
     "op3_exact_dedup": (op3_exact_dedup, exact_dedup.SQL),
     "op4_embedding_near_dedup": (op4_embedding_near_dedup, embed_dedup.SQL),
-    "op5_substring_dedup": (op5_substring_dedup, None),
+    "op5_substring_dedup": (op5_substring_dedup, substring_dedup.SQL),
     "op6_mix_sources": (op6_mix_sources, mixing.SQL),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op8_url_filter": (op8_url_filter, url_filter.sql()),

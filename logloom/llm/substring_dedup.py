@@ -278,3 +278,18 @@ def substring_report(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
 
 def substring_digest(docs: DataFrame) -> DataFrame:
     return substring_report(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id,
+                  coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+h AS (SELECT r, id, unnest(list_transform(range(1, greatest(len(ws) - 48, 1)),
+                                          lambda i: md5(array_to_string(ws[i:i + 49], ' ')))) AS t,
+             unnest(range(1, greatest(len(ws) - 48, 1))) AS i FROM w),
+m AS (SELECT r, i, min(id) OVER (PARTITION BY t) < id AS gone FROM h),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS k FROM m WHERE gone),
+k AS (SELECT r, list(k) AS ks, count(*) AS n FROM g GROUP BY r)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(k.ks, i), FALSE)), ' ')) AS kept_sha256
+FROM w LEFT JOIN k ON k.r = w.r
+"""
