@@ -147,7 +147,8 @@ def group_copies(docs: DataFrame, *keys: str) -> DataFrame:
     """``keys`` of every row with its group (fp, n_bytes, variant) and sha."""
     rows = written(fingerprints(docs, *keys), "fingerprints")
     repeated = rows.groupBy("fp", "n_bytes").count().filter("count > 1").select("fp", "n_bytes")
-    split = collisions(docs, repeated).withColumn("collides", F.lit(True))
+    # written: the join then sees two plain exchanges and can split a hot group
+    split = written(collisions(docs, repeated).withColumn("collides", F.lit(True)), "collisions")
     return (rows.join(split, ["fp", "n_bytes"], "left")
             .withColumn("variant", F.when(F.col("collides"), F.col("sha")).otherwise(F.lit("")))
             .drop("collides"))
