@@ -8,22 +8,23 @@ start, so exact copies, however many, cost one row.  Every vertex carries
 A tree is a recursion: a node picks one minwise position from its own path and
 branches its documents by their token there.  A node of at most ``LEAF``
 documents is compared exhaustively; a larger one branches again, and a node
-still larger after ``DEPTH`` branchings is compared in blocks that all hold
-one common pivot.  Sixteen independent trees (``ROUNDS``) reach the recall: a pair of
-similarity 0.75 meets in a small node of one tree with probability 0.75 per
-branching, so 16 trees miss a pair with probability 2e-10 after one branching
-and under 1e-3 after four.
+still larger after ``DEPTH`` branchings is compared exhaustively as well, in
+tiles of two blocks.  Sixteen independent trees reach the recall: a pair of
+similarity 0.75 stays together with probability 0.75 per branching, so 16
+trees miss it with probability 2e-10 after one branching, 2.3e-3 after four and
+4.3e-2 after six, the most there are.
 
 A node's comparison estimates similarity from the minwise tokens and leaves
 out pairs under ``SCREEN`` (over 4 standard errors below the threshold).  What
 is left is confirmed on the full sets.
 
-Trees run in two rounds.  The first joins most of every group: it confirms
-only ``FORESTS`` spanning forests of a node's pairs, best estimates first,
-which are as many pairs as documents and not their square.  The second drops
-every node whose documents are in one component by then, and confirms all
-pairs between different components, but for those that pairs of estimates
-over ``SURE`` join anyway.
+Trees run in two rounds (``ROUNDS``).  The first joins most of every group: two
+trees, large nodes only in blocks that hold one common pivot, and only
+``FORESTS`` spanning forests of a node's pairs are confirmed, best estimates
+first, which are as many pairs as documents and not their square.  The second
+takes all sixteen trees, these two again.  It drops every node whose documents
+are in one component by then, and confirms all pairs between different
+components, but for those that pairs of estimates over ``SURE`` join anyway.
 
 Defined cases: null and empty texts have no set, link with nothing and are
 their own component; rows that repeat an id are separate rows, equal sets
@@ -50,7 +51,9 @@ THRESHOLD_PCT = 75
 WIDTH = 64
 LEAF = 64
 DEPTH = 6
-ROUNDS = (range(0, 2), range(2, 16))
+ROUNDS = (range(0, 2), range(0, 16))
+#: documents of one block of a tile
+BLOCK = 256
 SCREEN = 0.5
 FORESTS = 3
 SURE = 0.92
@@ -124,9 +127,51 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(written(nodes.filter("lo <> hi").select("path", "n"), "node-sizes"), "path")
 
 
-def leaves(vertices: DataFrame, trees: range) -> DataFrame:
-    """(node, v, comp): small nodes of the given trees, and blocks of nodes
-    that are still large after DEPTH branchings.
+def _pivoted(rows: DataFrame) -> DataFrame:
+    """(node, v, comp, side): blocks of large nodes, all with the node's pivot."""
+    blocks = F.ceil(F.col("n") / (LEAF - 4)).cast("bigint")
+    own = rows.select("path", F.pmod(F.xxhash64("v", "path"), blocks).alias("block"), "v", "comp")
+    pivot = (rows.groupBy("path").agg(F.min(F.struct("v", "comp")).alias("p"), F.max(blocks).alias("m"))
+             .select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("block"), "p.v", "p.comp"))
+    both = own.unionByName(pivot).dropDuplicates(["path", "block", "v"])
+    return both.select(F.xxhash64("path", "block").alias("node"), "v", "comp", F.lit(0).alias("side"))
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """(node, v, comp, side): large nodes cut into blocks, and a node for every
+    two blocks (sides 1 and 2) and every block (side 0) that can hold a pair of
+    different components.
+
+    A component of at least ``BLOCK`` documents has blocks of its own, which
+    are not compared with each other."""
+    sizes = rows.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = written(sizes.withColumn("own", F.when(F.col("c") >= BLOCK, F.col("comp"))), "tile-comps")
+    shared = sizes.filter("own is null").groupBy("path").agg(F.ceil(F.sum("c") / BLOCK).cast("bigint").alias("m"))
+    cut = sizes.join(written(shared, "tile-shared"), "path", "left")
+    # documents of a component that shares blocks stay together, those of a large one are dealt
+    many = F.when(F.col("own").isNull(), F.col("m")).otherwise(F.ceil(F.col("c") / BLOCK)).cast("bigint")
+    cut = written(cut.select("path", "comp", "own", many.alias("m")), "tile-cut")
+    number = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("comp", "path"), F.col("m"))).otherwise(
+        F.pmod(F.xxhash64("v", "path"), F.col("m")))
+    dealt = written(rows.join(cut, ["path", "comp"]).select("path", "v", "comp", "own", number.alias("number")), "tile-rows")
+    blocks = written(dealt.groupBy("path", "own", "number").agg(F.count(F.lit(1)).alias("c")).drop("c")
+                     .withColumn("block", F.xxhash64("path", F.coalesce("own", F.lit(-1)), "number")), "tile-blocks")
+    one = blocks.select("path", F.col("own").alias("own_1"), F.col("block").alias("b1"))
+    two = blocks.select("path", F.col("own").alias("own_2"), F.col("block").alias("b2"))
+    tiles = written(one.join(two, "path").filter("b1 <= b2 and (own_1 is null or own_2 is null or own_1 <> own_2)")
+                    .select(F.xxhash64("path", "b1", "b2").alias("node"), "path", "b1", "b2"), "tiles")
+    sides = tiles.select("path", "node", F.explode(F.when(F.col("b1") == F.col("b2"), F.array(
+        F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(
+            F.struct(F.col("b1").alias("block"), F.lit(1).alias("side")),
+            F.struct(F.col("b2").alias("block"), F.lit(2).alias("side"))))).alias("s")).select("path", "node", "s.*")
+    named = dealt.withColumn("block", F.xxhash64("path", F.coalesce("own", F.lit(-1)), "number"))
+    return named.join(sides, ["path", "block"]).select("node", "v", "comp", "side")
+
+
+def leaves(vertices: DataFrame, trees: range, whole: bool) -> DataFrame:
+    """(node, v, comp, side): small nodes of the given trees, and nodes that are
+    still large after DEPTH branchings: all their pairs if ``whole``, else in
+    blocks with a pivot.  Sides 1 and 2 are compared with each other only.
 
     ``vertices``: (v, sig, comp)."""
     start = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(f"tree {t}")).alias("path"), F.lit(t).alias("at"))
@@ -136,7 +181,7 @@ def leaves(vertices: DataFrame, trees: range) -> DataFrame:
     out = None
     for depth in range(1, DEPTH + 1):
         rows = written(_sized(rows), f"nodes-{depth}")
-        small = rows.filter(F.col("n") <= LEAF).select(F.col("path").alias("node"), "v", "comp")
+        small = rows.filter(F.col("n") <= LEAF).select(F.col("path").alias("node"), "v", "comp", F.lit(0).alias("side"))
         out = small if out is None else out.unionByName(small)
         rows = rows.filter(F.col("n") > LEAF)
         if rows.isEmpty():
@@ -145,12 +190,7 @@ def leaves(vertices: DataFrame, trees: range) -> DataFrame:
             at = F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(WIDTH))
             rows = rows.drop("n").join(vertices.select("v", "sig"), "v").select(
                 "v", "comp", _child(F.col("path"), at).alias("path"))
-    blocks = F.ceil(F.col("n") / (LEAF - 4)).cast("bigint")
-    own = rows.select("path", F.pmod(F.xxhash64("v", "path"), blocks).alias("block"), "v", "comp")
-    pivot = (rows.groupBy("path").agg(F.min(F.struct("v", "comp")).alias("p"), F.max(blocks).alias("m"))
-             .select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("block"), "p.v", "p.comp"))
-    both = own.unionByName(pivot).dropDuplicates(["path", "block", "v"])
-    return out.unionByName(both.select(F.xxhash64("path", "block").alias("node"), "v", "comp"))
+    return out.unionByName(_tiled(rows) if whole else _pivoted(rows))
 
 
 def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray, all_doubtful: bool) -> np.ndarray:
@@ -179,12 +219,12 @@ def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray, all_doubtful: bool)
 
 def candidates(leaf_rows: DataFrame, vertices: DataFrame, all_doubtful: bool) -> DataFrame:
     """Distinct pairs (a, b) to confirm, from comparing every node exhaustively."""
-    rows = (leaf_rows.join(vertices.select("v", "sig", "n_shingles"), "v").select("node", "v", "comp", "n_shingles", "sig")
-            .repartition("node").sortWithinPartitions("node", "v"))
+    rows = (leaf_rows.join(vertices.select("v", "sig", "n_shingles"), "v").select("node", "v", "comp", "side", "n_shingles", "sig")
+            .repartition("node").sortWithinPartitions("node", "side", "v"))
 
     def compare(b: pa.Table) -> Iterator[tuple[int, int]]:
         node = b.column("node").to_numpy()
-        v, comp, n = (b.column(c).to_numpy() for c in ("v", "comp", "n_shingles"))
+        v, comp, side, n = (b.column(c).to_numpy() for c in ("v", "comp", "side", "n_shingles"))
         sig = b.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), WIDTH)
         left, right, est = [], [], []
         idx = np.arange(len(node))
@@ -194,6 +234,7 @@ def candidates(leaf_rows: DataFrame, vertices: DataFrame, all_doubtful: bool) ->
             if not len(idx):
                 break
             k = idx[(comp[idx] != comp[idx + shift]) & (v[idx] != v[idx + shift])]
+            k = k[(side[k] + side[k + shift]) % 3 == 0]
             lo, hi = np.minimum(n[k], n[k + shift]), np.maximum(n[k], n[k + shift])
             k = k[100 * lo >= THRESHOLD_PCT * hi]
             for at in range(0, len(k), 4096):
@@ -298,7 +339,8 @@ def near_components(docs: DataFrame) -> DataFrame:
         now = vertices.withColumn("comp", F.col("v")) if comps is None else (
             vertices.join(comps.select(F.col("vertex").alias("v"), "component"), "v", "left")
             .withColumn("comp", F.coalesce("component", "v")).drop("component"))
-        pairs = written(candidates(leaves(now, trees), vertices, comps is not None), "pairs")
+        whole = comps is not None
+        pairs = written(candidates(leaves(now, trees, whole), vertices, whole), "pairs")
         good = written(confirmed(docs, pairs, vertices), "links")
         links = good if links is None else links.unionByName(good)
         comps = components(links)

@@ -113,6 +113,41 @@ def test_deep_nodes_end_in_blocks_with_a_pivot(spark):
     assert {r.component_id for r in chosen_path.near_report(df).collect()} == {0}
 
 
+def test_large_nodes_compare_every_pair(spark, monkeypatch):
+    """A family just under the threshold with pairs over it, in nodes that stay large."""
+    monkeypatch.setattr(chosen_path, "DEPTH", 1)
+    monkeypatch.setattr(chosen_path, "LEAF", 16)
+    rng = random.Random(11)
+
+    def changed(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"x{rng.randrange(10**9)}"
+        return out
+
+    base = [f"w{i}" for i in range(400)]
+    family = [changed(base, 9) for _ in range(300)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(family)]
+    rows += [(1000 + i, " ".join(changed(x, 10))) for i, x in enumerate(family[:40])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = near_brute(rows)
+    assert sum(not r[3] for r in want) >= 40
+    assert rows_of(chosen_path.near_report(df)) == want
+
+
+def test_tiles_hold_every_pair_once(spark):
+    comp_of = {v: 0 if v < 600 else 600 if v < 900 else 900 if v < 920 else v for v in range(1100)}
+    rows = spark.createDataFrame([(7, v, c, 1100) for v, c in comp_of.items()], "path bigint, v bigint, comp bigint, n bigint")
+    nodes = defaultdict(list)
+    for r in chosen_path._tiled(rows).collect():
+        assert r.comp == comp_of[r.v]
+        nodes[r.node].append((r.v, r.side))
+    met = Counter((min(a, b), max(a, b)) for xs in nodes.values() for a, s in xs for b, t in xs
+                  if a < b and (s + t) % 3 == 0 and comp_of[a] != comp_of[b])
+    assert set(met.values()) == {1}
+    assert len(met) == sum(comp_of[a] != comp_of[b] for a in range(1100) for b in range(a + 1, 1100))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 400)] + [(500, 500)]
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
