@@ -25,6 +25,8 @@ first, which are as many pairs as documents and not their square.  The second
 takes all sixteen trees, these two again.  It drops every node whose documents
 are in one component by then, and confirms all pairs between different
 components, but for those that pairs of estimates over ``SURE`` join anyway.
+Where such a pair fails on the full sets, the nodes that left out pairs for it
+are compared again, with all their pairs.
 
 Defined cases: null and empty texts have no set, link with nothing and are
 their own component; rows that repeat an id are separate rows, equal sets
@@ -34,6 +36,7 @@ none; an empty table gives an empty result; extra columns do not matter.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,11 +196,12 @@ def leaves(vertices: DataFrame, trees: range, whole: bool) -> DataFrame:
     return out.unionByName(_tiled(rows) if whole else _pivoted(rows))
 
 
-def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray, all_doubtful: bool) -> np.ndarray:
-    """Which pairs to confirm: best estimates first, each pair goes into the
-    first of ``FORESTS`` forests in which it joins two trees, and is left out
-    if there is none.  With ``all_doubtful`` only pairs of at least ``SURE``
-    make one forest, and every other pair that it does not join is kept."""
+def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray, all_doubtful: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs to confirm, and which of them displace others: best
+    estimates first, each pair goes into the first of ``FORESTS`` forests in
+    which it joins two trees, and is left out if there is none.  With
+    ``all_doubtful`` only pairs of at least ``SURE`` make one forest, and every
+    other pair that it does not join is kept."""
     ups: list[dict] = [{} for _ in range(1 if all_doubtful else FORESTS)]
 
     def find(up, x):
@@ -205,24 +209,32 @@ def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray, all_doubtful: bool)
             up[x] = x = up.get(y, y)
         return x
 
-    keep = np.zeros(len(a), bool)
+    keep, joins = np.zeros(len(a), bool), np.zeros(len(a), bool)
     for k in np.argsort(-est, kind="stable").tolist():
         for up in ups:
             x, y = find(up, int(a[k])), find(up, int(b[k]))
             if x != y:
                 keep[k] = True
                 if not all_doubtful or est[k] >= SURE:
+                    joins[k] = True
                     up[x] = y
                 break
-    return keep
+    return keep, joins
 
 
-def candidates(leaf_rows: DataFrame, vertices: DataFrame, all_doubtful: bool) -> DataFrame:
-    """Distinct pairs (a, b) to confirm, from comparing every node exhaustively."""
+_FOUND = "a bigint, b bigint, batch bigint, node bigint"
+
+
+def candidates(leaf_rows: DataFrame, vertices: DataFrame, all_doubtful: bool, displace: bool = True) -> DataFrame:
+    """Distinct pairs (a, b) to confirm, from comparing every node exhaustively.
+
+    With ``all_doubtful`` a pair that displaces others has its ``batch`` of
+    nodes, and rows without a pair name the nodes of a batch that left out
+    pairs.  Without ``displace`` no pair is left out."""
     rows = (leaf_rows.join(vertices.select("v", "sig", "n_shingles"), "v").select("node", "v", "comp", "side", "n_shingles", "sig")
             .repartition("node").sortWithinPartitions("node", "side", "v"))
 
-    def compare(b: pa.Table) -> Iterator[tuple[int, int]]:
+    def compare(b: pa.Table) -> Iterator[tuple]:
         node = b.column("node").to_numpy()
         v, comp, side, n = (b.column(c).to_numpy() for c in ("v", "comp", "side", "n_shingles"))
         sig = b.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), WIDTH)
@@ -247,12 +259,17 @@ def candidates(leaf_rows: DataFrame, vertices: DataFrame, all_doubtful: bool) ->
         if not left:
             return
         i, j, e = map(np.concatenate, (left, right, est))
-        keep = _forests(comp[i], comp[j], e, all_doubtful)
-        lo, hi = np.minimum(v[i[keep]], v[j[keep]]), np.maximum(v[i[keep]], v[j[keep]])
-        yield from zip(lo.tolist(), hi.tolist())
+        keep, joins = _forests(comp[i], comp[j], e, all_doubtful) if displace else (np.ones(len(i), bool), np.zeros(len(i), bool))
+        lo, hi = np.minimum(v[i], v[j]), np.maximum(v[i], v[j])
+        plain = keep if not all_doubtful else keep & ~joins
+        yield from zip(lo[plain].tolist(), hi[plain].tolist(), *[itertools.repeat(None)] * 2)
+        if all_doubtful:
+            batch = int(node[0])  # no other batch has this node
+            yield from zip(lo[joins].tolist(), hi[joins].tolist(), itertools.repeat(batch), itertools.repeat(None))
+            yield from ((None, None, batch, x) for x in np.unique(node[i[~keep]]).tolist())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = schema_of("a bigint, b bigint")
+        schema = schema_of(_FOUND)
 
         def rows_out():
             rest = None  # the last node may go on in the next batch
@@ -273,7 +290,13 @@ def candidates(leaf_rows: DataFrame, vertices: DataFrame, all_doubtful: bool) ->
         yield batch_of([], schema)
         yield from batches(rows_out(), schema)
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(run, _FOUND).distinct()
+
+
+def displaced(found: DataFrame, good: DataFrame) -> DataFrame:
+    """(node) of the nodes that left out pairs beside a pair that then failed."""
+    failed = found.filter("a is not null and batch is not null").join(good, ["a", "b"], "left_anti").select("batch").distinct()
+    return found.filter("a is null").join(written(failed, "failed"), "batch", "left_semi").select("node").distinct()
 
 
 def _bitmap(sets: DataFrame) -> bytes:
@@ -335,15 +358,27 @@ def near_components(docs: DataFrame) -> DataFrame:
         F.first("sig").alias("sig"))
     vertices = written(grouped, "vertices")
     comps, links = None, None
+
+    def placed_now() -> DataFrame:
+        if comps is None:
+            return vertices.withColumn("comp", F.col("v"))
+        return (vertices.join(comps.select(F.col("vertex").alias("v"), "component"), "v", "left")
+                .withColumn("comp", F.coalesce("component", "v")).drop("component"))
+
     for trees in ROUNDS:
-        now = vertices.withColumn("comp", F.col("v")) if comps is None else (
-            vertices.join(comps.select(F.col("vertex").alias("v"), "component"), "v", "left")
-            .withColumn("comp", F.coalesce("component", "v")).drop("component"))
         whole = comps is not None
-        pairs = written(candidates(leaves(now, trees, whole), vertices, whole), "pairs")
-        good = written(confirmed(docs, pairs, vertices), "links")
+        nodes = leaves(placed_now(), trees, whole)
+        found = written(candidates(nodes, vertices, whole), "pairs")
+        tested = found.filter("a is not null").select("a", "b").distinct()
+        good = written(confirmed(docs, tested, vertices), "links")
         links = good if links is None else links.unionByName(good)
         comps = components(links)
+    again = written(displaced(found, good), "displaced")
+    if not again.isEmpty():
+        nodes = nodes.join(again, "node", "left_semi").drop("comp").join(placed_now().select("v", "comp"), "v")
+        rest = candidates(nodes, vertices, True, displace=False).filter("a is not null").select("a", "b").distinct()
+        rest = written(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+        comps = components(links.unionByName(written(confirmed(docs, rest, vertices), "links")))
     placed = rows.join(vertices.select("set_a", "set_b", "v"), ["set_a", "set_b"], "left").join(
         comps.withColumnRenamed("vertex", "v"), "v", "left")
     placed = placed.select("doc_id", "row", "n_shingles", F.coalesce("component", "v", "row").alias("root"),

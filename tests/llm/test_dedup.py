@@ -113,28 +113,44 @@ def test_deep_nodes_end_in_blocks_with_a_pivot(spark):
     assert {r.component_id for r in chosen_path.near_report(df).collect()} == {0}
 
 
-def test_large_nodes_compare_every_pair(spark, monkeypatch):
-    """A family just under the threshold with pairs over it, in nodes that stay large."""
-    monkeypatch.setattr(chosen_path, "DEPTH", 1)
-    monkeypatch.setattr(chosen_path, "LEAF", 16)
-    rng = random.Random(11)
+def changed(rng, words, n, spare=()):
+    out = list(words)
+    for at in rng.sample([i for i in range(len(out)) if i not in spare], n):
+        out[at] = f"x{rng.randrange(10**9)}"
+    return out
 
-    def changed(words, n):
-        out = list(words)
-        for at in rng.sample(range(len(out)), n):
-            out[at] = f"x{rng.randrange(10**9)}"
-        return out
 
-    base = [f"w{i}" for i in range(400)]
-    family = [changed(base, 9) for _ in range(300)]
+def just_under(rng, n, planted):
+    """A family of similarity just under the threshold, and some pairs over it."""
+    family = [changed(rng, [f"w{i}" for i in range(400)], 9) for _ in range(n)]
     rows = [(i, " ".join(x)) for i, x in enumerate(family)]
-    rows += [(1000 + i, " ".join(changed(x, 10))) for i, x in enumerate(family[:40])]
+    return rows + [(1000 + i, " ".join(changed(rng, x, 10))) for i, x in enumerate(family[:planted])]
+
+
+def test_large_nodes_compare_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "DEPTH", 1)
+    monkeypatch.setattr(chosen_path, "LEAF", 16)
+    rows = just_under(random.Random(11), 300, 40)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = near_brute(rows)
     assert sum(not r[3] for r in want) >= 40
     assert rows_of(chosen_path.near_report(df)) == want
 
 
+def test_pairs_left_out_for_a_failed_one_are_confirmed(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "DEPTH", 1)
+    monkeypatch.setattr(chosen_path, "SURE", 0.6)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(changed(rng, base, 9))) for i in range(150)]
+    for i in range(30):  # pairs over the threshold, as far from the others as those from each other
+        one = changed(rng, base, 4)
+        common = {k for k in range(400) if one[k] != base[k]}
+        rows += [(1000 + 2 * i + k, " ".join(changed(rng, one, 5, common))) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(chosen_path.near_report(df)) == near_brute(rows)
+
+
 def test_tiles_hold_every_pair_once(spark):
     comp_of = {v: 0 if v < 600 else 600 if v < 900 else 900 if v < 920 else v for v in range(1100)}
     rows = spark.createDataFrame([(7, v, c, 1100) for v, c in comp_of.items()], "path bigint, v bigint, comp bigint, n bigint")
