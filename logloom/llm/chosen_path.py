@@ -15,7 +15,9 @@ trees miss it with probability 2e-10 after one branching, 2.3e-3 after four and
 4.3e-2 after six, the most there are.
 
 A node's comparison estimates similarity from the minwise tokens and leaves
-out pairs under ``SCREEN`` (over 4 standard errors below the threshold).  What
+out pairs under ``SCREEN`` (over 4 standard errors below the threshold).  A pair of
+similarity 0.75 is under it with probability 3e-6 to 5e-6, the same in
+every tree, so no repetition mends that; it adds to the probabilities above.  What
 is left is confirmed on the full sets.
 
 Trees run in two rounds (``ROUNDS``).  The first joins most of every group: two
