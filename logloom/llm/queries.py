@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import (chosen_path, embed_dedup, exact_dedup, lm_bloom, mixing, packing, secret_scan, substring_dedup,
-                         toxicity, url_filter)
+from logloom.llm import (byte_bpe, chosen_path, embed_dedup, exact_dedup, lm_bloom, mixing, packing, secret_scan,
+                         substring_dedup, toxicity, turn_repair, url_filter, vector_codes)
 from logloom.llm.common import read
 
 
@@ -51,6 +51,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_report(read(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.bpe_report(read(spark, sf_dir, "documents"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.damage_report(read(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(read(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_lm_scoring": (op1_lm_scoring, None),
     "op2_minhash_near_dedup": (op2_minhash_near_dedup, chosen_path.SQL),
@@ -62,4 +74,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_url_filter": (op8_url_filter, url_filter.sql()),
     "op9_toxicity": (op9_toxicity, None),
     "op10_secret_scan": (op10_secret_scan, secret_scan.sql()),
+    "op11_byte_bpe": (op11_byte_bpe, None),
+    "op12_turn_repair": (op12_turn_repair, turn_repair.SQL),
+    "op13_vector_codes": (op13_vector_codes, vector_codes.SQL),
 }

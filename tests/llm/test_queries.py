@@ -24,18 +24,18 @@ from tools.compare import digest
 def test_query_matches_sql(spark, name):
     fn, sql = REGISTRY[name]
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     df, rel = fn(spark, SF_SMALL), con.sql(sql)
     assert sorted(df.columns) == sorted(rel.columns)
     assert digest(df.columns, [tuple(r) for r in df.collect()]) == digest(rel.columns, rel.fetchall())
 
 
-def test_entry_lists_eleven_queries_and_imports_without_them(tmp_path):
+def test_entry_lists_all_queries_and_imports_without_them(tmp_path):
     import __spark_entry__ as e
 
     names = [k for k in e.queries() if k.startswith("op") and k[2].isdigit()]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and "pipeline" in e.queries()
     for part in os.listdir(ROOT):
         if part not in ("corpus_pipeline.py", "logloom", ".git"):
             (tmp_path / part).symlink_to(f"{ROOT}/{part}")
