@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import batch_of, batches, schema_of, worker_memory
 
-#: matches a worker remembers, and the longest such match in characters (under 120 MB)
+#: matches in each half of a worker's memory, and the longest such match in characters (under 200 MB)
 MOST_KNOWN = 400_000
 MOST_LENGTH = 64
 
@@ -134,20 +134,24 @@ class RankQueue:
 
 class Encoder(dict):
     """Packed ids (four bytes each, little-endian) of the pattern's matches;
-    learns a match when it is first asked for."""
+    learns a match when it is first asked for.  When ``most`` are known they
+    become the older half of the memory, from which those asked for come back."""
 
     def __init__(self, ranks: dict[bytes, int], most: int = MOST_KNOWN) -> None:
         super().__init__()
-        self.ranks, self.most = ranks, most
+        self.ranks, self.most, self.older = ranks, most, {}
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
 
     def __missing__(self, match: str) -> bytes:
-        data = match.encode()
-        whole = self.ranks.get(data)
-        ids = [whole] if whole is not None else self.merged(data)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(match)
+        if packed is None:
+            data = match.encode()
+            whole = self.ranks.get(data)
+            ids = [whole] if whole is not None else self.merged(data)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(match) <= MOST_LENGTH:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[match] = packed
         return packed

@@ -60,6 +60,26 @@ def test_bpe_characters_that_only_newer_tables_know(bpe):
             assert mine(t) == packed(library(t)), hex(ord(c))
 
 
+def test_merges_go_by_least_rank_then_leftmost():
+    """Against a plain search for the least pair, with vocabularies in which a
+    merge can make a pair of lesser rank, and with ranks far apart."""
+    rng = random.Random(7)
+    for _ in range(300):
+        tokens = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))).encode() for _ in range(rng.randint(1, 40))}
+        ranks = dict(zip([*(bytes([b]) for b in range(256)), *tokens], [*range(256), *rng.sample(range(256, 70_000), len(tokens))]))
+        encoder = byte_bpe.Encoder(ranks)
+        for _ in range(10):
+            data = "".join(rng.choice("abc") for _ in range(rng.randint(1, 40))).encode()
+            parts = [data[k:k + 1] for k in range(len(data))]
+            while True:
+                found = min(((ranks[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks), default=None)
+                if found is None:
+                    break
+                parts[found[1]:found[1] + 2] = [parts[found[1]] + parts[found[1] + 1]]
+            assert encoder.merged(data) == [ranks[x] for x in parts]
+            assert encoder.queue.pop() == (-1, -1) and not any(encoder.queue.words)
+
+
 def test_rank_queue_gives_least_rank_then_leftmost():
     rng, queue, waiting = random.Random(7), byte_bpe.RankQueue(70_000), []
     for _ in range(5000):
@@ -87,7 +107,7 @@ def test_bpe_on_given_odd_and_empty_documents(spark, odd_docs, no_docs, bpe, mon
     assert byte_bpe.bpe_report(no_docs).collect() == []
     monkeypatch.setattr(byte_bpe, "MOST_LENGTH", 2)
     small = byte_bpe.Encoder({bytes([b]): b for b in range(256)}, most=3)
-    assert [small[x] for x in "abcdea"] == [packed([ord(x)]) for x in "abcdea"] and len(small) <= 3
+    assert [small[x] for x in "abcdea"] == [packed([ord(x)]) for x in "abcdea"] and len(small) <= 3 and len(small.older) <= 3
 
 
 # --- conversation repair ---------------------------------------------------------
