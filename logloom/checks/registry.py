@@ -36,11 +36,17 @@ from ..plans import tables
 from ..plans.stats import chain_stats
 from ..plans.stats import log_stats_report
 from ..session import materialize
+from ..schema import HEIGHT_EVENTS, RAW_EVENTS
 from ..session import scratch_path
+from ..sources import archive as AR
 from ..sources import fixtures as FX
 from ..sources import table as TB
 from ..streaming import finality as FN
+from ..streaming import holdback as HB
 from ..streaming import ingest as IN
+from ..streaming import ledger as LG
+from ..streaming import planner as PL
+from ..streaming.state import finished
 from .fixture_sql import with_views
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -1027,3 +1033,110 @@ def q_served_batch_cells(spark, sf_dir):
     rows = B.get_logs_batch(ranked, ok, payload_from=served)
     return rows.select("request_id", "n", "block_number", "log_index", bare_hex("address"),
                        bare_hex("data"), bare_hex("topic0"), bare_hex("transaction_hash"))
+
+
+# ---------------------------------------------------------------------------
+# live ingest: source by height, planner with state, ledger, hold-back
+# (S1, S2, T1-T4, T6, Q9).  Each stream is stopped and started again on its
+# checkpoint, with new input in between.
+# ---------------------------------------------------------------------------
+LIVE_PARTS = 3
+
+
+def _parts(df, key, parts=LIVE_PARTS):
+    """``df`` in parts of rising ``key``, to arrive one after another."""
+    n = df.agg(F.max(key)).first()[0]
+    n = 1 if n is None else n + 1
+    return [df.where(F.floor(F.col(key) * parts / n) == k) for k in range(parts)]
+
+
+@register("raw_source_ranges", REGISTRY["select_fields"][1])
+def q_raw_source_ranges(spark, sf_dir):
+    """Raw events through the source by block height, segments added midway."""
+    events = FX.raw_events(spark, sf_dir).withColumn("_height", F.col("log.blockNumber"))
+    archive, out, checkpoint = (scratch_path(spark, x) for x in ("archive", "by-height", "ckpt"))
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    for part in _parts(events, "_height", 2):
+        AR.append_archive(part.drop("_height"), archive, segment_rows=2_000)
+        q = AR.stream_blocks(spark, archive, rows_per_batch=20_000).writeStream.foreachBatch(sink) \
+            .option("checkpointLocation", checkpoint).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    flat = D.flatten_events(spark.read.schema(RAW_EVENTS).parquet(out).drop("batch_id"))
+    return flat.select("chain_id", "ingest_seq", "block_number", "log_index", "transaction_index",
+                       "timestamp", "block_hash", "transaction_hash", "address", "data",
+                       F.array_join("topics", ",").alias("topics"), "removed")
+
+
+def _heights_in_parts(spark, sf_dir, start):
+    """Height events arrive in parts; ``start(stream)`` runs on each."""
+    events, src = materialize(FX.height_events(spark, sf_dir)), scratch_path(spark, "heights")
+    for part in _parts(events, "seq"):
+        part.write.mode("append").parquet(src)
+        finished(start(spark.readStream.schema(HEIGHT_EVENTS).parquet(src)))
+
+
+def _live_ranges(spark, sf_dir, mode):
+    out, checkpoint = scratch_path(spark, "ranges"), scratch_path(spark, "ckpt")
+    _heights_in_parts(spark, sf_dir, lambda events: PL.live_ranges(
+        events, FX.chains(spark), PL.ranges_to(out), checkpoint, mode=mode))
+    return out
+
+
+@register("plan_ranges_live", REGISTRY["plan_ranges_strict"][1])
+def q_plan_ranges_live(spark, sf_dir):
+    return PL.read_ranges(spark, _live_ranges(spark, sf_dir, "strict"))
+
+
+@register("ingest_ranges", with_views(f"""
+SELECT l.* FROM logs l JOIN (
+  SELECT chain_id, max(to_block) AS reached FROM ({REGISTRY["plan_ranges_strict"][1]}) p GROUP BY chain_id) c
+ON c.chain_id = l.chain_id WHERE l.block_number <= c.reached
+""", "logs"))
+def q_ingest_ranges(spark, sf_dir):
+    """Height events drive the ingest: planned ranges are fetched from the
+    archive, landed and committed; what is committed is compared."""
+    archive, landing, ledger, checkpoint = (scratch_path(spark, x) for x in ("archive", "landing", "ledger", "ckpt"))
+    AR.append_archive(FX.raw_events(spark, sf_dir), archive, segment_rows=20_000)
+    _heights_in_parts(spark, sf_dir, lambda events: LG.ingest_planned(
+        events, FX.chains(spark), LG.archive_fetch(archive), landing, ledger, checkpoint))
+    return compare_form(dedup_logs(LG.read_committed(spark, landing, ledger)))
+
+
+@register("ledger_ranges", with_views(f"""
+SELECT p.chain_id, p.seq, p.from_block, p.to_block, count(l.block_number) AS rows
+FROM ({REGISTRY["plan_ranges_strict"][1]}) p
+LEFT JOIN logs_landed l ON l.chain_id = p.chain_id AND l.block_number BETWEEN p.from_block AND p.to_block
+GROUP BY ALL
+""", "logs_landed"))
+def q_ledger_ranges(spark, sf_dir):
+    """The ledger after a live ingest: every planned range and what it landed."""
+    archive, landing, ledger, checkpoint = (scratch_path(spark, x) for x in ("archive", "landing", "ledger", "ckpt"))
+    AR.append_archive(FX.raw_events(spark, sf_dir), archive, segment_rows=20_000)
+    _heights_in_parts(spark, sf_dir, lambda events: LG.ingest_planned(
+        events, FX.chains(spark), LG.archive_fetch(archive), landing, ledger, checkpoint))
+    return LG.read_ledger(spark, ledger).drop("source", "batch_id")
+
+
+@register("stream_final", REGISTRY["final_logs"][1])
+def q_stream_final(spark, sf_dir):
+    """Landed logs wait in state until the live planner's ranges release their
+    blocks; logs arrive by block remainder, so every part has late ones."""
+    landed, landing, ranges = tables.landed_logs(spark, sf_dir), scratch_path(spark, "landing"), scratch_path(spark, "ranges")
+    out, planner, checkpoint = (scratch_path(spark, x) for x in ("final", "ckpt", "ckpt"))
+    arrive = iter(range(LIVE_PARTS))
+
+    def start(events):
+        finished(PL.live_ranges(events, FX.chains(spark), PL.ranges_to(ranges), planner, mode="gapless"))
+        k = next(arrive)
+        TB.append_logs(landed.where(F.col("block_number") % LIVE_PARTS == k), landing, k)
+        return HB.serve_final(spark.readStream.schema(TB.LANDED_WITH_SOURCE).parquet(landing),
+                              spark.readStream.schema(PL.RANGES + ", batch_id bigint").parquet(ranges), out, checkpoint)
+
+    _heights_in_parts(spark, sf_dir, start)
+    return compare_form(dedup_logs(spark.read.schema(TB.LANDED_WITH_BATCH).parquet(out).drop("batch_id")))
