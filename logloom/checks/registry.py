@@ -35,10 +35,12 @@ from ..plans import query as Q
 from ..plans import tables
 from ..plans.stats import chain_stats
 from ..plans.stats import log_stats_report
+from ..plans.stats import served_stats
 from ..session import materialize
 from ..schema import HEIGHT_EVENTS, RAW_EVENTS
 from ..session import scratch_path
 from ..sources import archive as AR
+from ..sources import directory
 from ..sources import fixtures as FX
 from ..sources import table as TB
 from ..streaming import finality as FN
@@ -894,28 +896,24 @@ def q_compact_incremental(spark, sf_dir):
 
 @register("served_batch", REGISTRY["get_logs_batch"][1])
 def q_served_batch(spark, sf_dir):
-    """Batched pages answered from the compacted table with its stored ranks."""
-    served = TB.read_logs(spark, TB.compact_logs(tables.landed_logs(spark, sf_dir),
-                                                 scratch_path(spark, "served"), BATCH_BUCKET))
-    ok, _ = _requests(spark, sf_dir)
-    ok = materialize(ok)
-    ranked = materialize(B.served_streams(served, [], requests=ok))
-    plan = materialize(B.bucket_plan(ranked, ok, BATCH_BUCKET, first_page_only=True))
-    rows = B.get_logs_batch(ranked, ok, BATCH_BUCKET, plan, payload_from=served)
+    """Batched pages answered from the compacted table: planned on its
+    directory, rows by their stored ranks."""
+    path = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"), BATCH_BUCKET)
+    ok = materialize(_requests(spark, sf_dir)[0])
+    rows_at, plan = B.stored_plan(spark, path, ok, first_page_only=True)
+    rows = B.get_logs_batch(rows_at, ok, plan=materialize(plan), payload_from=TB.read_logs(spark, path), path=path)
     return rows.select("request_id", "n", "block_number", "log_index", bare_hex("address"),
                        bare_hex("data"), bare_hex("topic0"), bare_hex("transaction_hash"))
 
 
 @register("served_manifest", REGISTRY["page_manifest"][1])
 def q_served_manifest(spark, sf_dir):
-    """Page manifest answered from the compacted table with its stored ranks."""
-    served = TB.read_logs(spark, TB.compact_logs(tables.landed_logs(spark, sf_dir),
-                                                 scratch_path(spark, "served"), BATCH_BUCKET))
-    ok, _ = _requests(spark, sf_dir)
-    ok = materialize(ok)
-    ranked = materialize(B.served_streams(served, [], requests=ok))
-    plan = materialize(B.bucket_plan(ranked, ok, BATCH_BUCKET))
-    return B.page_manifest(ranked, ok, BATCH_BUCKET, plan)
+    """Page manifest answered from the compacted table: planned on its
+    directory, cursors by their stored ranks."""
+    path = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"), BATCH_BUCKET)
+    ok = materialize(_requests(spark, sf_dir)[0])
+    rows_at, plan = B.stored_plan(spark, path, ok)
+    return B.page_manifest(rows_at, ok, plan=materialize(plan))
 
 
 @register("served_chain_stats", with_views("""
@@ -955,7 +953,8 @@ def q_served_get_log(spark, sf_dir):
 
 @register("served_get_log_batch", REGISTRY["get_log_batch"][1])
 def q_served_get_log_batch(spark, sf_dir):
-    res = B.get_log_batch(_served_wide(spark, sf_dir), FX.log_positions(spark, sf_dir))
+    path = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"), OTHER_WIDTH)
+    res = B.get_log_batch(TB.read_logs(spark, path), FX.log_positions(spark, sf_dir), path)
     return res.select("request_id", "found", "block_number", "log_index", bare_hex("address"),
                       bare_hex("topic0"))
 
@@ -1025,18 +1024,47 @@ def q_quarantine_reasons(spark, sf_dir):
 @register("served_batch_cells", REGISTRY["get_logs_batch"][1])
 def q_served_batch_cells(spark, sf_dir):
     """Batched pages from wide storage buckets with narrow rank cells."""
-    served = TB.read_logs(spark, TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"),
-                                                 OTHER_WIDTH, cell_blocks=500))
-    ok, _ = _requests(spark, sf_dir)
-    ok = materialize(ok)
-    ranked = materialize(B.served_streams(served, [], requests=ok))
-    rows = B.get_logs_batch(ranked, ok, payload_from=served)
+    path = TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"), OTHER_WIDTH, cell_blocks=500)
+    ok = materialize(_requests(spark, sf_dir)[0])
+    rows_at, plan = B.stored_plan(spark, path, ok, first_page_only=True)
+    rows = B.get_logs_batch(rows_at, ok, plan=materialize(plan), payload_from=TB.read_logs(spark, path), path=path)
     return rows.select("request_id", "n", "block_number", "log_index", bare_hex("address"),
                        bare_hex("data"), bare_hex("topic0"), bare_hex("transaction_hash"))
 
 
+def _merged_in_two(spark, sf_dir):
+    """A served table whose replays came by an incremental compaction, twice."""
+    landed = tables.landed_logs(spark, sf_dir)
+    path = TB.compact_logs(landed.where(F.col("ingest_seq") == 1), scratch_path(spark, "served"), OTHER_WIDTH)
+    for _ in range(2):
+        TB.compact_incremental(spark, landed.where(F.col("ingest_seq") == 2), path, scratch_path(spark, "staging"))
+    return path
+
+
+@register("served_log_stats", REGISTRY["served_chain_stats"][1])
+def q_served_log_stats(spark, sf_dir):
+    """Count and height per chain from the directory, after replays."""
+    return served_stats(spark, _merged_in_two(spark, sf_dir), FX.chains(spark))
+
+
+@register("served_chains", REGISTRY["list_chains"][1])
+def q_served_chains(spark, sf_dir):
+    return Q.list_served_chains(spark, _merged_in_two(spark, sf_dir))
+
+
+@register("stream_directory", with_views(f"""
+, s AS (SELECT chain_id, topic0, block_number, unnest(['', address]) AS skey FROM logs)
+SELECT chain_id, topic0, skey, block_number // {OTHER_WIDTH} AS cell, count(*) AS cell_rows FROM s GROUP BY ALL
+""", "logs"))
+def q_stream_directory(spark, sf_dir):
+    """Rows per stream and cell as the directory keeps them, after replays."""
+    path = _merged_in_two(spark, sf_dir)
+    rows = directory.streams(TB.read_logs(spark, path), path)
+    return rows.select("chain_id", bare_hex("topic0"), bare_hex("skey"), "cell", "cell_rows")
+
+
 # ---------------------------------------------------------------------------
-# live ingest: source by height, planner with state, ledger, hold-back
+# live ingest: source by height# live ingest: source by height, planner with state, ledger, hold-back
 # (S1, S2, T1-T4, T6, Q9).  Each stream is stopped and started again on its
 # checkpoint, with new input in between.
 # ---------------------------------------------------------------------------

@@ -8,13 +8,15 @@ topic/address/block predicates into the Parquet scan and plans
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cursor import encode_cursor
 from ..functions.formatting import format_logs, hex_projection
 from ..operators import filters as P
 from ..operators.requests import request_fault
+from ..sources import directory
+from ..sources.table import read_logs
 from ..schema import CHAIN_URL_TEMPLATE, DEFAULT_PAGE_LIMIT, LOG_POSITION
 from ..streaming.finality import final_logs
 
@@ -97,9 +99,18 @@ def get_log(logs: DataFrame, chain_id: int, block: int, index: int,
 def list_chains(logs: DataFrame, url_template: str = CHAIN_URL_TEMPLATE) -> DataFrame:
     """Chains present in the table with their API URL.
 
-    On the stored table ``chain_id`` is a partition column, so this reads
-    directory names only.
+    One partial aggregate over the rows, of which only ``chain_id`` is read (on
+    a stored table a partition column, but every file is opened);
+    :func:`list_served_chains` reads the table's directory instead.
     """
-    ids = logs.select("chain_id").distinct()
+    return _with_url(logs.select("chain_id").distinct(), url_template)
+
+
+def list_served_chains(spark: SparkSession, path: str, url_template: str = CHAIN_URL_TEMPLATE) -> DataFrame:
+    """:func:`list_chains` of a served table, from its directory."""
+    return _with_url(directory.per_chain(read_logs(spark, path), path).select("chain_id"), url_template)
+
+
+def _with_url(ids: DataFrame, url_template: str) -> DataFrame:
     return ids.select(F.col("chain_id").alias("id"),
                       F.format_string(url_template, F.col("chain_id")).alias("url")).orderBy("id")

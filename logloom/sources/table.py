@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from ..operators.dedup import dedup_logs
 from ..plans.tables import with_bucket
 from ..streaming.finality import final_logs
+from . import directory
+from ..session import materialize
 from ..schema import DEFAULT_BUCKET_BLOCKS, FLUSH_ROWS, LOG_KEY, LOGS_LANDED, LOGS_STORED
 
 LANDED_WITH_BATCH = T.StructType(LOGS_LANDED.fields + [T.StructField("batch_id", T.LongType(), True)])
@@ -148,13 +150,15 @@ def compact_logs(landed: DataFrame, dst: str, bucket_blocks: int = DEFAULT_BUCKE
         landed = final_logs(landed, ceilings)
     rows = layout(served_rows(landed, bucket_blocks, cell_blocks), partitions)
     _writer(rows).mode("errorifexists").parquet(dst)
+    stored = read_logs(landed.sparkSession, dst)
+    directory.record(stored, stored, dst)
     return dst
 
 
 def table_width(spark: SparkSession, path: str, expected: int | None = None) -> tuple[int, int]:
     """Blocks per bucket and per rank cell of a served table, from its
-    partition directories; a different ``expected`` bucket is refused."""
-    found = [tuple(r) for r in read_logs(spark, path).select("bucket_blocks", "cell_blocks").distinct().collect()]
+    directory; a different ``expected`` bucket is refused."""
+    found = directory.widths(read_logs(spark, path), path)
     if len(found) > 1:
         raise ValueError(f"{path} mixes widths: {sorted(found)}")
     if expected is not None and found and found[0][0] != expected:
@@ -163,21 +167,32 @@ def table_width(spark: SparkSession, path: str, expected: int | None = None) ->
     return found[0] if found else (width, default_cell(width))
 
 
+#: partitions that :func:`in_partitions` names one by one
+LISTED_PARTITIONS = 2_000
+
+
 def in_partitions(df: DataFrame, touched: DataFrame) -> DataFrame:
     """Rows of ``df`` in the ``(chain_id, block_bucket)`` partitions of
-    ``touched``, as literal partition filters.
-
-    Dynamic pruning depends on the caller's predicates; this does not.  The
-    touched list has at most one entry for each directory of the table, which
-    the driver lists anyway when it plans the scan."""
+    ``touched``, by literal partition filters.
+
+    Dynamic pruning depends on the caller's predicates; this does not.  Up to
+    ``LISTED_PARTITIONS`` are listed.  Beyond that each chain's lowest and
+    highest bucket are the filter (two numbers a chain), and a semi-join on the
+    partition columns keeps the result the same."""
+    keys = touched.select("chain_id", "block_bucket").where("chain_id is not null and block_bucket is not null").distinct()
+    some = keys.take(LISTED_PARTITIONS + 1)
     by_chain: dict[int, list[int]] = {}
-    for chain, bucket in touched.select("chain_id", "block_bucket").where(
-            "chain_id is not null and block_bucket is not null").distinct().collect():
+    for chain, bucket in some[:LISTED_PARTITIONS]:
         by_chain.setdefault(chain, []).append(bucket)
     keep = F.lit(False)
-    for chain, buckets in sorted(by_chain.items()):
-        keep = keep | ((F.col("chain_id") == chain) & F.col("block_bucket").isin(sorted(buckets)))
-    return df.where(keep)
+    if len(some) <= LISTED_PARTITIONS:
+        for chain, buckets in sorted(by_chain.items()):
+            keep = keep | ((F.col("chain_id") == chain) & F.col("block_bucket").isin(sorted(buckets)))
+        return df.where(keep)
+    keys = materialize(keys)
+    for chain, low, high in keys.groupBy("chain_id").agg(F.min("block_bucket"), F.max("block_bucket")).collect():
+        keep = keep | ((F.col("chain_id") == chain) & F.col("block_bucket").between(low, high))
+    return df.where(keep).join(keys, ["chain_id", "block_bucket"], "left_semi")
 
 
 def compact_incremental(spark: SparkSession, new_landed: DataFrame, served: str, staging: str,
@@ -188,8 +203,10 @@ def compact_incremental(spark: SparkSession, new_landed: DataFrame, served: str,
     1. read served rows of only the ``(chain, bucket)`` partitions the new rows
        touch, union the new rows, keep-last, write to a fresh ``staging`` path;
     2. write staging over ``served`` with dynamic partition overwrite, which
-       replaces exactly the partitions present in staging, laid out and sorted
-       again so that the served files stay in key order.
+       replaces exactly the partitions present in staging.  Staging has the
+       layout already, so rows are not shuffled again, only sorted in their
+       task so that the served files stay in key order;
+    3. replace the same partitions in the table's directory.
 
     The bucket width is the table's own.  Never reads and overwrites the same
     path in one job.
@@ -203,8 +220,11 @@ def compact_incremental(spark: SparkSession, new_landed: DataFrame, served: str,
     merged = layout(served_rows(old.unionByName(new).drop("block_bucket"), bucket_blocks, cell_blocks),
                     partitions)
     _writer(merged).mode("errorifexists").parquet(staging)
-    (_writer(layout(read_logs(spark, staging), partitions)).option("partitionOverwriteMode", "dynamic")
+    rows = read_logs(spark, staging)
+    directory.begin(spark, served)
+    (_writer(rows.sortWithinPartitions(*SORT_KEY)).option("partitionOverwriteMode", "dynamic")
      .mode("overwrite").parquet(served))
+    directory.record(read_logs(spark, served), rows, served)
     return served
 
 

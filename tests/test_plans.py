@@ -63,6 +63,7 @@ def test_stats_report_footer_path_equals_scan(spark):
     dst = TB.compact_logs(tables.landed_logs(spark, SF_SMALL), scratch_path(spark, "t-served"), 1000)
     tips, chains = FX.chain_tips(spark, SF_SMALL), FX.chains(spark)
     a = log_stats_report(spark, dst, tips, chains, from_footers=False).collect()
-    b = log_stats_report(spark, dst, tips, chains)
+    b = log_stats_report(spark, dst, tips, chains, from_footers=True)
     assert "PushedAggregation: [COUNT(*), MAX(block_number)]" in _plan(b)
     assert sorted(map(tuple, a)) == sorted(map(tuple, b.collect()))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, log_stats_report(spark, dst, tips, chains).collect()))
