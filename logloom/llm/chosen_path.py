@@ -14,21 +14,23 @@ similarity 0.75 stays together with probability 0.75 per branching, so 16
 trees miss it with probability 2e-10 after one branching, 2.3e-3 after four and
 4.3e-2 after six, the most there are.
 
-A node's comparison estimates similarity from the minwise tokens and leaves
-out pairs under ``SCREEN`` (over 4 standard errors below the threshold).  A pair of
+A small node's comparison estimates similarity from the minwise tokens and
+leaves out pairs under ``SCREEN`` (over 4 standard errors below the threshold).  A pair of
 similarity 0.75 is under it with probability 3e-6 to 5e-6, the same in
-every tree, so no repetition mends that; it adds to the probabilities above.  What
-is left is confirmed on the full sets.
+every tree, so no repetition mends that; it adds to the probabilities above.
+Tiles have no screen.
 
 Trees run in two rounds (``ROUNDS``).  The first joins most of every group: two
 trees, large nodes only in blocks that hold one common pivot, and only
-``FORESTS`` spanning forests of a node's pairs are confirmed, best estimates
-first, which are as many pairs as documents and not their square.  The second
-takes all sixteen trees, these two again.  It drops every node whose documents
-are in one component by then, and confirms all pairs between different
-components, but for those that pairs of estimates over ``SURE`` join anyway.
-Where such a pair fails on the full sets, the nodes that left out pairs for it
-are compared again, with all their pairs.
+``FORESTS`` spanning forests of a node's pairs are confirmed on the full sets,
+best estimates first, which are as many pairs as documents and not their
+square.  The second takes all sixteen trees, these two again.  It drops every
+node whose documents are in one component by then.  In a node that is left, the
+full sets of its documents (of a small node: those in a pair above the screen)
+travel to the node once each, and every pair of different components is tested
+there on the sets themselves: the numbers of common shingles of all pairs are a
+product of incidence matrices.  A node gives out links that join its components
+and no others, so what it returns grows with its documents and not their pairs.
 
 Defined cases: null and empty texts have no set, link with nothing and are
 their own component; rows that repeat an id are separate rows, equal sets
@@ -38,7 +40,6 @@ none; an empty table gives an empty result; extra columns do not matter.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,11 +58,12 @@ WIDTH = 64
 LEAF = 64
 DEPTH = 6
 ROUNDS = (range(0, 2), range(0, 16))
-#: documents of one block of a tile
-BLOCK = 256
+#: documents and shingles of one block of a tile, and shingles that one product of matrices takes
+BLOCK = 2048
+BLOCK_SHINGLES = 1 << 20
+PRODUCT = 1024
 SCREEN = 0.5
 FORESTS = 3
-SURE = 0.92
 #: bits of the bitmap that spares texts outside the candidates; fixed size,
 #: false positives only cost time
 BITMAP_BITS = 24
@@ -142,19 +144,22 @@ def _pivoted(rows: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("path", "block").alias("node"), "v", "comp", F.lit(0).alias("side"))
 
 
-def _tiled(rows: DataFrame) -> DataFrame:
+def _tiled(rows: DataFrame, vertices: DataFrame) -> DataFrame:
     """(node, v, comp, side): large nodes cut into blocks, and a node for every
     two blocks (sides 1 and 2) and every block (side 0) that can hold a pair of
     different components.
 
-    A component of at least ``BLOCK`` documents has blocks of its own, which
-    are not compared with each other."""
-    sizes = rows.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("c"))
-    sizes = written(sizes.withColumn("own", F.when(F.col("c") >= BLOCK, F.col("comp"))), "tile-comps")
-    shared = sizes.filter("own is null").groupBy("path").agg(F.ceil(F.sum("c") / BLOCK).cast("bigint").alias("m"))
+    A component that fills a block has blocks of its own, which are not
+    compared with each other."""
+    rows = rows.select("path", "v", "comp").join(vertices.select("v", "n_shingles"), "v")
+    # a document's share of a block, by number or by its shingles
+    share = F.greatest(F.lit(1 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES)
+    sizes = rows.groupBy("path", "comp").agg(F.sum(share).alias("c"))
+    sizes = written(sizes.withColumn("own", F.when(F.col("c") >= 1, F.col("comp"))), "tile-comps")
+    shared = sizes.filter("own is null").groupBy("path").agg(F.ceil(F.sum("c")).cast("bigint").alias("m"))
     cut = sizes.join(written(shared, "tile-shared"), "path", "left")
     # documents of a component that shares blocks stay together, those of a large one are dealt
-    many = F.when(F.col("own").isNull(), F.col("m")).otherwise(F.ceil(F.col("c") / BLOCK)).cast("bigint")
+    many = F.when(F.col("own").isNull(), F.col("m")).otherwise(F.ceil("c")).cast("bigint")
     cut = written(cut.select("path", "comp", "own", many.alias("m")), "tile-cut")
     number = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("comp", "path"), F.col("m"))).otherwise(
         F.pmod(F.xxhash64("v", "path"), F.col("m")))
@@ -173,10 +178,9 @@ def _tiled(rows: DataFrame) -> DataFrame:
     return named.join(sides, ["path", "block"]).select("node", "v", "comp", "side")
 
 
-def leaves(vertices: DataFrame, trees: range, whole: bool) -> DataFrame:
-    """(node, v, comp, side): small nodes of the given trees, and nodes that are
-    still large after DEPTH branchings: all their pairs if ``whole``, else in
-    blocks with a pivot.  Sides 1 and 2 are compared with each other only.
+def leaves(vertices: DataFrame, trees: range) -> tuple[DataFrame, DataFrame | None]:
+    """(node, v, comp, side) of the small nodes of the given trees, and (path,
+    v, comp, n) of the nodes that are still large after DEPTH branchings.
 
     ``vertices``: (v, sig, comp)."""
     start = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(f"tree {t}")).alias("path"), F.lit(t).alias("at"))
@@ -190,115 +194,191 @@ def leaves(vertices: DataFrame, trees: range, whole: bool) -> DataFrame:
         out = small if out is None else out.unionByName(small)
         rows = rows.filter(F.col("n") > LEAF)
         if rows.isEmpty():
-            return out
+            return out, None
         if depth < DEPTH:
             at = F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(WIDTH))
             rows = rows.drop("n").join(vertices.select("v", "sig"), "v").select(
                 "v", "comp", _child(F.col("path"), at).alias("path"))
-    return out.unionByName(_tiled(rows) if whole else _pivoted(rows))
+    return out, rows
 
 
-def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray, all_doubtful: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs to confirm, and which of them displace others: best
-    estimates first, each pair goes into the first of ``FORESTS`` forests in
-    which it joins two trees, and is left out if there is none.  With
-    ``all_doubtful`` only pairs of at least ``SURE`` make one forest, and every
-    other pair that it does not join is kept."""
-    ups: list[dict] = [{} for _ in range(1 if all_doubtful else FORESTS)]
+def _forests(a: np.ndarray, b: np.ndarray, est: np.ndarray) -> np.ndarray:
+    """Which pairs to confirm: best estimates first, each pair goes into the
+    first of ``FORESTS`` forests in which it joins two trees, and is left out
+    if there is none."""
+    ups: list[dict] = [{} for _ in range(FORESTS)]
 
     def find(up, x):
         while (y := up.get(x, x)) != x:
             up[x] = x = up.get(y, y)
         return x
 
-    keep, joins = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    keep = np.zeros(len(a), bool)
     for k in np.argsort(-est, kind="stable").tolist():
         for up in ups:
             x, y = find(up, int(a[k])), find(up, int(b[k]))
             if x != y:
                 keep[k] = True
-                if not all_doubtful or est[k] >= SURE:
-                    joins[k] = True
-                    up[x] = y
+                up[x] = y
                 break
-    return keep, joins
+    return keep
+
+
+def _screened(b: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i and j and the estimate of all pairs of a node's different
+    components whose sizes and minwise tokens allow the similarity."""
+    node = b.column("node").to_numpy()
+    v, comp, n = (b.column(c).to_numpy() for c in ("v", "comp", "n_shingles"))
+    sig = b.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), WIDTH)
+    left, right, est = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    idx = np.arange(len(node))
+    for shift in range(1, len(node)):
+        idx = idx[idx + shift < len(node)]
+        idx = idx[node[idx] == node[idx + shift]]
+        if not len(idx):
+            break
+        k = idx[(comp[idx] != comp[idx + shift]) & (v[idx] != v[idx + shift])]
+        lo, hi = np.minimum(n[k], n[k + shift]), np.maximum(n[k], n[k + shift])
+        k = k[100 * lo >= THRESHOLD_PCT * hi]
+        for at in range(0, len(k), 4096):
+            some = k[at:at + 4096]
+            e = (sig[some] == sig[some + shift]).mean(axis=1)
+            good = e >= SCREEN
+            left.append(some[good])
+            right.append(some[good] + shift)
+            est.append(e[good])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(est)
+
+
+def _by_node(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole nodes, from batches of rows sorted by node."""
+    rest = None  # the last node may go on in the next batch
+    for b in it:
+        t = pa.Table.from_batches([b])
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        node = t.column("node").to_numpy()
+        if not len(node):
+            continue
+        cut = int(np.flatnonzero(node != node[-1])[-1]) + 1 if node[0] != node[-1] else 0
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def _with_sketches(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
+    return (nodes.join(vertices.select("v", "sig", "n_shingles"), "v").select("node", "v", "comp", "side", "n_shingles", "sig")
+            .repartition("node").sortWithinPartitions("node", "v"))
+
+
+def candidates(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) to confirm: FORESTS spanning forests of every
+    node's pairs above the screen."""
+    ddl = "a bigint, b bigint"
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = schema_of(ddl)
 
-_FOUND = "a bigint, b bigint, batch bigint, node bigint"
+        def rows():
+            for t in _by_node(it):
+                i, j, e = _screened(t)
+                v, comp = t.column("v").to_numpy(), t.column("comp").to_numpy()
+                keep = _forests(comp[i], comp[j], e)
+                a, b = v[i[keep]], v[j[keep]]
+                yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
 
+        yield batch_of([], schema)
+        yield from batches(rows(), schema)
 
-def candidates(leaf_rows: DataFrame, vertices: DataFrame, all_doubtful: bool, displace: bool = True) -> DataFrame:
-    """Distinct pairs (a, b) to confirm, from comparing every node exhaustively.
+    return _with_sketches(nodes, vertices).mapInArrow(run, ddl).distinct()
 
-    With ``all_doubtful`` a pair that displaces others has its ``batch`` of
-    nodes, and rows without a pair name the nodes of a batch that left out
-    pairs.  Without ``displace`` no pair is left out."""
-    rows = (leaf_rows.join(vertices.select("v", "sig", "n_shingles"), "v").select("node", "v", "comp", "side", "n_shingles", "sig")
-            .repartition("node").sortWithinPartitions("node", "side", "v"))
 
-    def compare(b: pa.Table) -> Iterator[tuple]:
-        node = b.column("node").to_numpy()
-        v, comp, side, n = (b.column(c).to_numpy() for c in ("v", "comp", "side", "n_shingles"))
-        sig = b.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), WIDTH)
-        left, right, est = [], [], []
-        idx = np.arange(len(node))
-        for shift in range(1, len(node)):
-            idx = idx[idx + shift < len(node)]
-            idx = idx[node[idx] == node[idx + shift]]
-            if not len(idx):
-                break
-            k = idx[(comp[idx] != comp[idx + shift]) & (v[idx] != v[idx + shift])]
-            k = k[(side[k] + side[k + shift]) % 3 == 0]
-            lo, hi = np.minimum(n[k], n[k + shift]), np.maximum(n[k], n[k + shift])
-            k = k[100 * lo >= THRESHOLD_PCT * hi]
-            for at in range(0, len(k), 4096):
-                some = k[at:at + 4096]
-                e = (sig[some] == sig[some + shift]).mean(axis=1)
-                good = e >= SCREEN
-                left.append(some[good])
-                right.append(some[good] + shift)
-                est.append(e[good])
-        if not left:
-            return
-        i, j, e = map(np.concatenate, (left, right, est))
-        keep, joins = _forests(comp[i], comp[j], e, all_doubtful) if displace else (np.ones(len(i), bool), np.zeros(len(i), bool))
-        lo, hi = np.minimum(v[i], v[j]), np.maximum(v[i], v[j])
-        plain = keep if not all_doubtful else keep & ~joins
-        yield from zip(lo[plain].tolist(), hi[plain].tolist(), *[itertools.repeat(None)] * 2)
-        if all_doubtful:
-            batch = int(node[0])  # no other batch has this node
-            yield from zip(lo[joins].tolist(), hi[joins].tolist(), itertools.repeat(batch), itertools.repeat(None))
-            yield from ((None, None, batch, x) for x in np.unique(node[i[~keep]]).tolist())
+_NODE = "node bigint, v bigint, comp bigint, side int"
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = schema_of(_FOUND)
 
-        def rows_out():
-            rest = None  # the last node may go on in the next batch
-            for b in it:
-                t = pa.Table.from_batches([b])
-                if rest is not None:
-                    t = pa.concat_tables([rest, t])
-                node = t.column("node").to_numpy()
-                if not len(node):
-                    continue
-                cut = int(np.flatnonzero(node != node[-1])[-1]) + 1 if node[0] != node[-1] else 0
-                if cut:
-                    yield from compare(t.slice(0, cut))
-                rest = t.slice(cut)
-            if rest is not None:
-                yield from compare(rest)
+def doubtful(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The rows of small nodes that are in a pair above the screen."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = schema_of(_NODE)
         yield batch_of([], schema)
-        yield from batches(rows_out(), schema)
+        for t in _by_node(it):
+            i, j, _ = _screened(t)
+            if len(i):
+                yield from t.take(np.unique(np.concatenate([i, j]))).select(["node", "v", "comp", "side"]).cast(schema).to_batches()
+
+    return _with_sketches(nodes, vertices).mapInArrow(run, _NODE)
+
+
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common shingles of all pairs of two lists of sets: products
+    of incidence matrices over the shingles that both lists hold, some at a
+    time (exact, as sums stay far below 2^24)."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    found = []
+    for sets, x in zip((left, right), flat):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(both, x)
+        at[at == len(both)] = 0
+        known = both[at] == x if len(both) else np.zeros(len(x), bool)
+        order = np.argsort(at[known], kind="stable")
+        found.append((row[known][order], at[known][order]))
+    for begin in range(0, len(both), PRODUCT):
+        parts = []
+        for (row, at), sets in zip(found, (left, right)):
+            some = slice(*np.searchsorted(at, (begin, begin + PRODUCT)))
+            m = np.zeros((len(sets), min(PRODUCT, len(both) - begin)), np.float32)
+            m[row[some], at[some] - begin] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def node_links(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of one node that are similar on their sets and join its
+    components; every pair of different components is tested."""
+    ones, twos = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+    size = np.array([len(s) for s in sets])
+    common = common_shingles([sets[k] for k in ones], [sets[k] for k in twos])
+    group = np.unique(comp, return_inverse=True)[1]  # joined as links are found
+    for k, counts in zip(ones.tolist(), common):
+        counts = counts.astype(np.int64)
+        union = size[k] + size[twos] - counts
+        near = twos[100 * counts >= THRESHOLD_PCT * union]
+        near = near[group[near] != group[k]]
+        for other, at in zip(*np.unique(group[near], return_index=True)):
+            yield k, int(near[at])
+            group[group == other] = group[k]
+
+
+def links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct links (a, b) that join components, from testing all pairs of
+    every node on the full sets, which travel to the node."""
+    ddl = "a bigint, b bigint"
 
-    return rows.mapInArrow(run, _FOUND).distinct()
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = schema_of(ddl)
 
+        def rows():
+            for t in _by_node(it):
+                node, v, comp, side = (t.column(c).to_numpy() for c in ("node", "v", "comp", "side"))
+                items = t.column("items").combine_chunks()
+                flat, cut = items.flatten().to_numpy(), np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())])
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    held = [flat[x:y] for x, y in zip(cut[a:b].tolist(), cut[a + 1:b + 1].tolist())]
+                    for i, j in node_links(comp[a:b], side[a:b], held):
+                        yield sorted((int(v[a + i]), int(v[a + j])))
 
-def displaced(found: DataFrame, good: DataFrame) -> DataFrame:
-    """(node) of the nodes that left out pairs beside a pair that then failed."""
-    failed = found.filter("a is not null and batch is not null").join(good, ["a", "b"], "left_anti").select("batch").distinct()
-    return found.filter("a is null").join(written(failed, "failed"), "batch", "left_semi").select("node").distinct()
+        yield batch_of([], schema)
+        yield from batches(rows(), schema)
+
+    full = nodes.join(sets, "v").select("node", "v", "comp", "side", "items")
+    return full.repartition("node").sortWithinPartitions("node", "v").mapInArrow(run, ddl).distinct()
 
 
 def _bitmap(sets: DataFrame) -> bytes:
@@ -340,10 +420,15 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["set_a", "set_b"]).join(wanted.drop("text_hash"), ["set_a", "set_b"]).select("v", "items")
 
 
+def _sets_of(docs: DataFrame, found: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, items) of the vertices ``v`` in ``found``, written out."""
+    wanted = found.select("v").distinct().join(vertices, "v").select("v", "set_a", "set_b", "text_hash")
+    return written(full_sets(docs, written(wanted, "wanted")), "sets")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     """Those pairs whose full sets have the similarity."""
-    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    sets = written(full_sets(docs, ends.join(vertices, "v").select("v", "set_a", "set_b", "text_hash")), "sets")
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))), vertices)
     both = (pairs.join(sets.select(F.col("v").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("v").alias("b"), F.col("items").alias("y")), "b")
             .withColumn("common", F.size(F.array_intersect("x", "y"))))
@@ -359,28 +444,20 @@ def near_components(docs: DataFrame) -> DataFrame:
         F.min("row").alias("v"), F.first("n_shingles").alias("n_shingles"), F.first("text_hash").alias("text_hash"),
         F.first("sig").alias("sig"))
     vertices = written(grouped, "vertices")
-    comps, links = None, None
-
-    def placed_now() -> DataFrame:
-        if comps is None:
-            return vertices.withColumn("comp", F.col("v"))
-        return (vertices.join(comps.select(F.col("vertex").alias("v"), "component"), "v", "left")
-                .withColumn("comp", F.coalesce("component", "v")).drop("component"))
-
-    for trees in ROUNDS:
-        whole = comps is not None
-        nodes = leaves(placed_now(), trees, whole)
-        found = written(candidates(nodes, vertices, whole), "pairs")
-        tested = found.filter("a is not null").select("a", "b").distinct()
-        good = written(confirmed(docs, tested, vertices), "links")
-        links = good if links is None else links.unionByName(good)
-        comps = components(links)
-    again = written(displaced(found, good), "displaced")
-    if not again.isEmpty():
-        nodes = nodes.join(again, "node", "left_semi").drop("comp").join(placed_now().select("v", "comp"), "v")
-        rest = candidates(nodes, vertices, True, displace=False).filter("a is not null").select("a", "b").distinct()
-        rest = written(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
-        comps = components(links.unionByName(written(confirmed(docs, rest, vertices), "links")))
+    few, many = ROUNDS
+    small, large = leaves(vertices.withColumn("comp", F.col("v")), few)
+    found = written(candidates(small if large is None else small.unionByName(_pivoted(large)), vertices), "pairs")
+    good = written(confirmed(docs, found, vertices), "links")
+    comps = components(good)
+
+    now = (vertices.join(comps.select(F.col("vertex").alias("v"), "component"), "v", "left")
+           .withColumn("comp", F.coalesce("component", "v")).drop("component"))
+    small, large = leaves(now, many)
+    nodes = doubtful(small, vertices)
+    nodes = written(nodes if large is None else nodes.unionByName(_tiled(large, vertices)), "doubtful")
+    more = written(links(nodes, _sets_of(docs, nodes, vertices)), "links")
+    if not more.isEmpty():
+        comps = components(good.unionByName(more))
     placed = rows.join(vertices.select("set_a", "set_b", "v"), ["set_a", "set_b"], "left").join(
         comps.withColumnRenamed("vertex", "v"), "v", "left")
     placed = placed.select("doc_id", "row", "n_shingles", F.coalesce("component", "v", "row").alias("root"),

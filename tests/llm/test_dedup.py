@@ -137,9 +137,9 @@ def test_large_nodes_compare_every_pair(spark, monkeypatch):
     assert rows_of(chosen_path.near_report(df)) == want
 
 
-def test_pairs_left_out_for_a_failed_one_are_confirmed(spark, monkeypatch):
+def test_pairs_over_the_threshold_among_others_just_under_it(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "DEPTH", 1)
-    monkeypatch.setattr(chosen_path, "SURE", 0.6)
+    monkeypatch.setattr(chosen_path, "BLOCK", 50)  # several blocks and tiles
     rng = random.Random(12)
     base = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(changed(rng, base, 9))) for i in range(150)]
@@ -151,11 +151,15 @@ def test_pairs_left_out_for_a_failed_one_are_confirmed(spark, monkeypatch):
     assert rows_of(chosen_path.near_report(df)) == near_brute(rows)
 
 
-def test_tiles_hold_every_pair_once(spark):
+@pytest.mark.parametrize("block, shingles", [(256, 1 << 20), (2048, 25_600)])
+def test_tiles_hold_every_pair_once(spark, monkeypatch, block, shingles):
+    monkeypatch.setattr(chosen_path, "BLOCK", block)
+    monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", shingles)
     comp_of = {v: 0 if v < 600 else 600 if v < 900 else 900 if v < 920 else v for v in range(1100)}
     rows = spark.createDataFrame([(7, v, c, 1100) for v, c in comp_of.items()], "path bigint, v bigint, comp bigint, n bigint")
+    vertices = spark.createDataFrame([(v, 100) for v in comp_of], "v bigint, n_shingles bigint")
     nodes = defaultdict(list)
-    for r in chosen_path._tiled(rows).collect():
+    for r in chosen_path._tiled(rows, vertices).collect():
         assert r.comp == comp_of[r.v]
         nodes[r.node].append((r.v, r.side))
     met = Counter((min(a, b), max(a, b)) for xs in nodes.values() for a, s in xs for b, t in xs
@@ -164,6 +168,30 @@ def test_tiles_hold_every_pair_once(spark):
     assert len(met) == sum(comp_of[a] != comp_of[b] for a in range(1100) for b in range(a + 1, 1100))
 
 
+def test_node_links_equal_a_plain_comparison(monkeypatch):
+    monkeypatch.setattr(chosen_path, "PRODUCT", 7)
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n = int(rng.integers(2, 30))
+        base = rng.choice(10**6, 60, replace=False)
+        sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(45, 60)), replace=False),
+                                          rng.choice(10**6, int(rng.integers(0, 6)))])) for _ in range(n)]
+        comp, side = rng.integers(0, n, n), rng.integers(1, 3, n) if rng.random() < 0.5 else np.zeros(n, int)
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if (side[i] + side[j]) % 3 == 0 and comp[i] != comp[j]
+                 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+        got = [tuple(sorted(x)) for x in chosen_path.node_links(comp, side, sets)]
+        assert set(got) <= set(pairs)
+
+        def joined(edges):
+            label = comp.copy()
+            for i, j in edges:
+                label[label == label[i]] = label[j]
+            return [tuple(np.flatnonzero(label == x)) for x in label]
+
+        assert joined(got) == joined(pairs)
+        assert len(got) == len(set(comp.tolist())) - len(set(joined(got)))  # a forest
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 400)] + [(500, 500)]
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
