@@ -26,9 +26,9 @@ trees, large nodes only in blocks that hold one common pivot, and only
 best estimates first, which are as many pairs as documents and not their
 square.  The second takes all sixteen trees, these two again.  It drops every
 node whose documents are in one component by then.  In a node that is left, the
-full sets of its documents (of a small node: those in a pair above the screen)
-travel to the node once each, and every pair of different components is tested
-there on the sets themselves: the numbers of common shingles of all pairs are a
+full sets of its documents (of a small node: those in a pair above the screen,
+where the same ones meet in several trees only once) travel to the node, and
+every pair of different components is tested there on the sets themselves: the numbers of common shingles of all pairs are a
 product of incidence matrices.  A node gives out links that join its components
 and no others, so what it returns grows with its documents and not their pairs.
 
@@ -298,8 +298,29 @@ def candidates(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
 _NODE = "node bigint, v bigint, comp bigint, side int"
 
 
+def _parts(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are in a pair, and for each the number of its part: rows that
+    pairs connect, named by the ``v`` that it holds."""
+    label = np.arange(len(v))
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        if (new == label).all():
+            break
+        label = new
+    rows = np.unique(np.concatenate([i, j]))
+    kinds, part = np.unique(label[rows], return_inverse=True)
+    total = np.zeros(len(kinds), np.uint64)
+    np.add.at(total, part, mixed(v[rows].view(np.uint64) ^ GOLD))
+    return rows, mixed(total)[part].view(np.int64)
+
+
 def doubtful(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The rows of small nodes that are in a pair above the screen."""
+    """(node, v, comp, side) of small nodes' rows that are in a pair above the
+    screen.  Such pairs cut a node into parts, which are nodes of their own; a
+    part that several trees find is one."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = schema_of(_NODE)
@@ -307,9 +328,12 @@ def doubtful(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
         for t in _by_node(it):
             i, j, _ = _screened(t)
             if len(i):
-                yield from t.take(np.unique(np.concatenate([i, j]))).select(["node", "v", "comp", "side"]).cast(schema).to_batches()
+                v, comp, side = (t.column(c).to_numpy() for c in ("v", "comp", "side"))
+                rows, part = _parts(v, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(v[rows]), pa.array(comp[rows]), pa.array(side[rows])],
+                                                 schema=schema)
 
-    return _with_sketches(nodes, vertices).mapInArrow(run, _NODE)
+    return _with_sketches(nodes, vertices).mapInArrow(run, _NODE).distinct()
 
 
 def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -192,6 +192,17 @@ def test_node_links_equal_a_plain_comparison(monkeypatch):
         assert len(got) == len(set(comp.tolist())) - len(set(joined(got)))  # a forest
 
 
+def test_parts_are_named_by_their_documents():
+    v = np.array([50, 7, 9, 11, 13, 9, 7, 11, 99], np.int64)
+    i, j = np.array([1, 3, 5, 0]), np.array([2, 4, 6, 8])  # 7-9, 11-13, 9-7 again, 50-99; row 7 is in no pair
+    rows, part = chosen_path._parts(v, i, j)
+    assert rows.tolist() == [0, 1, 2, 3, 4, 5, 6, 8]
+    of = dict(zip(rows.tolist(), part.tolist()))
+    assert of[1] == of[2] == of[5] == of[6] and of[3] == of[4] and of[0] == of[8] and len(set(of.values())) == 3
+    chain = np.arange(40, dtype=np.int64)
+    assert len(set(chosen_path._parts(chain, chain[:-1], chain[1:])[1].tolist())) == 1
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 400)] + [(500, 500)]
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
