@@ -16,16 +16,21 @@ counts at most what its words count, which undoes most false positives.  The
 weight ``a`` depends on the size class of ``c(v)`` and is fitted by
 expectation maximisation on leave-one-out counts over all training tokens.
 
-As ``R`` has few values, one pass of probing does for both: it leaves every
+As ``R`` has few values, one round of probing does for both: it leaves every
 document's counts by (size class, R), and the leave-one-out counts of all
 training documents; the weights follow from those, and the scores from the
 weights.
 
-The filter never exceeds ``MOST_BITS`` (32 MB).  When the events of all
-n-grams would load it beyond ``EVENT_BITS`` bits an event, bigrams under a
-cut-off count stay out, the smallest for which the rest fits (its mass goes to
-the unigram model): counting covers the whole corpus at any size, and the
-cut-off is computed from the full histogram of counts.
+The filter holds every n-gram of the training texts: it is sized by its events
+(``EVENT_BITS`` bits each) and cut into slices by the keys' top bits.  As it
+grows with the corpus, it is broadcast in passes, each a group of slices of at
+most ``PASS_BYTES`` (or one slice, if that is larger; a slice stays under some
+7 MB, as slices follow the bytes of text).  A batch of documents asks for each
+of its distinct n-grams once: its keys are written by group, so a pass reads
+the keys of its own slices only and all passes together probe every key once.
+The answers (levels, in key order) go back to the batches by a join on the
+batch number, where they meet the batch's tokens, written as places in its
+list of bigrams.
 
 The base score needs exact counts.  Every document sends its distinct tokens'
 counts; the ``HEAVY`` most frequent training tokens at most are broadcast as
@@ -50,14 +55,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import GOLD, batch_of, batch_words, held_out, mixed, schema_of, text_bytes, worker_memory, written
+from logloom.llm.common import GOLD, batch_of, batch_words, held_out, mixed, schema_of, text_bytes, written
 from logloom.llm.sketch import SlicedBloom, bucket_bits, by_bucket, collected, pack, summed, unpack
+from logloom.session import scratch_path
 
 FOLDS = 10
 SMOOTH = 0.1
 END = np.uint64(0x5EED0FE2D)
-#: filter: bits for each event, probes, most bits (32 MB)
-EVENT_BITS, PROBES, MOST_BITS = 10, 6, 1 << 28
+#: filter: bits for each event, probes
+EVENT_BITS, PROBES = 10, 6
+#: bytes of slices that one pass broadcasts
+PASS_BYTES = 32 << 20
+#: bytes of text of a batch of documents, which asks for each n-gram once (a longer document is a batch of its own)
+BATCH_BYTES = 2 << 20
+#: keys that a pass probes at once
+PROBED_AT_ONCE = 2_000_000
 #: growth of the level scales of unigrams and bigrams
 GROWTH = {1: 1.1, 2: 1.5}
 #: most training tokens whose exact counts are broadcast (16 bytes each)
@@ -65,8 +77,6 @@ HEAVY = 1 << 19
 #: cells: size classes of the context, and values of R (0, then quarters of a power of two)
 CLASSES, RATIOS = 48, 256
 _RATIO_LOW, _RATIO_STEP = -30.0, 0.25
-#: unigrams that a worker remembers the level of
-MOST_KNOWN = 400_000
 #: distinct n-grams that a counting task gathers before it sends them on
 FLUSH = 1_500_000
 
@@ -155,34 +165,26 @@ def histogram(table: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def cut_off(hist: dict[int, np.ndarray]) -> tuple[dict[int, int], int]:
-    """The least level that each order needs to enter the filter, and the
-    number of events then.  Only as many low levels are cut as must be, the
-    bigrams' first."""
-    at_least = {1: 1, 2: 1}
-    load = lambda n: int((hist[n] * np.where(np.arange(len(hist[n])) >= at_least[n], np.arange(len(hist[n])), 0)).sum())
-    for n in (2, 1):
-        while load(1) + load(2) > MOST_BITS // EVENT_BITS and at_least[n] < len(hist[n]):
-            at_least[n] += 1
-    return at_least, load(1) + load(2)
+def filter_width(hist: dict[int, np.ndarray], bits: int) -> int:
+    """Bits of one slice: room for the events of all n-grams."""
+    load = sum(int((h * np.arange(len(h))).sum()) for h in hist.values())
+    return (-(-load * EVENT_BITS // (1 << bits)) * 21 // 20 + 127) // 64 * 64
 
 
-def build_filter(table: DataFrame, bits: int) -> tuple[bytes, int, dict[int, int]]:
-    at_least, load = cut_off(histogram(table))
-    width = max(64, min(MOST_BITS >> bits, -(-load * EVENT_BITS // (1 << bits)) * 5 // 4 + 64) // 64 * 64)
+def filter_slices(table: DataFrame, width: int) -> DataFrame:
+    """(bucket, data): the filter's slices, each from its bucket's n-grams alone."""
 
     def slices(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for n, keys, counts in zip(pdf["n"], pdf["keys"], pdf["counts"]):
             keys, level = unpack(keys, ordered=True), np.searchsorted(STEPS[n], unpack(counts).astype(np.int64), side="right")
-            keys, level = keys[level >= at_least[n]], level[level >= at_least[n]]
             for j in range(1, int(level.max(initial=0)) + 1):
                 found.append(events(keys[level >= j], j))
         data = SlicedBloom.slice_of(np.concatenate(found) if found else np.zeros(0, np.uint64), width, PROBES)
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "data": [data]})
 
     made = table.select("bucket", "n", "keys", "counts").groupBy("bucket").applyInPandas(slices, "bucket int, data binary")
-    return bytes(collected(made, bits, width)), width, at_least
+    return written(made, "slices")
 
 
 def levels(bloom: SlicedBloom, keys: np.ndarray, most: int) -> np.ndarray:
@@ -197,52 +199,32 @@ def levels(bloom: SlicedBloom, keys: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-class Probed:
-    """Counts of n-grams by probing; the levels of unigrams are remembered."""
-
-    def __init__(self, bloom: SlicedBloom, n_tokens: int, kinds: int) -> None:
-        self.bloom, self.n_tokens, self.kinds, self.known = bloom, n_tokens, kinds, {}
-
-    def unigram_levels(self, kinds: np.ndarray) -> np.ndarray:
-        keys = kinds.tolist()
-        if len(self.known) + len(keys) > MOST_KNOWN:
-            self.known.clear()
-        get = self.known.get
-        out = np.array([get(k, -1) for k in keys], np.int64)
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            out[new] = levels(self.bloom, kinds[new], len(STEPS[1]) - 1)
-            self.known.update(zip(kinds[new].tolist(), out[new].tolist()))
-        return out
-
-    def counts(self, tok: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: its count (lower edge), its bigram's count (lower
-        edge), and the count of the token before (upper edge)."""
-        kinds, back = np.unique(np.concatenate([tok, np.array([END])]), return_inverse=True)
-        level = self.unigram_levels(kinds)
-        low = np.where(level > 0, STEPS[1][np.maximum(level, 1) - 1], 0)[back]
-        high = np.where(level > 0, STEPS[1][level] - 1, 0)[back]
-        # a token's predecessor is the one before it in the batch, or an end
-        context = np.where(before == END, high[-1], np.concatenate([high[-1:], high[:-2]]))
-        low = low[:-1]
-        most = np.minimum(low, context)
-        some = np.flatnonzero(most > 0)  # a bigram is in no more often than its words
-        pairs, at = np.unique(bigram_keys(before[some], tok[some]), return_inverse=True)
-        both = np.zeros(len(tok), np.int64)
-        found = levels(self.bloom, pairs, len(STEPS[2]) - 1)
-        both[some] = np.where(found > 0, STEPS[2][np.maximum(found, 1) - 1], 0)[at]
-        return low, np.minimum(both, most), context
-
-    def cells(self, low: np.ndarray, both: np.ndarray, context: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Unigram probability and cell of each token; ``less`` 1: as if this
-        very token had not been counted."""
-        uni = (np.maximum(low - less, 0) + SMOOTH) / (self.n_tokens + SMOOTH * (self.kinds + 1))
-        ratio = np.maximum(both - less, 0) / np.maximum(context - less, 1) / uni
-        with np.errstate(divide="ignore"):
-            at = np.floor((np.log2(ratio) - _RATIO_LOW) / _RATIO_STEP)
-        at = np.where(ratio > 0, np.clip(at, 0, RATIOS - 1), 0).astype(np.int64)
-        kind = np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64), CLASSES - 1)
-        return uni, kind * RATIOS + at
+def token_values(uni: np.ndarray, both: np.ndarray, right: np.ndarray, at: np.ndarray,
+                 end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token of a batch: its count (lower edge), its bigram's count
+    (lower edge), and the count of the token before (upper edge).  ``uni`` and
+    ``both``: levels of the batch's words and bigrams; ``right``: each bigram's
+    second word; ``at``: each token's bigram; ``end``: the end token's place."""
+    low = np.where(uni > 0, STEPS[1][np.maximum(uni, 1) - 1], 0)
+    high = np.where(uni > 0, STEPS[1][uni] - 1, 0)
+    tok = right[at]
+    before = np.concatenate([[end], tok[:-1]])  # an end stands before every text
+    context, low = high[before], low[tok]
+    pair = np.where(both > 0, STEPS[2][np.maximum(both, 1) - 1], 0)[at]
+    return low, np.minimum(pair, np.minimum(low, context)), context  # a bigram is in no more often than its words
+
+
+def cells_of(low: np.ndarray, both: np.ndarray, context: np.ndarray, n_tokens: int, kinds: int,
+             less: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Unigram probability and cell of each token; ``less`` 1: as if this very
+    token had not been counted."""
+    uni = (np.maximum(low - less, 0) + SMOOTH) / (n_tokens + SMOOTH * (kinds + 1))
+    ratio = np.maximum(both - less, 0) / np.maximum(context - less, 1) / uni
+    with np.errstate(divide="ignore"):
+        at = np.floor((np.log2(ratio) - _RATIO_LOW) / _RATIO_STEP)
+    at = np.where(ratio > 0, np.clip(at, 0, RATIOS - 1), 0).astype(np.int64)
+    kind = np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64), CLASSES - 1)
+    return uni, kind * RATIOS + at
 
 
 def ratio_values() -> np.ndarray:
@@ -298,59 +280,146 @@ def token_counts(table: DataFrame) -> DataFrame:
     return table.filter("n = 1").select("keys", "counts").mapInArrow(run, "key bigint, c bigint")
 
 
-_PROBED = ("kind int, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, heavy_known bigint, heavy_log double, "
-           "uni_log double, keys array<bigint>, times array<bigint>, cells array<int>, cell_times array<bigint>")
+#: parts of the table of questions beside the groups of slices (0, 1, ...)
+DOCS, BODIES = -2, -1
+_ASKED = ("grp int, batch bigint, ones binary, twos binary, places binary, rights binary, last int, rows array<bigint>, "
+          "learns array<boolean>, sizes array<bigint>, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, "
+          "heavy_known bigint, heavy_log double, keys array<bigint>, times array<bigint>")
 
 
-def probed(docs: DataFrame, bloom, heavy, bits: int, width: int, n_tokens: int, kinds: int) -> DataFrame:
-    """One pass of probing.  Rows of kind 0: each document's log10 unigram
-    probability and its tokens by cell, base sums over the heavy tokens, and its
-    other tokens with their counts.  Kind 1: each task's training tokens by
-    leave-one-out cell."""
+def _cut(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive runs that end where their sum first reaches ``most``."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        total += n
+        if total >= most:
+            out.append((start, i + 1))
+            start, total = i + 1, 0
+    return out + ([(start, len(sizes))] if start < len(sizes) else [])
+
+
+def asked(docs: DataFrame, heavy, bits: int, per_group: int) -> DataFrame:
+    """What batches of documents ask, and what they keep until the answers come.
+
+    Part ``DOCS``: each document's base sums over the heavy tokens, and its
+    other tokens with their counts.  ``BODIES``: each batch's tokens as places
+    in its sorted bigrams, and the bigrams' second words as places in its
+    sorted words.  Others: the batch's words and bigrams of one group of slices,
+    in key order."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = schema_of(_PROBED)
-        probe = Probed(SlicedBloom(bloom.value, bits, width, PROBES), n_tokens, kinds)
-        memory = worker_memory()
-        if memory.get("unigrams of") != (n_tokens, kinds, width, bits):  # another filter
-            memory["unigrams of"], memory["unigrams"] = (n_tokens, kinds, width, bits), {}
-        probe.known = memory["unigrams"]
+        schema = schema_of(_ASKED)
         known, exact = heavy.value
         logs = np.log10(exact + SMOOTH)
-        table = np.zeros(CLASSES * RATIOS, np.int64)
+        groups = -(-(1 << bits) // per_group)
+        edges = np.arange(1, groups, dtype=np.uint64) * np.uint64(per_group) << np.uint64(64 - bits)
         yield batch_of([], schema)
         for big in it:
-            for k in range(0, big.num_rows, 400):
-                b = big.slice(k, 400)
-                tok, before, n = tokens_of(text_bytes(b.column(3)))
+            texts = text_bytes(big.column(3))
+            for lo, hi in _cut(np.array([len(x) + 1 for x in texts]), BATCH_BYTES):
+                b = big.slice(lo, hi - lo)
+                tok, before, n = tokens_of(texts[lo:hi])
                 ends = np.cumsum(n)
-                doc = np.repeat(np.arange(len(n)), n)
-                held = np.array(b.column(2).to_pylist(), bool)
-                low, both, context = probe.counts(tok, before)
-                uni, cell = probe.cells(low, both, context)
-                uni_log = np.add.reduceat(np.log10(uni), ends - n)
-                learn = ~held[doc]
-                table += np.bincount(probe.cells(low[learn], both[learn], context[learn], 1)[1], minlength=len(table))
-                pairs, times = np.unique(doc * len(table) + cell, return_counts=True)
-                cut = np.searchsorted(pairs, np.arange(len(n) + 1) * len(table))
-                pairs = (pairs % len(table)).astype(np.int32)
-                at = np.minimum(np.searchsorted(known, tok), max(len(known) - 1, 0))
-                is_heavy = known[at] == tok if len(known) else np.zeros(len(tok), bool)
-                part = np.add.reduceat(np.where(is_heavy, logs[at], 0.0), ends - n) if len(known) else np.zeros(len(n))
-                count = np.add.reduceat(is_heavy.astype(np.int64), ends - n)
-                rows = []
-                for i, (d, row, e) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends.tolist())):
-                    rest, often = np.unique(tok[e - n[i]:e][~is_heavy[e - n[i]:e]], return_counts=True)
-                    mine = slice(cut[i], cut[i + 1])
-                    rows.append((0, row, d, bool(held[i]), int(n[i]), int(count[i]), float(part[i]), float(uni_log[i]),
-                                 rest.view(np.int64), often, pairs[mine], times[mine]))
-                yield batch_of(rows, schema)
-        some = np.flatnonzero(table)
-        yield batch_of([(1, *[None] * 9, some.astype(np.int32), table[some])], schema)
+                held, rows = np.array(b.column(2).to_pylist(), bool), b.column(1).to_pylist()
+                words, place = np.unique(tok, return_inverse=True)
+                pairs, first, at = np.unique(bigram_keys(before, tok), return_index=True, return_inverse=True)
+                one, two = ([0, *np.searchsorted(x, edges).tolist(), len(x)] for x in (words, pairs))
+                out = [(g, rows[0], pack(words[one[g]:one[g + 1]], ordered=True), pack(pairs[two[g]:two[g + 1]], ordered=True),
+                        *[None] * 14) for g in range(groups)]
+                out.append((BODIES, rows[0], None, None, pack(at), pack(place[first]), int(place[-1]),
+                            rows, ~held, n, *[None] * 8))
+                spot = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+                hit = (known[spot] == words)[place] if len(known) else np.zeros(len(tok), bool)
+                part = np.add.reduceat(np.where(hit, logs[spot][place], 0.0), ends - n) if len(known) else np.zeros(len(n))
+                count = np.add.reduceat(hit.astype(np.int64), ends - n)
+                for i, (d, e) in enumerate(zip(b.column(0).to_pylist(), ends.tolist())):
+                    rest, often = np.unique(tok[e - n[i]:e][~hit[e - n[i]:e]], return_counts=True)
+                    out.append((DOCS, None, *[None] * 8, rows[i], d, bool(held[i]), int(n[i]), int(count[i]), float(part[i]),
+                                rest.view(np.int64), often))
+                yield batch_of(out, schema)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"),
                        held_out(F.col("doc_id"), FOLDS).alias("held_out"), "text")
-    return rows.mapInArrow(run, _PROBED)
+    return written(rows.mapInArrow(run, _ASKED), "asked", by="grp")
+
+
+_ANSWERS = "batch bigint, grp int, ones binary, twos binary"
+
+
+def answered(questions: DataFrame, slices: DataFrame, bits: int, width: int, per_group: int) -> DataFrame:
+    """(batch, grp, ones, twos): levels of the asked words and bigrams, by one
+    pass for each group of slices, whose filter is broadcast."""
+    spark, base, paths = questions.sparkSession, scratch_path(questions.sparkSession, "answers"), []
+
+    def prober(bloom, low: int):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = schema_of(_ANSWERS)
+            probe = SlicedBloom(bloom.value, bits, width, PROBES, low)
+            held, size = [], 0
+
+            def flush():
+                found = []
+                for n in (1, 2):
+                    keys = [row[1 + n] for row in held]
+                    kinds, back = np.unique(np.concatenate(keys), return_inverse=True)
+                    cut = np.cumsum([len(k) for k in keys])[:-1]
+                    found.append(np.split(levels(probe, kinds, len(STEPS[n]) - 1)[back], cut))
+                return batch_of([(r[0], r[1], pack(x), pack(y)) for r, x, y in zip(held, *found)], schema)
+
+            yield batch_of([], schema)
+            for b in it:
+                for row in zip(*[c.to_pylist() for c in b.columns]):
+                    held.append((row[0], row[1], unpack(row[2], ordered=True), unpack(row[3], ordered=True)))
+                    size += len(held[-1][2]) + len(held[-1][3])
+                    if size >= PROBED_AT_ONCE:
+                        yield flush()
+                        held, size = [], 0
+            if held:
+                yield flush()
+
+        return run
+
+    for group in range(-(-(1 << bits) // per_group)):
+        low = group * per_group
+        mine = slices.filter(F.col("bucket").between(low, low + per_group - 1)).withColumn("bucket", F.col("bucket") - low)
+        bloom = spark.sparkContext.broadcast(bytes(collected(mine, per_group, width)))
+        paths.append(f"{base}/{group}")
+        (questions.filter(F.col("grp") == group).select("batch", "grp", "ones", "twos")
+         .mapInArrow(prober(bloom, low), _ANSWERS).write.option("compression", "zstd").parquet(paths[-1]))
+        bloom.destroy()
+    return spark.read.schema(_ANSWERS).parquet(*paths)
+
+
+_PROBED = "kind int, row bigint, uni_log double, cells array<int>, cell_times array<bigint>"
+
+
+def probed(questions: DataFrame, answers: DataFrame, n_tokens: int, kinds: int) -> DataFrame:
+    """Rows of kind 0: each document's log10 unigram probability and its tokens
+    by cell.  Kind 1: each batch's training tokens by leave-one-out cell."""
+
+    def run(body: pd.DataFrame, levels_of: pd.DataFrame) -> pd.DataFrame:
+        if not len(body):
+            return pd.DataFrame({c.split()[0]: [] for c in _PROBED.split(", ")})
+        r, found = body.iloc[0], levels_of.sort_values("grp")
+        uni, both = (np.concatenate([unpack(x) for x in found[c]]).astype(np.int64) for c in ("ones", "twos"))
+        right, at = unpack(r["rights"]).astype(np.int64), unpack(r["places"]).astype(np.int64)
+        low, pair, context = token_values(uni, both, right, at, int(r["last"]))
+        prob, cell = cells_of(low, pair, context, n_tokens, kinds)
+        n = np.asarray(r["sizes"])
+        ends, doc, size = np.cumsum(n), np.repeat(np.arange(len(n)), n), CLASSES * RATIOS
+        learn = np.asarray(r["learns"], bool)[doc]
+        table = np.bincount(cells_of(low[learn], pair[learn], context[learn], n_tokens, kinds, 1)[1], minlength=size)
+        uni_log = np.add.reduceat(np.log10(prob), ends - n)
+        pairs, times = np.unique(doc * size + cell, return_counts=True)
+        cut = np.searchsorted(pairs, np.arange(1, len(n)) * size)
+        some = np.flatnonzero(table)
+        return pd.DataFrame({"kind": [0] * len(n) + [1], "row": pd.array([*np.asarray(r["rows"]).tolist(), None], "Int64"),
+                             "uni_log": [*uni_log.tolist(), None],
+                             "cells": [*np.split((pairs % size).astype(np.int32), cut), some.astype(np.int32)],
+                             "cell_times": [*np.split(times, cut), table[some]]})
+
+    bodies = questions.filter(F.col("grp") == BODIES).select("batch", "places", "rights", "last", "rows", "learns", "sizes")
+    return written(bodies.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, _PROBED), "probed")
 
 
 def evidence(rows: DataFrame) -> np.ndarray:
@@ -363,23 +432,20 @@ def evidence(rows: DataFrame) -> np.ndarray:
 
 
 def with_scores(rows: DataFrame, a: np.ndarray) -> DataFrame:
-    """Rows of kind 0 with the model's log10 probability of the text."""
+    """(row, score): the model's log10 probability of each document, from rows of kind 0."""
     logs = np.log10(np.outer(a, ratio_values()) + (1 - a)[:, None]).ravel()
-    ddl = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, heavy_known bigint, heavy_log double, score double"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = schema_of(ddl)
+        schema = schema_of("row bigint, score double")
         for b in it:
-            cells, times, uni = b.column(6), b.column(7), b.column(8).to_numpy(zero_copy_only=False)
+            cells, times, uni = b.column(1), b.column(2), b.column(3).to_numpy(zero_copy_only=False)
             gain = logs[cells.flatten().to_numpy(zero_copy_only=False)] * times.flatten().to_numpy(zero_copy_only=False)
-            n = cells.value_lengths().to_numpy(zero_copy_only=False)
             total = np.concatenate([[0.0], np.cumsum(gain)])
+            n = cells.value_lengths().to_numpy(zero_copy_only=False)
             ends = np.cumsum(n)
-            score = pa.array(uni + total[ends] - total[ends - n])
-            yield pa.RecordBatch.from_arrays([*[b.column(i).cast(schema.field(i).type) for i in range(6)], score], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(uni + total[ends] - total[ends - n])], schema=schema)
 
-    cols = ["row", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_log", "cells", "cell_times", "uni_log"]
-    return rows.filter("kind = 0").select(*cols).mapInArrow(run, ddl)
+    return rows.filter("kind = 0").select("row", "cells", "cell_times", "uni_log").mapInArrow(run, "row bigint, score double")
 
 
 def score_report(docs: DataFrame) -> DataFrame:
@@ -392,17 +458,21 @@ def score_report(docs: DataFrame) -> DataFrame:
                                      F.coalesce(F.sum(F.aggregate("hist", F.lit(0).cast("bigint"), lambda x, y: x + y)),
                                                 F.lit(0)).alias("V")).first()
     n_tokens, kinds = sums["N"], sums["V"]
-    data, width, _ = build_filter(table, bits)
-    bloom = spark.sparkContext.broadcast(data)
+    width = filter_width(histogram(table), bits)
+    per_group = min(1 << bits, max(1, PASS_BYTES * 8 // width))
     heavy = spark.sparkContext.broadcast(heavy_tokens(table))
-    rows = written(probed(docs, bloom, heavy, bits, width, n_tokens, kinds), "probed")
+    questions = asked(docs, heavy, bits, per_group)
+    answers = answered(questions, filter_slices(table, width), bits, width, per_group)
+    rows = probed(questions, answers, n_tokens, kinds)
     a = weights(evidence(rows))
-    rest = (rows.filter("kind = 0").select("row", F.explode(F.arrays_zip("keys", "times")).alias("t")).select("row", "t.keys", "t.times")
+    docs_part = questions.filter(F.col("grp") == DOCS)
+    rest = (docs_part.select("row", F.explode(F.arrays_zip("keys", "times")).alias("t")).select("row", "t.keys", "t.times")
             .join(token_counts(table).withColumnRenamed("key", "keys"), "keys", "left"))
     per_row = rest.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("known"),
                                       F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("logs"))
     bottom = float(np.log10(n_tokens + SMOOTH * (kinds + 1)))
-    return with_scores(rows, a).join(per_row, "row", "left").select(
+    base = docs_part.select("row", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_log")
+    return base.join(with_scores(rows, a), "row").join(per_row, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("heavy_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n_tokens).cast("bigint").alias("train_tokens"),
         (F.col("heavy_log") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(bottom)).alias("base_score"), "score")

@@ -68,10 +68,11 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class SlicedBloom:
-    """A Bloom filter of ``1 << bits`` slices of ``width`` bits each."""
+    """A Bloom filter of ``1 << bits`` slices of ``width`` bits each; ``data``
+    may be a run of consecutive slices from number ``low`` on."""
 
-    def __init__(self, data: bytes | bytearray, bits: int, width: int, probes: int) -> None:
-        self.raw, self.bits, self.width, self.probes = np.frombuffer(data, np.uint8), bits, width, probes
+    def __init__(self, data: bytes | bytearray, bits: int, width: int, probes: int, low: int = 0) -> None:
+        self.raw, self.bits, self.width, self.probes, self.low = np.frombuffer(data, np.uint8), bits, width, probes, low
 
     @staticmethod
     def places(event: np.ndarray, width: int, probes: int) -> Iterator[np.ndarray]:
@@ -94,7 +95,7 @@ class SlicedBloom:
         probes, each only where all earlier ones hit."""
         out = np.zeros(len(keys), bool)
         left = np.arange(len(keys))
-        base = (keys >> np.uint64(64 - self.bits)) * np.uint64(self.width)
+        base = ((keys >> np.uint64(64 - self.bits)) - np.uint64(self.low)) * np.uint64(self.width)
         x = events * GOLD
         a, step = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
         for k in range(self.probes):
@@ -104,10 +105,10 @@ class SlicedBloom:
         return out
 
 
-def collected(slices: DataFrame, bits: int, width: int) -> bytearray:
-    """The filter from its slices (bucket, data): ``(1 << bits) * width`` bits,
-    a size that the caller bounds."""
-    out = bytearray((1 << bits) * width // 8)
+def collected(slices: DataFrame, number: int, width: int) -> bytearray:
+    """A filter from its slices (bucket, data): ``number * width`` bits, a size
+    that the caller bounds."""
+    out = bytearray(number * width // 8)
     for r in slices.collect():
         at = r["bucket"] * width // 8
         out[at:at + width // 8] = r["data"]

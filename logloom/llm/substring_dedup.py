@@ -131,7 +131,7 @@ def anchor_filter(shared: DataFrame, bits: int) -> tuple[bytearray, int]:
             for bucket, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 yield batch_of([(bucket, SlicedBloom.slice_of(unpack(keys, ordered=True), width, PROBES))], schema)
 
-    return collected(shared.select("bucket", "keys").mapInArrow(slices, "bucket int, data binary"), bits, width), width
+    return collected(shared.select("bucket", "keys").mapInArrow(slices, "bucket int, data binary"), 1 << bits, width), width
 
 
 _SCAN = "kind int, chunk bigint, row bigint, doc_id bigint, n_words bigint, sha string, text binary, bucket int, keys binary, lo binary, hi binary"

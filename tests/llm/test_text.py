@@ -97,12 +97,73 @@ def test_lm_levels_follow_counts():
     assert (got >= level).all() and (got == level).mean() > 0.98
 
 
-def test_lm_cut_off_keeps_the_filter_bounded(monkeypatch):
+def model_brute(rows):
+    """The model's scores by plain dictionaries, from counts quantised as documented."""
+    fold = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 10
+    toks = [(k, (t or "").encode().lower().split() + [None]) for k, t in rows]
+    one, two = Counter(), Counter()
+    for k, w in toks:
+        if fold(k):
+            one.update(w)
+            two.update(zip([None, *w[:-1]], w))
+    total, kinds = sum(one.values()), len(one)
+    low = lambda n, c: int(lm_bloom.STEPS[n][np.searchsorted(lm_bloom.STEPS[n], c, side="right") - 1]) if c else 0
+    high = lambda c: int(lm_bloom.STEPS[1][np.searchsorted(lm_bloom.STEPS[1], c, side="right")]) - 1 if c else 0
+
+    def cell(v, w, less):
+        c, ctx = low(1, one[w]), high(one[v])
+        uni = (max(c - less, 0) + 0.1) / (total + 0.1 * (kinds + 1))
+        ratio = max(min(low(2, two[v, w]), c, ctx) - less, 0) / max(ctx - less, 1) / uni
+        step = min(max(math.floor((math.log2(ratio) + 30) * 4), 0), 255) if ratio else 0
+        return uni, min(int(math.log2(max(ctx, 1))), 47), 2.0 ** (step / 4 - 30) if step else 0.0
+
+    seen = {}
+    for k, w in toks:
+        if fold(k):
+            for pair in zip([None, *w[:-1]], w):
+                _, size, r = cell(*pair, 1)
+                seen.setdefault(size, Counter())[r] += 1
+    weight = {}
+    for size, rs in seen.items():
+        a = 0.5
+        for _ in range(50):
+            a = min(sum(n * a * r / (a * r + 1 - a) for r, n in rs.items()) / sum(rs.values()), 0.999)
+        weight[size] = a
+    out = []
+    for k, w in toks:
+        score = 0.0
+        for pair in zip([None, *w[:-1]], w):
+            uni, size, r = cell(*pair, 0)
+            a = weight.get(size, 0.0)
+            score += math.log10(uni * (a * r + 1 - a))
+        out.append((k, len(w), score))
+    return out
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+
+
+def test_lm_scores_match_brute_force_in_one_pass_and_in_many(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(lm_bloom, "EVENT_BITS", 80)  # false positives are out of the question
+    monkeypatch.setattr(lm_bloom, "PROBES", 16)
+    monkeypatch.setattr(lm_bloom, "BATCH_BYTES", 20_000)
+    docs = read(spark, SF_SMALL, "documents").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    want = by_id(model_brute([(r.doc_id, r.text) for r in docs.collect()]))
+    for bound in (32 << 20, 1):  # one pass, then one for each slice
+        monkeypatch.setattr(lm_bloom, "PASS_BYTES", bound)
+        got = by_id([(r.doc_id, r.n_tokens, r.score) for r in lm_bloom.score_report(docs).collect()])
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9, abs=1e-6)
+
+
+def test_lm_filter_grows_with_its_events():
+    """Every n-gram has a place, whatever the corpus."""
     hist = {1: np.array([0, 100, 50, 10]), 2: np.array([0, 1000, 200, 50])}
-    assert lm_bloom.cut_off(hist)[0] == {1: 1, 2: 1}
-    monkeypatch.setattr(lm_bloom, "MOST_BITS", 9000)
-    at_least, load = lm_bloom.cut_off(hist)
-    assert at_least == {1: 1, 2: 2} and load == 230 + 550
+    load = 230 + 1550
+    assert lm_bloom.filter_width(hist, 4) * 16 >= load * lm_bloom.EVENT_BITS
+    more = {n: h * 10**7 for n, h in hist.items()}
+    assert lm_bloom.filter_width(more, 4) * 16 >= load * 10**7 * lm_bloom.EVENT_BITS
 
 
 def test_lm_model_is_sub_normalised(spark):
