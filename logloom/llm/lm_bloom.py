@@ -30,13 +30,15 @@ of its distinct n-grams once: its keys are written by group, so a pass reads
 the keys of its own slices only and all passes together probe every key once.
 The answers (levels, in key order) go back to the batches by a join on the
 batch number, where they meet the batch's tokens, written as places in its
-list of bigrams.
+list of words.
 
 The base score needs exact counts.  Every document sends its distinct tokens'
 counts; the ``HEAVY`` most frequent training tokens at most are broadcast as
 sorted hashes with counts, and the rest are joined with the count table.
 
-Tokens are told apart by 64-bit hashes.
+Tokens are told apart by 64-bit hashes, bigrams by ``KEY_BITS`` bits more than
+the slices' number takes: as a slice holds under 2^23 n-grams, two share a key
+with under 1e-5 at any size, far below the filter's own errors.
 
 Defined cases: null and empty texts are one end token; a null id is hashed as
 the empty text (held out); rows that repeat an id are scored each for itself;
@@ -64,6 +66,8 @@ SMOOTH = 0.1
 END = np.uint64(0x5EED0FE2D)
 #: filter: bits for each event, probes
 EVENT_BITS, PROBES = 10, 6
+#: bits of a bigram's key inside its slice
+KEY_BITS = 40
 #: bytes of slices that one pass broadcasts
 PASS_BYTES = 32 << 20
 #: bytes of text of a batch of documents, which asks for each n-gram once (a longer document is a batch of its own)
@@ -92,8 +96,10 @@ def scale(growth: float, most: int = 1 << 50) -> np.ndarray:
 STEPS = {n: scale(g) for n, g in GROWTH.items()}
 
 
-def bigram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mixed(left * GOLD ^ (right + GOLD))
+def bigram_keys(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """Keys for ``1 << bits`` slices."""
+    drop = np.uint64(max(0, 64 - bits - KEY_BITS))
+    return mixed(left * GOLD ^ (right + GOLD)) >> drop << drop
 
 
 def events(keys: np.ndarray, level: int) -> np.ndarray:
@@ -134,7 +140,7 @@ def counted(train: DataFrame, bits: int) -> DataFrame:
         for big in it:
             for k in range(0, big.num_rows, 400):
                 tok, before, _ = tokens_of(text_bytes(big.column(0).slice(k, 400)))
-                for n, keys in ((1, tok), (2, bigram_keys(before, tok))):
+                for n, keys in ((1, tok), (2, bigram_keys(before, tok, bits))):
                     held[n].append(summed(keys, np.ones(len(keys), np.int64)))
                     size += len(held[n][-1][0])
                 if size >= FLUSH:
@@ -199,16 +205,14 @@ def levels(bloom: SlicedBloom, keys: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def token_values(uni: np.ndarray, both: np.ndarray, right: np.ndarray, at: np.ndarray,
-                 end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_values(uni: np.ndarray, both: np.ndarray, tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token of a batch: its count (lower edge), its bigram's count
     (lower edge), and the count of the token before (upper edge).  ``uni`` and
-    ``both``: levels of the batch's words and bigrams; ``right``: each bigram's
-    second word; ``at``: each token's bigram; ``end``: the end token's place."""
+    ``both``: levels of the batch's words and bigrams; ``tok``, ``at``: each
+    token's word and bigram."""
     low = np.where(uni > 0, STEPS[1][np.maximum(uni, 1) - 1], 0)
     high = np.where(uni > 0, STEPS[1][uni] - 1, 0)
-    tok = right[at]
-    before = np.concatenate([[end], tok[:-1]])  # an end stands before every text
+    before = np.concatenate([tok[-1:], tok[:-1]])  # a batch ends with an end, and one stands before every text
     context, low = high[before], low[tok]
     pair = np.where(both > 0, STEPS[2][np.maximum(both, 1) - 1], 0)[at]
     return low, np.minimum(pair, np.minimum(low, context)), context  # a bigram is in no more often than its words
@@ -282,9 +286,9 @@ def token_counts(table: DataFrame) -> DataFrame:
 
 #: parts of the table of questions beside the groups of slices (0, 1, ...)
 DOCS, BODIES = -2, -1
-_ASKED = ("grp int, batch bigint, ones binary, twos binary, places binary, rights binary, last int, rows array<bigint>, "
-          "learns array<boolean>, sizes array<bigint>, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, "
-          "heavy_known bigint, heavy_log double, keys array<bigint>, times array<bigint>")
+_ASKED = ("grp int, batch bigint, ones binary, twos binary, places binary, rows array<bigint>, learns array<boolean>, "
+          "sizes array<bigint>, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, heavy_known bigint, "
+          "heavy_log double, keys array<bigint>, times array<bigint>")
 
 
 def _cut(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -302,9 +306,8 @@ def asked(docs: DataFrame, heavy, bits: int, per_group: int) -> DataFrame:
     """What batches of documents ask, and what they keep until the answers come.
 
     Part ``DOCS``: each document's base sums over the heavy tokens, and its
-    other tokens with their counts.  ``BODIES``: each batch's tokens as places
-    in its sorted bigrams, and the bigrams' second words as places in its
-    sorted words.  Others: the batch's words and bigrams of one group of slices,
+    other tokens with their counts.  ``BODIES``: each batch's sorted words, and
+    its tokens as places in them.  Others: the batch's words and bigrams of one group of slices,
     in key order."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,19 +325,18 @@ def asked(docs: DataFrame, heavy, bits: int, per_group: int) -> DataFrame:
                 ends = np.cumsum(n)
                 held, rows = np.array(b.column(2).to_pylist(), bool), b.column(1).to_pylist()
                 words, place = np.unique(tok, return_inverse=True)
-                pairs, first, at = np.unique(bigram_keys(before, tok), return_index=True, return_inverse=True)
+                pairs = np.unique(bigram_keys(before, tok, bits))
                 one, two = ([0, *np.searchsorted(x, edges).tolist(), len(x)] for x in (words, pairs))
                 out = [(g, rows[0], pack(words[one[g]:one[g + 1]], ordered=True), pack(pairs[two[g]:two[g + 1]], ordered=True),
-                        *[None] * 14) for g in range(groups)]
-                out.append((BODIES, rows[0], None, None, pack(at), pack(place[first]), int(place[-1]),
-                            rows, ~held, n, *[None] * 8))
+                        *[None] * 12) for g in range(groups)]
+                out.append((BODIES, rows[0], pack(words, ordered=True), None, pack(place), rows, ~held, n, *[None] * 8))
                 spot = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
                 hit = (known[spot] == words)[place] if len(known) else np.zeros(len(tok), bool)
                 part = np.add.reduceat(np.where(hit, logs[spot][place], 0.0), ends - n) if len(known) else np.zeros(len(n))
                 count = np.add.reduceat(hit.astype(np.int64), ends - n)
                 for i, (d, e) in enumerate(zip(b.column(0).to_pylist(), ends.tolist())):
                     rest, often = np.unique(tok[e - n[i]:e][~hit[e - n[i]:e]], return_counts=True)
-                    out.append((DOCS, None, *[None] * 8, rows[i], d, bool(held[i]), int(n[i]), int(count[i]), float(part[i]),
+                    out.append((DOCS, None, *[None] * 6, rows[i], d, bool(held[i]), int(n[i]), int(count[i]), float(part[i]),
                                 rest.view(np.int64), often))
                 yield batch_of(out, schema)
 
@@ -393,7 +395,7 @@ def answered(questions: DataFrame, slices: DataFrame, bits: int, width: int, per
 _PROBED = "kind int, row bigint, uni_log double, cells array<int>, cell_times array<bigint>"
 
 
-def probed(questions: DataFrame, answers: DataFrame, n_tokens: int, kinds: int) -> DataFrame:
+def probed(questions: DataFrame, answers: DataFrame, bits: int, n_tokens: int, kinds: int) -> DataFrame:
     """Rows of kind 0: each document's log10 unigram probability and its tokens
     by cell.  Kind 1: each batch's training tokens by leave-one-out cell."""
 
@@ -402,8 +404,10 @@ def probed(questions: DataFrame, answers: DataFrame, n_tokens: int, kinds: int)
             return pd.DataFrame({c.split()[0]: [] for c in _PROBED.split(", ")})
         r, found = body.iloc[0], levels_of.sort_values("grp")
         uni, both = (np.concatenate([unpack(x) for x in found[c]]).astype(np.int64) for c in ("ones", "twos"))
-        right, at = unpack(r["rights"]).astype(np.int64), unpack(r["places"]).astype(np.int64)
-        low, pair, context = token_values(uni, both, right, at, int(r["last"]))
+        place = unpack(r["places"]).astype(np.int64)
+        tok = unpack(r["words"], ordered=True)[place]
+        at = np.unique(bigram_keys(np.concatenate([tok[-1:], tok[:-1]]), tok, bits), return_inverse=True)[1]
+        low, pair, context = token_values(uni, both, place, at)
         prob, cell = cells_of(low, pair, context, n_tokens, kinds)
         n = np.asarray(r["sizes"])
         ends, doc, size = np.cumsum(n), np.repeat(np.arange(len(n)), n), CLASSES * RATIOS
@@ -418,7 +422,7 @@ def probed(questions: DataFrame, answers: DataFrame, n_tokens: int, kinds: int)
                              "cells": [*np.split((pairs % size).astype(np.int32), cut), some.astype(np.int32)],
                              "cell_times": [*np.split(times, cut), table[some]]})
 
-    bodies = questions.filter(F.col("grp") == BODIES).select("batch", "places", "rights", "last", "rows", "learns", "sizes")
+    bodies = questions.filter(F.col("grp") == BODIES).select("batch", F.col("ones").alias("words"), "places", "rows", "learns", "sizes")
     return written(bodies.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, _PROBED), "probed")
 
 
@@ -463,7 +467,7 @@ def score_report(docs: DataFrame) -> DataFrame:
     heavy = spark.sparkContext.broadcast(heavy_tokens(table))
     questions = asked(docs, heavy, bits, per_group)
     answers = answered(questions, filter_slices(table, width), bits, width, per_group)
-    rows = probed(questions, answers, n_tokens, kinds)
+    rows = probed(questions, answers, bits, n_tokens, kinds)
     a = weights(evidence(rows))
     docs_part = questions.filter(F.col("grp") == DOCS)
     rest = (docs_part.select("row", F.explode(F.arrays_zip("keys", "times")).alias("t")).select("row", "t.keys", "t.times")
