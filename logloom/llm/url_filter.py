@@ -4,8 +4,10 @@ Hand-written rules decide first.  For the rest, every host gets a tree of path
 templates.  Level by level, the children of a node are one wildcard when there
 are many and none dominates (more than ``MANY`` kinds, the commonest at most
 ``TOP_SHARE``); other segments stay as they are, so ``/en/853`` and
-``/en/12.html`` share ``/en/*``.  Beyond ``LEVELS`` segments a path ends in
-``/**``.  Sibling templates, which differ in their last fixed segment only,
+``/en/12.html`` share ``/en/*``.  Where a rule decides some of a node's pages
+but not all, the children that hold such pages stay fixed and out of the
+count: a rule speaks for its own branch, not for the siblings of a wildcard.
+The tree goes as deep as the paths do.  Sibling templates, which differ in their last fixed segment only,
 merge when their share of bad labels does not differ from that of the other
 siblings (two-proportion z at most ``SIMILAR``), or when none of them has a
 label.  A template is rejected when its Laplace-smoothed purity
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import LOWER, UPPER, written
 
-LEVELS = 8
+#: levels that the SQL statement is written out for; the operator itself takes paths of any depth
+SQL_LEVELS = 16
 MANY = 8
 TOP_SHARE = 0.25
 SIMILAR = 1.96
@@ -63,23 +66,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """``paths`` (host, path, n, ...) with the template of each path."""
+    """``paths`` (host, path, n, ruled, ...) with the template of each path;
+    ``ruled``: how many of the path's n pages a rule decides."""
     segments = F.filter(F.split("path", "/", -1), lambda s: s != "")
     rows = written(paths.withColumn("segs", F.transform(segments, lambda s: F.replace(s, F.lit("*"), F.lit("%2A"))))
                    .withColumn("template", F.lit("")), "paths")
     deepest = rows.agg(F.coalesce(F.max(F.size("segs")), F.lit(0))).first()[0]
-    for d in range(min(deepest, LEVELS)):
+    for d in range(deepest):
         rows = rows.withColumn("seg", F.get("segs", F.lit(d)))
-        kids = rows.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("c"))
-        nodes = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("all"),
-                                                     F.max("c").alias("top"))
-        wild = written(nodes.filter((F.col("kinds") > MANY) & (F.col("top") <= TOP_SHARE * F.col("all")))
-                       .select("host", "template", F.lit(True).alias("wild")), "wild")
-        part = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("wild"), F.lit("/*")).otherwise(F.concat(F.lit("/"), "seg"))
-        rows = written(rows.join(wild, ["host", "template"], "left")
-                       .withColumn("template", F.concat("template", part)).drop("wild", "seg"), f"level-{d}")
-    tail = F.when(F.size("segs") > LEVELS, F.lit("/**")).otherwise(F.lit(""))
-    return rows.withColumn("template", F.concat("template", tail)).drop("segs")
+        kids = rows.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("c"), F.sum("ruled").alias("r"))
+        loose = F.when(F.col("r") == 0, F.col("c"))
+        nodes = kids.groupBy("host", "template").agg(
+            (F.sum("r") == F.sum("c")).alias("pure"),
+            *[F.struct(F.count(x).alias("kinds"), F.sum(x).alias("all"), F.max(x).alias("top")).alias(name)
+              for name, x in (("every", F.col("c")), ("open", loose))])
+        nodes = nodes.select("host", "template", "pure", F.when(F.col("pure"), F.col("every")).otherwise(F.col("open")).alias("k"))
+        wild = written(nodes.filter((F.col("k.kinds") > MANY) & (F.col("k.top") <= TOP_SHARE * F.col("k.all")))
+                       .select("host", "template", "pure", F.lit(True).alias("wild")), "wild")
+        fixed = written(kids.filter("r > 0").join(wild.filter(~F.col("pure")), ["host", "template"], "left_semi")
+                        .select("host", "template", "seg", F.lit(True).alias("fixed")), "fixed")
+        part = F.when(F.col("seg").isNull(), F.lit("")).when(
+            F.col("wild") & F.col("fixed").isNull(), F.lit("/*")).otherwise(F.concat(F.lit("/"), "seg"))
+        rows = written(rows.join(wild.drop("pure"), ["host", "template"], "left").join(fixed, ["host", "template", "seg"], "left")
+                       .withColumn("template", F.concat("template", part)).drop("wild", "fixed", "seg"), f"level-{d}")
+    return rows.drop("segs")
 
 
 def merged_templates(rows: DataFrame) -> DataFrame:
@@ -117,7 +127,7 @@ def url_report(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -
     if labels is not None:
         given = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("given"))
         seen = seen.join(given, "page_id", "left").withColumn("label", F.coalesce("label", "given"))
-    paths = seen.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"),
+    paths = seen.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("ruled").alias("ruled"), F.count("label").alias("labelled"),
                                              F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
     bad = rejected(templates(paths)).withColumn("bad", F.lit(True))
     return (urls.join(bad, ["host", "path"], "left")
@@ -126,7 +136,7 @@ def url_report(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -
 
 
 def sql(rules=RULES) -> str:
-    """The same result as DuckDB SQL."""
+    """The same result as DuckDB SQL, for paths of up to ``SQL_LEVELS`` segments."""
     cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}|{v}'"
                      for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1])))
     out = rf"""
@@ -136,21 +146,26 @@ u1 AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}',
               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u0),
 u AS (SELECT *, split_part(r, '|', 1) AS rule, split_part(r, '|', 2) AS ruled
       FROM (SELECT *, CASE {cases} END AS r FROM u1)),
-t0 AS (SELECT host, path, count(*) AS n, count(ruled) AS labelled,
+t0 AS (SELECT host, path, count(*) AS n, count(ruled) AS ruled, count(ruled) AS labelled,
               coalesce(sum((ruled = 'block')::INT), 0) AS bad,
               list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
                              lambda s: replace(s, '*', '%2A')) AS segs, '' AS template
        FROM u GROUP BY host, path)"""
-    for d in range(LEVELS):
+    for d in range(SQL_LEVELS):
         out += rf""",
-k{d} AS (SELECT host, template, segs[{d + 1}] AS seg, sum(n) AS c FROM t{d} WHERE len(segs) > {d} GROUP BY ALL),
-w{d} AS (SELECT host, template FROM k{d} GROUP BY ALL HAVING count(*) > {MANY} AND max(c) <= {TOP_SHARE} * sum(c)),
+k{d} AS (SELECT host, template, segs[{d + 1}] AS seg, sum(n) AS c, sum(ruled) AS r FROM t{d} WHERE len(segs) > {d} GROUP BY ALL),
+w{d} AS (SELECT host, template, sum(r) = sum(c) AS pure FROM k{d} GROUP BY host, template
+         HAVING CASE WHEN sum(r) = sum(c) THEN count(*) > {MANY} AND max(c) <= {TOP_SHARE} * sum(c)
+                ELSE count(*) FILTER (r = 0) > {MANY}
+                     AND max(c) FILTER (r = 0) <= {TOP_SHARE} * sum(c) FILTER (r = 0) END),
+f{d} AS (SELECT k.host, k.template, k.seg FROM k{d} k JOIN w{d} w ON k.host = w.host AND k.template = w.template
+         WHERE k.r > 0 AND NOT w.pure),
 t{d + 1} AS (SELECT t.* EXCLUDE (template), t.template || CASE WHEN len(segs) <= {d} THEN ''
-                    WHEN w.host IS NOT NULL THEN '/*' ELSE '/' || segs[{d + 1}] END AS template
-             FROM t{d} t LEFT JOIN w{d} w ON t.host = w.host AND t.template = w.template)"""
+                    WHEN w.host IS NOT NULL AND f.host IS NULL THEN '/*' ELSE '/' || segs[{d + 1}] END AS template
+             FROM t{d} t LEFT JOIN w{d} w ON t.host = w.host AND t.template = w.template
+             LEFT JOIN f{d} f ON t.host = f.host AND t.template = f.template AND t.segs[{d + 1}] = f.seg)"""
     return out + rf""",
-t AS (SELECT host, path, labelled, bad, template || CASE WHEN len(segs) > {LEVELS} THEN '/**' ELSE '' END AS template
-      FROM t{LEVELS}),
+t AS (SELECT host, path, labelled, bad, template FROM t{SQL_LEVELS}),
 s AS (SELECT host, template, sum(labelled) AS l, sum(bad) AS b,
              regexp_replace(template, '{_LAST_FIXED}', '\1/~\3') AS shape FROM t GROUP BY host, template),
 m AS (SELECT *, sum(l) OVER w AS pl, sum(b) OVER w AS pb FROM s WINDOW w AS (PARTITION BY host, shape)),
