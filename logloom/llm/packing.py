@@ -36,6 +36,8 @@ CAPACITY = 4096
 END_ID = 1
 #: items of a packing group, and words or pieces of words a worker remembers (under 200 MB)
 GROUP = 20_000
+#: most rounds of merging (the round has 7 bits of a bin's number)
+ROUNDS = 100
 MOST_KNOWN = 600_000
 #: a bin with less room than this is nearly full
 NEARLY = 8
@@ -256,18 +258,18 @@ def _round(items: DataFrame, number: int, n: int, capacity: int) -> DataFrame:
         group = int(pdf["__group"].iloc[0])
         pdf = pdf.sort_values(["length", *keys], ascending=False, kind="stable").drop(columns="__group")
         b, off, fill = best_fit(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(bin=(number << 58) + (group << 24) + b, off=off, fill=fill[b])
+        return pdf.assign(bin=(number << 56) + (group << 24) + b, off=off, fill=fill[b])
 
     return dealt.groupBy("__group").applyInPandas(pack, f"{fields}, bin bigint, off bigint, fill bigint")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
-    pieces = written(pieces, "pieces")
-    first = written(_round(pieces, 0, pieces.count(), capacity), "bins-0")
-    level, moves, number = first, [], 0
-    while True:
-        number += 1
+    # dealt by a row number: equal pieces (a third of all may be null texts) go to all groups
+    pieces = written(pieces.withColumn("__n", F.monotonically_increasing_id()), "pieces")
+    first = written(_round(pieces, 0, pieces.count(), capacity).drop("__n"), "bins-0")
+    level, moves = first, []
+    for number in range(1, ROUNDS + 1):
         open_bins = (level.filter(F.col("fill") < capacity - NEARLY).groupBy("bin")
                      .agg(F.max("fill").alias("length")).withColumnRenamed("bin", "child"))
         n = open_bins.count()
