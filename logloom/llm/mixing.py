@@ -40,9 +40,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, SPACE), "")), F.lit(0)).cast("bigint")
 
 
-def shuffle_key(epoch: Column, doc_id: Column) -> Column:
-    """60 bits of md5, the same on every run and in other engines."""
-    hexed = F.md5(F.concat(epoch.cast("string"), F.lit(":"), id_text(doc_id)).cast("binary"))
+def shuffle_key(epoch: Column, doc_id: Column, row: Column) -> Column:
+    """60 bits of md5, the same on every run and in other engines.  Rows without
+    an id go by their row number, so that they are spread over the slices too."""
+    name = F.when(doc_id.isNull(), F.concat(F.lit("row "), row.cast("string"))).otherwise(id_text(doc_id))
+    hexed = F.md5(F.concat(epoch.cast("string"), F.lit(":"), name).cast("binary"))
     return F.conv(F.substring(hexed, 1, 15), 16, 10).cast("bigint")
 
 
@@ -83,12 +85,13 @@ def fair_queue(rows: DataFrame, targets: DataFrame, budget: float) -> DataFrame:
                         rows.source.eqNullSafe(targets.source)).drop("source")
               .withColumn("epoch", F.explode(F.when(F.col("size") == 0, F.array(F.lit(0)))
                                              .otherwise(F.array(*[F.lit(k) for k in range(MAX_EPOCHS)]))))
-              .withColumn("key", shuffle_key(F.col("epoch"), F.col("doc_id"))))
+              .withColumn("key", shuffle_key(F.col("epoch"), F.col("doc_id"), F.col("__row"))))
     slices = F.ceil(F.col("n_rows") / SLICE)
     cell = F.col("epoch") * slices + F.floor(F.col("key") / F.lit(float(1 << 60)) * slices)
     summed = running_agg(queued, ["rank"], ["epoch", "key", "size", "doc_id"], "size", cell, out="cumulative")
-    timed = summed.withColumn(
-        "finish", F.when(F.col("target") > 0, F.col("cumulative") / F.col("target")).otherwise(F.lit(0.0)))
+    # a source without words costs nothing at any time: its rows are spread over times that surely fit
+    timed = summed.withColumn("finish", F.when(F.col("target") > 0, F.col("cumulative") / F.col("target"))
+                              .otherwise(F.col("key") / F.lit(float(1 << 61))))
     # times above 1 are squeezed into (1, 2): the slices stay in order and bounded in number
     n = rows.count()
     squeezed = F.when(F.col("finish") <= 1, F.col("finish")).otherwise(2 - 1 / F.col("finish"))
