@@ -1,8 +1,9 @@
 """Secret scans with a trigram inverted index (native DataFrame functions only).
 
-Each rule is a regular expression given as alternatives of pieces; from its
-literal pieces a Boolean trigram query is derived: an OR over the alternatives
-of the AND of the trigrams that any match must hold (:func:`trigram_query`).
+From each rule's regular expression a Boolean trigram query is derived: an OR
+over the strings it can be unrolled to (branches, optional parts, small
+classes) of the AND of the trigrams that such a match must hold
+(:func:`trigram_query`).
 The index has a posting for every (trigram of some query, document) that
 occurs; queries are answered by intersecting postings, and only the candidates
 are verified with the regular expression.  A rule without a mandatory trigram
@@ -23,7 +24,9 @@ an empty result; extra columns do not matter.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from re import _constants as parsed, _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +36,12 @@ from logloom.llm.common import UPPER, LOWER
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern``: Java regular expression.  ``alternatives``: what every
-    match holds, case aside: one of these lists of literals, all of it; empty
-    if nothing is mandatory.  ``shortest``: code points that ``measure`` (a
-    pattern of the part that counts, at the match's end) needs at least."""
+    """``pattern``: regular expression that Java and Python read alike.
+    ``shortest``: code points that ``measure`` (the part that counts: all, or
+    the assigned value) needs at least."""
 
     kind: str
     pattern: str
-    alternatives: tuple[tuple[str, ...], ...]
     measure: str
     shortest: int
     base: bool = False
@@ -53,18 +54,18 @@ class Rule:
 #: measured then, since a short match may hide a later one.
 BASE = (
     Rule("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
-         (("password",), ("passwd",), ("secret",), ("token",), ("api", "key")), r"value", 12, True),
-    Rule("access", r"AKIA[A-Z0-9]{14,}", (("akia",),), r"all", 18, True),
-    Rule("hex", r"[0-9a-f]{16,}", (), r"all", 16, True),
+         r"value", 12, True),
+    Rule("access", r"AKIA[A-Z0-9]{14,}", r"all", 18, True),
+    Rule("hex", r"[0-9a-f]{16,}", r"all", 16, True),
 )
 #: further kinds, with the shapes their issuers document
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", (("-----begin ", "private key-----"),), "all", 27),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",)), "all", 40),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",)), "all", 15),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", (("aiza",),), "all", 39),
-    Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}", (("k_live_",),), "all", 24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", (("eyj", ".eyj"),), "all", 28),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "all", 27),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", "all", 40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", "all", 15),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}", "all", 39),
+    Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}", "all", 24),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", "all", 28),
 )
 RULES = BASE + MORE
 
@@ -73,11 +74,61 @@ def trigrams(literal: str) -> list[str]:
     return [literal[i:i + 3] for i in range(len(literal) - 2)]
 
 
+#: what may stand here is left open
+_OPEN = "\0"
+#: most characters of a class, and most strings of a pattern, that are told apart
+_CLASS, _STRINGS = 8, 1000
+
+
+def _joined(left: list[str], right: list[str]) -> list[str]:
+    """Every string of ``left`` before every one of ``right``; an open end where those are too many."""
+    if len(left) * len(right) > _STRINGS:
+        right = [_OPEN]
+    return list(dict.fromkeys(re.sub(f"{_OPEN}+", _OPEN, x + y) for x in left for y in right))
+
+
+def _unrolled(nodes) -> list[str]:
+    """The strings that parsed nodes stand for, case aside, with ``_OPEN``
+    where anything may follow; every match has the pieces of one of them."""
+    out = [""]
+    for kind, arg in nodes:
+        if kind is parsed.LITERAL:
+            each = [chr(arg).lower()]
+        elif kind is parsed.IN:
+            found = set()
+            for what, x in arg:
+                span = [x] if what is parsed.LITERAL else range(x[0], x[1] + 1) if what is parsed.RANGE else range(_CLASS + 1)
+                found |= {chr(c).lower() for c in span} if len(span) <= _CLASS else {_OPEN}
+            each = [_OPEN] if len(found) > _CLASS or _OPEN in found else sorted(found)
+        elif kind is parsed.BRANCH:
+            each = list(dict.fromkeys(x for branch in arg[1] for x in _unrolled(branch)))
+        elif kind is parsed.SUBPATTERN:
+            each = _unrolled(arg[-1])
+        elif kind in (parsed.MAX_REPEAT, parsed.MIN_REPEAT, parsed.POSSESSIVE_REPEAT):
+            least, most, inner = arg
+            once, each = _unrolled(inner), [""]
+            for _ in range(min(least, 3)):
+                each = _joined(each, once)
+            if least == 0 and most == 1:
+                each = ["", *once]
+            elif most > min(least, 3):
+                each = _joined(each, [_OPEN])
+        elif kind in (parsed.AT, parsed.ASSERT, parsed.ASSERT_NOT):
+            each = [""]  # takes no characters
+        else:
+            each = [_OPEN]
+        out = _joined(out, each)
+    return out
+
+
 def trigram_query(rule: Rule) -> list[list[str]]:
-    """OR of ANDs: for each alternative the trigrams that it makes mandatory;
-    no list at all if some alternative has none (then all texts are scanned)."""
-    out = [sorted({t for lit in alt for t in trigrams(lit.lower())}) for alt in rule.alternatives]
-    return out if out and all(out) else []
+    """OR of ANDs of mandatory trigrams of the rule's pattern, without lists
+    that a shorter one implies; no list at all if some string of the pattern
+    has no trigram (then all texts are scanned)."""
+    every = {frozenset(t for piece in x.split(_OPEN) for t in trigrams(piece)) for x in _unrolled(_parser.parse(rule.pattern))}
+    if frozenset() in every:
+        return []
+    return sorted(sorted(x) for x in every if not any(y < x for y in every))
 
 
 def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
