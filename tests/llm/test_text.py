@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.llm import lm_bloom, mixing, packing, secret_scan, toxicity, url_filter
 from logloom.llm.common import read
@@ -199,6 +200,20 @@ def test_mix_odd_rows(odd_docs, no_docs):
     assert mixing.mix_report(no_docs).collect() == [] and mixing.mixed_documents(no_docs).collect() == []
 
 
+def test_mix_spreads_rows_without_id_and_sources_without_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 50)
+    rows = [(None, "a b c", "x")] * 600 + [(None, None, "empty")] * 400 + [(i, "d e", "y") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    seen = []
+    plain = mixing.running_agg
+    monkeypatch.setattr(mixing, "running_agg", lambda df, by, order, value, chunk, **kw: (
+        seen.append(df.groupBy(*by, chunk.alias("__chunk")).count().agg(F.max("count")).first()[0]) if kw["out"] != "rank" else None,
+        plain(df, by, order, value, chunk, **kw))[1])
+    got = mixing.mix_report(docs).collect()
+    assert max(seen) < 150 and len(got) == 1300
+    assert sum(r.taken for r in got) <= 1.5 * 2400 and all(r.target == 0 and r.taken == 0 for r in got if r.size == 0)
+
+
 def test_mix_targets_are_met(spark):
     rng = random.Random(2)
     big, small = ["a"] * 600 + ["b"] * 80 + [None] * 150, ["c"] * 5
@@ -254,6 +269,16 @@ def test_rounds_merge_underfull_bins(spark, monkeypatch):
     assert n <= 1.05 * least + 2
 
 
+def test_equal_pieces_are_dealt_to_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 500)
+    pieces = packing.token_pieces(spark.range(6000).selectExpr("cast(null as bigint) doc_id", "cast(null as string) text"))
+    numbered = pieces.withColumn("__n", F.monotonically_increasing_id())
+    sizes = [r["count"] for r in packing._round(numbered, 0, 6000, 4096).groupBy((F.col("bin") / 2**24).cast("bigint")).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 700
+    packed = packing.pack(pieces).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("k")).collect()
+    assert sum(r.n for r in packed) == 6000 and max(r.n for r in packed) <= 4096 and all(r.n == r.k for r in packed)
+
+
 def test_best_fit_is_best_fit():
     b, off, fill = packing.best_fit(np.array([60, 50, 40, 30, 10, 10]), 100)
     assert b.tolist() == [0, 1, 0, 1, 1, 1] and off.tolist() == [0, 0, 60, 50, 80, 90] and fill.tolist() == [100, 100]
@@ -358,6 +383,23 @@ def test_bad_templates_are_rejected_from_labels(spark):
     assert {got[i] for i in range(1, 120, 2)} == {"block"} and {got[i] for i in range(0, 120, 2)} == {"allow"}
 
 
+def test_a_rule_speaks_for_its_branch_only(spark):
+    """Pages beside a blocked branch stay, in a host of many equal branches."""
+    langs = ["de", "en", "fr", "es", "it", "pt", "nl", "pl", "cs", "sv"]
+    rows = [(i, f"http://example.com/{s}/{i % 12}") for i, s in enumerate(s for s in langs for _ in range(12))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in url_filter.url_report(pages).collect()}
+    assert all(got[i] == ("block" if "/de/" in u else "allow") for i, u in rows)
+
+
+def test_branches_that_differ_deep_down(spark):
+    rows = [(i, f"http://s.com/a/b/c/d/e/f/g/h/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(40)], "page_id bigint, bad boolean")
+    got = {r.page_id: r.verdict for r in url_filter.url_report(pages, labels=labels).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i, _ in rows)
+
+
 # --- secrets ------------------------------------------------------------------
 
 PATTERNS = [
@@ -396,7 +438,8 @@ def test_secrets_match_brute_force(spark, odd_docs, no_docs):
 def test_trigram_queries_and_postings(spark):
     assert secret_scan.trigram_query(secret_scan.BASE[1]) == [["aki", "kia"]]
     assert secret_scan.trigram_query(secret_scan.BASE[2]) == []  # no mandatory trigram: full scan
-    assert ["api", "key"] in secret_scan.trigram_query(secret_scan.BASE[0])
+    assert ["_ke", "api", "i_k", "key", "pi_"] in secret_scan.trigram_query(secret_scan.BASE[0])
+    assert ["ass", "pas", "ssw", "swd"] == [x for x in secret_scan.trigram_query(secret_scan.BASE[0]) if "swd" in x][0]
     df = spark.createDataFrame([(1, "my PassWord"), (2, "akia"), (3, None)], "doc_id bigint, text string")
     got = {}
     for r in secret_scan.posting_lists(df).collect():
@@ -404,6 +447,41 @@ def test_trigram_queries_and_postings(spark):
     assert {"pas", "ass", "ssw", "swo", "wor", "ord"} <= got[1] and got[2] == {"aki", "kia"} and 3 not in got
 
 
+def test_every_match_satisfies_the_query_of_its_pattern():
+    """Strings made from the pattern itself hold all trigrams of some list."""
+    from re import _constants as c, _parser
+
+    rng = random.Random(8)
+
+    def made(nodes):
+        out = ""
+        for kind, arg in nodes:
+            if kind is c.LITERAL:
+                out += chr(arg)
+            elif kind is c.IN:
+                what, x = rng.choice(arg)
+                out += chr(x if what is c.LITERAL else rng.randint(*x))
+            elif kind is c.BRANCH:
+                out += made(rng.choice(arg[1]))
+            elif kind is c.SUBPATTERN:
+                out += made(arg[-1])
+            else:
+                assert kind is c.MAX_REPEAT
+                out += "".join(made(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        return out
+
+    more = [secret_scan.Rule("x", p, "all", 1) for p in (
+        "ab(?:cd|ef)?gh", "(?:foo|ba)r{2,}x", "[ab]{2}cd[0-9]+efg", "a{5}b", "(?:abc|x)+yz", "q(?:[a-z]+ )*END", "ab[a-z]cd")]
+    for rule in (*secret_scan.RULES, *more):
+        query = secret_scan.trigram_query(rule)
+        for _ in range(300):
+            text = made(_parser.parse(rule.pattern))
+            assert re.search(rule.pattern, text)
+            assert not query or any(all(t in text.lower() for t in alt) for alt in query), (rule, text)
+    assert secret_scan.trigram_query(more[0]) == [["abc", "bcd", "cdg", "dgh"], ["abe", "bef", "efg", "fgh"], ["abg", "bgh"]]
+    assert secret_scan.trigram_query(more[-1]) == []
+
+
 def test_secrets_run_without_python(spark, odd_docs):
     for df in (secret_scan.secrets_report(odd_docs), mixing.mix_report(odd_docs),
                url_filter.url_report(spark.createDataFrame([(1, "http://a.b/c")], "page_id bigint, url string"))):
