@@ -31,15 +31,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared scratch folder and read it back;
-    ``by``: a column to partition the files by.
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete part of a scratch table that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared scratch folder and read it back.
 
     Cuts the lineage with replicated storage, so lost executors never force
     the whole history to run again and several branches may read the result.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

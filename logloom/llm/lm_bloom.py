@@ -57,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import GOLD, batch_of, batch_words, held_out, mixed, schema_of, text_bytes, written
+from logloom.llm.common import GOLD, batch_of, batch_words, held_out, mixed, removed, schema_of, text_bytes, written
 from logloom.llm.sketch import SlicedBloom, bucket_bits, by_bucket, collected, pack, summed, unpack
 from logloom.session import scratch_path
 
@@ -302,13 +302,14 @@ def _cut(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out + ([(start, len(sizes))] if start < len(sizes) else [])
 
 
-def asked(docs: DataFrame, heavy, bits: int, per_group: int) -> DataFrame:
+def asked(docs: DataFrame, heavy, bits: int, per_group: int, path: str) -> DataFrame:
     """What batches of documents ask, and what they keep until the answers come.
 
     Part ``DOCS``: each document's base sums over the heavy tokens, and its
     other tokens with their counts.  ``BODIES``: each batch's sorted words, and
     its tokens as places in them.  Others: the batch's words and bigrams of one group of slices,
-    in key order."""
+    in key order.  Written to ``path`` by part, so that a part can be removed
+    when it has served."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = schema_of(_ASKED)
@@ -342,15 +343,18 @@ def asked(docs: DataFrame, heavy, bits: int, per_group: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"),
                        held_out(F.col("doc_id"), FOLDS).alias("held_out"), "text")
-    return written(rows.mapInArrow(run, _ASKED), "asked", by="grp")
+    made = rows.mapInArrow(run, _ASKED)
+    made.write.option("compression", "zstd").partitionBy("grp").parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
 _ANSWERS = "batch bigint, grp int, ones binary, twos binary"
 
 
-def answered(questions: DataFrame, slices: DataFrame, bits: int, width: int, per_group: int) -> DataFrame:
+def answered(questions: DataFrame, path: str, slices: DataFrame, bits: int, width: int, per_group: int) -> DataFrame:
     """(batch, grp, ones, twos): levels of the asked words and bigrams, by one
-    pass for each group of slices, whose filter is broadcast."""
+    pass for each group of slices, whose filter is broadcast.  A group's
+    questions, in ``path``, are removed when its answers are written."""
     spark, base, paths = questions.sparkSession, scratch_path(questions.sparkSession, "answers"), []
 
     def prober(bloom, low: int):
@@ -389,6 +393,7 @@ def answered(questions: DataFrame, slices: DataFrame, bits: int, width: int, per
         (questions.filter(F.col("grp") == group).select("batch", "grp", "ones", "twos")
          .mapInArrow(prober(bloom, low), _ANSWERS).write.option("compression", "zstd").parquet(paths[-1]))
         bloom.destroy()
+        removed(spark, f"{path}/grp={group}")
     return spark.read.schema(_ANSWERS).parquet(*paths)
 
 
@@ -465,9 +470,11 @@ def score_report(docs: DataFrame) -> DataFrame:
     width = filter_width(histogram(table), bits)
     per_group = min(1 << bits, max(1, PASS_BYTES * 8 // width))
     heavy = spark.sparkContext.broadcast(heavy_tokens(table))
-    questions = asked(docs, heavy, bits, per_group)
-    answers = answered(questions, filter_slices(table, width), bits, width, per_group)
+    path = scratch_path(spark, "asked")
+    questions = asked(docs, heavy, bits, per_group, path)
+    answers = answered(questions, path, filter_slices(table, width), bits, width, per_group)
     rows = probed(questions, answers, bits, n_tokens, kinds)
+    removed(spark, f"{path}/grp={BODIES}")
     a = weights(evidence(rows))
     docs_part = questions.filter(F.col("grp") == DOCS)
     rest = (docs_part.select("row", F.explode(F.arrays_zip("keys", "times")).alias("t")).select("row", "t.keys", "t.times")
