@@ -32,6 +32,7 @@ from ..operators.requests import check_requests
 from ..plans import batch as B
 from ..plans import export as X
 from ..plans import query as Q
+from ..plans import resume as XR
 from ..plans import tables
 from ..plans.stats import chain_stats
 from ..plans.stats import log_stats_report
@@ -47,6 +48,7 @@ from ..streaming import finality as FN
 from ..streaming import holdback as HB
 from ..streaming import ingest as IN
 from ..streaming import ledger as LG
+from ..streaming import metrics as SM
 from ..streaming import planner as PL
 from ..streaming.state import finished
 from .fixture_sql import with_views
@@ -766,6 +768,18 @@ def q_export_chunks(spark, sf_dir):
     return api_compare(X.read_export(spark, path))
 
 
+def _manifest_totals(m):
+    (fb, fi), (lb, li) = decode_cursor("first_cursor"), decode_cursor("last_cursor")
+    m = m.select("chunk", "rows", F.struct(fb.alias("b"), fi.alias("i")).alias("first"),
+                 F.struct(lb.alias("b"), li.alias("i")).alias("last"))
+    nxt = m.select((F.col("chunk") - 1).alias("chunk"), F.col("first").alias("next_first"))
+    t = m.join(nxt, "chunk", "left").agg(
+        F.sum("rows").alias("rows"), F.min("first").alias("f"), F.max("last").alias("l"),
+        F.count(F.when(F.col("next_first") < F.col("last"), 1)).alias("out_of_order"))
+    return t.select(F.col("rows").cast("bigint").alias("rows"), encode_cursor(F.col("f.b"), F.col("f.i")).alias("first_cursor"),
+                    encode_cursor(F.col("l.b"), F.col("l.i")).alias("last_cursor"), "out_of_order")
+
+
 @register("export_manifest", with_views(f"""
 SELECT CAST(count(*) AS BIGINT) AS rows,
   CAST(arg_min(block_number, pos) AS VARCHAR) || ':' || CAST(arg_min(log_index, pos) AS VARCHAR) AS first_cursor,
@@ -778,16 +792,34 @@ def q_export_manifest(spark, sf_dir):
     """The manifest's totals: rows of all chunks, first and last position, and
     chunks that begin before the one ahead of them ends (none)."""
     path = scratch_path(spark, "export")
-    m = X.export_logs(tables.logs(spark, sf_dir), path, PAGE_CHAIN, PAGE_TOPIC)
-    (fb, fi), (lb, li) = decode_cursor("first_cursor"), decode_cursor("last_cursor")
-    m = m.select("chunk", "rows", F.struct(fb.alias("b"), fi.alias("i")).alias("first"),
-                 F.struct(lb.alias("b"), li.alias("i")).alias("last"))
-    nxt = m.select((F.col("chunk") - 1).alias("chunk"), F.col("first").alias("next_first"))
-    t = m.join(nxt, "chunk", "left").agg(
-        F.sum("rows").alias("rows"), F.min("first").alias("f"), F.max("last").alias("l"),
-        F.count(F.when(F.col("next_first") < F.col("last"), 1)).alias("out_of_order"))
-    return t.select(F.col("rows").cast("bigint").alias("rows"), encode_cursor(F.col("f.b"), F.col("f.i")).alias("first_cursor"),
-                    encode_cursor(F.col("l.b"), F.col("l.i")).alias("last_cursor"), "out_of_order")
+    return _manifest_totals(X.export_logs(tables.logs(spark, sf_dir), path, PAGE_CHAIN, PAGE_TOPIC))
+
+
+#: an eighth of the rows is a chunk, so the export takes several commits at every size
+RESUME_CHUNKS, RESUME_STEP = 8, 3
+
+
+def _export_in_two_runs(spark, sf_dir) -> str:
+    """An export of the served table that stops after its first commit and goes
+    on when the table has gained rows, which it must not see."""
+    path = scratch_path(spark, "export-resumed")
+    logs = TB.read_logs(spark, TB.compact_logs(tables.landed_logs(spark, sf_dir), scratch_path(spark, "served"), BATCH_BUCKET))
+    size = Q.select_logs(logs, PAGE_CHAIN, PAGE_TOPIC).count() // RESUME_CHUNKS + 1
+    XR.export_resumable(logs, path, PAGE_CHAIN, PAGE_TOPIC, chunk_rows=size, chunks_per_commit=RESUME_STEP, max_commits=1)
+    later = logs.unionByName(logs.withColumn("block_number", F.col("block_number") + 1))
+    XR.export_resumable(later, path, PAGE_CHAIN, PAGE_TOPIC)
+    return path
+
+
+@register("export_resumed", REGISTRY["export_chunks"][1])
+def q_export_resumed(spark, sf_dir):
+    return api_compare(XR.read_committed_export(spark, _export_in_two_runs(spark, sf_dir)))
+
+
+@register("export_commits", REGISTRY["export_manifest"][1])
+def q_export_commits(spark, sf_dir):
+    """Totals of a resumed export's manifest, and chunks out of order (none)."""
+    return _manifest_totals(XR.committed_manifest(spark, _export_in_two_runs(spark, sf_dir)))
 
 
 def _run_stream(spark, source, landing, fmt="json"):
@@ -872,13 +904,14 @@ FROM raw_logs r LEFT JOIN raw_blocks b ON b.chain_id = r.chain_id AND b.number =
 """, "raw_logs", "raw_blocks"))
 def q_stream_metrics(spark, sf_dir):
     """Totals of the metrics table of a rate-limited ingest (T6, T9): one row
-    for each micro-batch, written with the batch."""
+    for each micro-batch, recorded by a listener and settled against what landed."""
     src = IN.write_raw_files(FX.raw_events(spark, sf_dir), scratch_path(spark, "raw-metrics"))
-    metrics = scratch_path(spark, "metrics")
-    q = IN.ingest_stream(spark, src, scratch_path(spark, "metrics-landing"), scratch_path(spark, "ckpt"),
-                         max_files_per_trigger=2, metrics=metrics)
-    q.awaitTermination()
-    return IN.read_metrics(spark, metrics).agg(F.sum("rows").alias("rows"), F.sum("good_rows").alias("good_rows"),
+    metrics, landing, bad = (scratch_path(spark, n) for n in ("metrics", "metrics-landing", "metrics-quarantine"))
+    recorder = SM.record_metrics(spark, metrics)
+    q = IN.ingest_stream(spark, src, landing, scratch_path(spark, "ckpt"), quarantine=bad, max_files_per_trigger=2)
+    recorder.close(q)
+    SM.settle_metrics(spark, metrics, landing, bad)
+    return SM.read_metrics(spark, metrics).agg(F.sum("rows").alias("rows"), F.sum("good_rows").alias("good_rows"),
                                                F.max("max_block").alias("max_block"))
 
 

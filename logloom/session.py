@@ -81,6 +81,22 @@ def drop_scratch(spark: SparkSession) -> int:
     return gone
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, there = _hadoop_path(spark, path)
+    return fs.exists(there)
+
+
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that the library has written itself."""
+    fs, there = _hadoop_path(spark, path)
+    return bool(fs.delete(there, True))
+
+
 def materialize(df, eager: bool = True):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
