@@ -38,3 +38,18 @@ def test_text_is_not_shuffled_for_the_header_join(spark, name):
     assert not re.search(r"Exchange hashpartitioning\(chain_id#\d+L, block_number#", plan)
     if name not in ("quarantine", "quarantine_reasons"):  # these need no log index, so no window
         assert not re.search(r"Sort \[chain_id#\d+L ASC NULLS FIRST, block_number#\d+L ASC NULLS FIRST\]", plan)
+
+
+def test_bloom_filter_is_sized_by_its_addresses(spark):
+    """Many small buckets cost what their rows cost, and keep their filter."""
+    import pyarrow.parquet as pq
+
+    landed = tables.landed_logs(spark, SF_SMALL)
+    path = TB.compact_logs(landed, scratch_path(spark, "t-bloom"), 100)
+    files = _files(path, "*.parquet")
+    assert len(files) > 40
+    for f in files:
+        assert f.stat().st_size < 20_000 + 1_000 * pq.ParquetFile(f).metadata.num_rows
+    address = landed.first().address
+    assert TB.read_logs(spark, path).where(F.col("address") == F.lit(bytes(address))).count() == \
+        tables.logs(spark, SF_SMALL).where(F.col("address") == F.lit(bytes(address))).count() > 0
