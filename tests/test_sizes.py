@@ -53,3 +53,16 @@ def test_bloom_filter_is_sized_by_its_addresses(spark):
     address = landed.first().address
     assert TB.read_logs(spark, path).where(F.col("address") == F.lit(bytes(address))).count() == \
         tables.logs(spark, SF_SMALL).where(F.col("address") == F.lit(bytes(address))).count() > 0
+
+
+def test_raw_json_is_compressed_and_whole(spark):
+    events = FX.raw_events(spark, SF_SMALL)
+    path = IN.write_raw_files(events, scratch_path(spark, "t-gz"))
+    files = _files(path, "part-*")
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert sum(len(gzip.open(f).read().splitlines()) for f in files) == events.count()
+    text = sum(len(gzip.open(f).read()) for f in files)
+    assert sum(f.stat().st_size for f in files) < text / 2
+    back = IN.read_raw_logs(spark, path)
+    same = lambda df: df.select(F.to_json(F.struct(*sorted(df.columns))).alias("j"))
+    assert same(back).exceptAll(same(events)).count() == 0 and same(events).exceptAll(same(back)).count() == 0
