@@ -66,3 +66,13 @@ def test_raw_json_is_compressed_and_whole(spark):
     back = IN.read_raw_logs(spark, path)
     same = lambda df: df.select(F.to_json(F.struct(*sorted(df.columns))).alias("j"))
     assert same(back).exceptAll(same(events)).count() == 0 and same(events).exceptAll(same(back)).count() == 0
+
+
+def test_a_backlog_is_not_one_batch(spark, monkeypatch):
+    src = IN.write_raw_files(FX.raw_events(spark, SF_SMALL), scratch_path(spark, "t-backlog"), 4)
+    monkeypatch.setattr(IN, "FLUSH_BYTES", 1)
+    landing = scratch_path(spark, "t-backlog-landing")
+    IN.ingest_stream(spark, src, landing, scratch_path(spark, "t-backlog-ckpt")).awaitTermination()
+    landed = TB.read_landed(spark, landing)
+    assert landed.select("batch_id").distinct().count() == 4
+    assert landed.count() == tables.landed_logs(spark, SF_SMALL).count()
