@@ -66,6 +66,28 @@ def test_bloom_filter_is_sized_by_its_addresses(spark):
         tables.logs(spark, SF_SMALL).where(F.col("address") == F.lit(bytes(address))).count() > 0
 
 
+@pytest.mark.parametrize("bucket, cell, exchanges", [(1_000, None, 1), (7_500, None, 1), (7_500, 500, 2)])
+def test_compaction_shuffles_its_rows_once_where_a_bucket_is_a_cell(spark, bucket, cell, exchanges):
+    landed = spark.read.schema(TB.LANDED_WITH_SOURCE).parquet(
+        TB.append_logs(tables.landed_logs(spark, SF_SMALL), scratch_path(spark, "t-once"), 1))
+    cells = cell or TB.default_cell(bucket)
+    rows = TB.layout(TB.served_rows(landed, bucket, cell), None, bucket == cells)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == exchanges
+    path = TB.compact_logs(landed, scratch_path(spark, "t-once-served"), bucket, cell_blocks=cell)
+    stored = TB.read_logs(spark, path)
+    if cells == bucket:  # a file for each bucket
+        assert len(_files(path, "*.parquet")) == stored.select("chain_id", "block_bucket").distinct().count()
+    # ranks without gaps in every cell of a stream, whatever the exchange
+    cell_of = F.expr("block_number div cell_blocks")
+    for rank, stream in (("topic_rank", ["chain_id", "topic0"]), ("address_rank", ["chain_id", "topic0", "address"])):
+        found = stored.groupBy(*stream, cell_of).agg(F.count(F.lit(1)).alias("n"), F.max(rank).alias("m"), F.countDistinct(rank).alias("d"))
+        assert found.where("n <> m or n <> d").count() == 0
+    kept = [c for c in TB.LOGS_LANDED.fieldNames() if c != "ingest_seq"]
+    assert stored.count() == tables.logs(spark, SF_SMALL).count()
+    assert stored.select(*kept).exceptAll(tables.logs(spark, SF_SMALL).select(*kept)).count() == 0
+
+
 def test_raw_json_is_compressed_and_whole(spark):
     events = FX.raw_events(spark, SF_SMALL)
     path = IN.write_raw_files(events, scratch_path(spark, "t-gz"))
