@@ -137,6 +137,28 @@ def test_committed_batch_is_not_fetched_again(spark):
 
 # --- source by height -------------------------------------------------------------
 
+def test_rows_meet_the_few_ranges_of_their_cell(spark):
+    """Cells are as wide as ranges are on the mean, so pairs grow with rows, not with rows times ranges."""
+    spans, at = [], 0
+    for k in range(600):
+        spans.append((1, k, at, at + (k % 3 == 0)))
+        at += 1 + (k % 3 == 0)
+    wide = [(10, 0, 0, 4_999)]
+    schema = "chain_id bigint, seq bigint, from_block bigint, to_block bigint"
+    narrow, all_ranges = spark.createDataFrame(spans, schema), spark.createDataFrame(spans + wide, schema)
+    assert LG.cell_width(narrow) == 2
+    assert LG.cell_width(spark.createDataFrame(wide, schema)) == LG.CELL_BLOCKS
+    assert LG.cell_width(narrow.where("false")) == 1
+    rows = spark.range(6_000).selectExpr("if(id % 2 = 0, 1, 10) as chain_id", "id div 2 as block_number")
+    rows = rows.unionByName(rows.where("block_number < 5")).unionByName(rows.limit(1).selectExpr("chain_id", "cast(null as bigint) as block_number"))
+    for ranges in (narrow, all_ranges, narrow.where("false")):
+        got = LG.in_ranges(rows, ranges, F.col("block_number")).select("chain_id", "block_number", "_seq")
+        r = ranges.withColumnRenamed("chain_id", "c")
+        want = rows.join(r, (r.c == rows.chain_id) & rows.block_number.between(r.from_block, r.to_block)) \
+            .select("chain_id", "block_number", F.col("seq").alias("_seq"))
+        assert same(got, want) and got.count() == want.count()
+
+
 def test_heights_advance_within_the_row_bound():
     segs = [(1, 0, 9, 100, "a"), (1, 9, 20, 100, "b"), (1, 20, 20, 50, "c"), (1, 20, 30, 100, "d"), (10, 5, 6, 10, "e")]
     steps, at = [], {}
