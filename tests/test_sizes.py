@@ -8,9 +8,13 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from logloom import session
+from logloom.checks import registry as R
 from logloom.checks.registry import REGISTRY
 from logloom.plans import tables
 from logloom.session import scratch_path
+from logloom.plans import batch as B
+from logloom.sources import archive as AR
 from logloom.sources import fixtures as FX
 from logloom.sources import table as TB
 from logloom.streaming import ingest as IN
@@ -109,3 +113,44 @@ def test_a_backlog_is_not_one_batch(spark, monkeypatch):
     landed = TB.read_landed(spark, landing)
     assert landed.select("batch_id").distinct().count() == 4
     assert landed.count() == tables.landed_logs(spark, SF_SMALL).count()
+
+
+def _exchanges(df):
+    return [int(n) for n in re.findall(r"Exchange (?:hash|range)partitioning\(.*?, (\d+)\), REPARTITION_BY_NUM",
+                                       df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_exchanges_of_wide_rows_grow_with_the_rows(spark, monkeypatch):
+    """Compaction, keep-last of landed rows and ranks have partitions by their rows, so no task sorts more on a larger table."""
+    monkeypatch.setattr(session, "TASK_ROWS", 300)
+    landed = spark.read.schema(TB.LANDED_WITH_SOURCE).parquet(
+        TB.append_logs(tables.landed_logs(spark, SF_SMALL), scratch_path(spark, "t-grow"), 1))
+    n, least = landed.count(), 16
+    for width, cell in ((1_000, 1_000), (7_500, 500)):
+        out = TB.served_rows(landed, width, cell, rows=n)
+        assert _exchanges(out) == [session.partitions_for(spark, n)] and session.partitions_for(spark, n) > least
+        assert out.count() == tables.logs(spark, SF_SMALL).count()
+    kept = TB.dedup_landed(landed)
+    assert _exchanges(kept) == [session.partitions_for(spark, n)]
+    assert kept.count() == tables.logs(spark, SF_SMALL).count()
+    ranked = B.rank_streams(landed, ["data"], 1_000, rows=n)
+    assert _exchanges(ranked) == [session.partitions_for(spark, n)]
+    assert ranked.exceptAll(B.rank_streams(landed, ["data"], 1_000)).count() == 0
+
+
+def test_archive_segments_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 300)
+    events = FX.raw_events(spark, SF_SMALL)
+    n = events.count()
+    root = AR.append_archive(events, scratch_path(spark, "t-grow-archive"), rows=n)
+    found = AR.segments(spark, root)
+    assert found.count() > 16 and found.agg(F.max("rows")).first()[0] < 3 * 300
+    assert found.agg(F.sum("rows")).first()[0] == n
+
+
+def test_registered_queries_tell_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 300)
+    seen = []
+    monkeypatch.setattr(TB, "served_rows", lambda *a, _f=TB.served_rows, **kw: seen.append(_exchanges(_f(*a, **kw))) or _f(*a, **kw))
+    R.q_served_get_log(spark, SF_SMALL)
+    assert max(seen[0]) >= FX.log_rows(spark, SF_SMALL) / 300 > 16
