@@ -154,3 +154,8 @@ def test_registered_queries_tell_their_rows(spark, monkeypatch):
     monkeypatch.setattr(TB, "served_rows", lambda *a, _f=TB.served_rows, **kw: seen.append(_exchanges(_f(*a, **kw))) or _f(*a, **kw))
     R.q_served_get_log(spark, SF_SMALL)
     assert max(seen[0]) >= FX.log_rows(spark, SF_SMALL) / 300 > 16
+
+
+def test_deduped_stream_is_written_with_zstd(spark):
+    files = R.q_stream_dedup(spark, SF_SMALL).inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
