@@ -8,7 +8,8 @@ cell of one chain, and a busy chain is spread over its cells.
 A cell's state is the highest block released in it and a list of the logs
 above that.  A log at or below it passes at once, also when it comes late; a
 release gives out the logs it covers and the rest of the list is kept.  So the
-list state holds unfinal logs only.  Ranges of a chain come in rising order
+list state holds unfinal logs only; of a log it has the position and one text
+with the rest, as every value of a row costs time on its way through Python.  Ranges of a chain come in rising order
 without gaps (as the planner makes them), which makes one number enough.
 """
 
@@ -26,12 +27,12 @@ from ..schema import LOGS_LANDED
 from .state import keyed_state
 
 CELL_BLOCKS = 1_000
-_COLUMNS = [f.name for f in LOGS_LANDED.fields]
-_BLOCK = _COLUMNS.index("block_number")
-#: kept as they come; state and results never miss a value, so all may be null
-WAITING = T.StructType([T.StructField(f.name, f.dataType, True) for f in LOGS_LANDED.fields])
-#: values of a release's log columns: numbers must not turn into floats in pandas
-_FILL = {T.LongType: 0, T.ShortType: 0, T.BinaryType: b""}
+#: what state and its Python rows need of a log; the rest of it is one text
+HELD = T.StructType([T.StructField("chain_id", T.LongType(), True), T.StructField("block_number", T.LongType(), True),
+                     T.StructField("log", T.StringType(), True)])
+#: packed and unpacked by Spark, so a row through Python has three values, not sixteen
+PACKED = T.StructType([T.StructField(f.name, f.dataType, True) for f in LOGS_LANDED.fields
+                       if f.name not in ("chain_id", "block_number")])
 
 
 class HoldBack(StatefulProcessor):
@@ -39,32 +40,36 @@ class HoldBack(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ceiling = handle.getValueState("ceiling", "block bigint")
-        self.pending = handle.getListState("pending", WAITING)
+        self.pending = handle.getListState("pending", HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.ceiling.get()
         before = ceiling = known[0] if known else -1
         logs = []
         for some in rows:
-            released = some["release"].max()
-            ceiling = max(ceiling, int(released))
-            some = some[some["release"] < 0]
-            logs.extend(some[_COLUMNS].itertuples(index=False, name=None))
-        final = [r for r in logs if r[_BLOCK] <= ceiling]
-        waiting = [r for r in logs if r[_BLOCK] > ceiling]
+            ceiling = max(ceiling, int(some["release"].max()))
+            logs.append(some.loc[some["release"] < 0, HELD.names])
+        logs = pd.concat(logs)
+        passes = logs["block_number"] <= ceiling
+        waiting = [*logs[~passes].itertuples(index=False, name=None)]
+        if passes.any():
+            yield logs[passes]
         if ceiling > before:
             self.ceiling.update((ceiling,))
             held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-            final += [r for r in held if r[_BLOCK] <= ceiling]
-            waiting += [r for r in held if r[_BLOCK] > ceiling]
-            if waiting:
+            final = [r for r in held if r[1] <= ceiling]
+            waiting += [r for r in held if r[1] > ceiling]
+            if not final:  # the list stays as it is, with the new logs after it
+                waiting = waiting[:len(waiting) - len(held)]
+            elif waiting:
                 self.pending.put(waiting)
-            elif held:
+                waiting = []
+            else:
                 self.pending.clear()
-        elif waiting:
+            if final:
+                yield pd.DataFrame(final, columns=HELD.names)
+        if waiting:
             self.pending.appendList(waiting)
-        if final:
-            yield pd.DataFrame(final, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -76,14 +81,18 @@ def hold_back(logs: DataFrame, releases: DataFrame, cell_blocks: int = CELL_BLOC
     ``logs``: a stream of landed rows; ``releases``: a stream of ``chain_id,
     from_block, to_block``."""
     cell = F.floor(F.col("block_number") / cell_blocks).cast("bigint")
-    waiting = logs.select(*_COLUMNS, F.lit(-1).cast("bigint").alias("release"), cell.alias("cell"))
+    waiting = logs.select("chain_id", "block_number", F.to_json(F.struct(*PACKED.names)).alias("log"),
+                          F.lit(-1).cast("bigint").alias("release"), cell.alias("cell"))
     first, last = (F.floor(F.col(c) / cell_blocks).cast("bigint") for c in ("from_block", "to_block"))
     cut = releases.where("from_block <= to_block and to_block >= 0").select(
         "chain_id", "to_block", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("bigint")), last)).alias("cell"))
-    news = cut.select(*[F.col("chain_id") if f.name == "chain_id" else F.lit(_FILL[type(f.dataType)]).cast(f.dataType).alias(f.name) for f in LOGS_LANDED.fields],
+    # a release has no log; its numbers must not turn into floats in pandas
+    news = cut.select("chain_id", F.lit(0).cast("bigint").alias("block_number"), F.lit("").alias("log"),
                       F.least(F.col("to_block"), (F.col("cell") + 1) * cell_blocks - 1).alias("release"), "cell")
-    return waiting.unionByName(news).groupBy("chain_id", "cell").transformWithStateInPandas(
-        statefulProcessor=HoldBack(), outputStructType=WAITING, outputMode="Append", timeMode="None")
+    held = waiting.unionByName(news).groupBy("chain_id", "cell").transformWithStateInPandas(
+        statefulProcessor=HoldBack(), outputStructType=HELD, outputMode="Append", timeMode="None")
+    row = held.select("chain_id", "block_number", F.from_json("log", PACKED).alias("log"))
+    return row.select(*[F.col(f.name if f.name in HELD.names else f"log.{f.name}").alias(f.name) for f in LOGS_LANDED.fields])
 
 
 def serve_final(logs: DataFrame, releases: DataFrame, out: str, checkpoint: str, cell_blocks: int = CELL_BLOCKS,

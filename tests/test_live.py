@@ -249,3 +249,23 @@ def test_state_holds_unfinal_logs_only(spark):
         held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "pending").load()
         assert held.count() == arrived.count() - want.count()
         assert held.where("list_element.chain_id = 1").where(f"list_element.block_number <= {ceilings[1]}").count() == 0
+
+
+def test_held_logs_are_three_values_and_come_out_whole(spark):
+    """State keeps a log as its position and one text; nulls, empty data and high bytes come out as they went in."""
+    rows = [(c, b, bytes([b % 256]) * 32, b + 7, b"\xff\x00" * 16, 3, i, b"\x80" * 20, d, b"\x01" * 32, t, None, t, 1, 2)
+            for c, b, i, d, t in [(1, 5, 0, b"", None), (1, 5, 1, b"\x00\xfe\"\\\n", b"\x9f" * 32), (1, 6, 0, b"x" * 300, None),
+                                  (1, 7, 0, b"", b""), (10, 5, 0, b"\xc3\x28", b"\x9f" * 32)]]
+    landed = spark.createDataFrame(rows, TB.LOGS_LANDED)
+    src, ranges, out, checkpoint = (scratch_path(spark, x) for x in ("t-land", "t-ranges", "t-out", "t-ckpt"))
+    TB.append_logs(landed, src, 1)
+    for released, blocks in (((1, 1, 0, 4), []), ((1, 2, 5, 6), [5, 5, 6]), ((10, 3, 0, 9), [5, 5, 5, 6])):
+        spark.createDataFrame([released], PL.RANGES).write.mode("append").parquet(ranges)
+        finished(HB.serve_final(spark.readStream.schema(TB.LANDED_WITH_SOURCE).parquet(src),
+                                spark.readStream.schema(PL.RANGES).parquet(ranges), out, checkpoint))
+        got = spark.read.schema(TB.LANDED_WITH_BATCH).parquet(out).drop("batch_id")
+        assert sorted(r.block_number for r in got.collect()) == blocks
+    assert same(got.select(*landed.columns), landed.where("not (chain_id = 1 and block_number = 7)"))
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "pending").load()
+    assert [r.list_element.block_number for r in held.collect()] == [7]
+    assert held.schema["list_element"].dataType.names == ["chain_id", "block_number", "log"]
