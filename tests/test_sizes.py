@@ -159,3 +159,26 @@ def test_registered_queries_tell_their_rows(spark, monkeypatch):
 def test_deduped_stream_is_written_with_zstd(spark):
     files = R.q_stream_dedup(spark, SF_SMALL).inputFiles()
     assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+@pytest.mark.parametrize("name", ["chain_state", "indexing_progress", "list_chains", "log_height", "get_log_batch"])
+def test_queries_over_decoded_logs_have_partitions_by_their_rows(spark, monkeypatch, name):
+    """The wide rows are sorted in partitions that keep their size, so they do not spill on a larger table."""
+    monkeypatch.setattr(FX, "PART_ROWS", 300, raising=False)
+    plan = REGISTRY[name][0](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    found = [int(n) for n in re.findall(r"Exchange hashpartitioning\(chain_id#\d+L, l_orderkey#\d+L, (\d+)\)", plan)]
+    assert found and min(found) >= FX.log_rows(spark, SF_SMALL) / 300 > 16
+
+
+@pytest.mark.parametrize("name", ["served_chain_stats", "served_get_log", "served_get_log_batch"])
+def test_served_queries_shuffle_their_rows_once_in_partitions_by_their_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(session, "TASK_ROWS", 300, raising=False)
+    seen = []
+
+    def layout(df, partitions=None, clustered=False, _f=TB.layout):
+        seen.append((clustered, max(_exchanges(df))))
+        return _f(df, partitions, clustered)
+
+    monkeypatch.setattr(TB, "layout", layout)
+    REGISTRY[name][0](spark, SF_SMALL)
+    assert len(seen) == 1 and seen[0][0] and seen[0][1] >= FX.log_rows(spark, SF_SMALL) / 300 > 16
