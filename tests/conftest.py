@@ -29,3 +29,11 @@ def duck():
     for t in ["customer", "orders", "lineitem", "events"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return con
+
+
+@pytest.fixture(scope="module", autouse=True)
+def no_cache_of_other_files(request):
+    """What a file of tests has cached must not stand in the plans of the next one."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
