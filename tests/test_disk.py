@@ -7,8 +7,10 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.checks import registry as R
 from logloom.checks.registry import REGISTRY
 from logloom.operators import packed as PK
+from logloom.plans import batch as B
 from logloom.plans import tables
 from logloom.schema import LOGS_LANDED, RAW_EVENTS
 from logloom.session import scratch_path
@@ -147,3 +149,14 @@ def test_a_merge_adds_partitions_and_keeps_the_others(spark):
 
 def test_landed_copies_converge(spark):
     assert REGISTRY["replay_converges"][0](spark, SF_SMALL).count() == tables.logs(spark, SF_SMALL).count()
+
+
+def test_ranked_streams_are_packed_and_stored_compressed(spark):
+    ranked, _, _ = R._plan(spark, SF_SMALL, first_page_only=True)
+    files = ranked.inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+    logs = tables.logs(spark, SF_SMALL)
+    for payload in (R.PAYLOAD, [], ["topic1"]):
+        want = B.rank_streams(logs, payload, 1_000)
+        got = B.rank_streams(logs, payload, 1_000, rows=10)
+        assert "_bytes" in _plan(got) and _same(got, want)
