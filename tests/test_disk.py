@@ -160,3 +160,26 @@ def test_ranked_streams_are_packed_and_stored_compressed(spark):
         want = B.rank_streams(logs, payload, 1_000)
         got = B.rank_streams(logs, payload, 1_000, rows=10)
         assert "_bytes" in _plan(got) and _same(got, want)
+
+
+def test_requests_meet_only_the_buckets_they_need(spark):
+    """A bucket is a row for the requests that need it, however long their ranges are."""
+    stream = "1L chain_id, unhex('aa') topic0, unhex('') skey"
+    sizes = {0: 3, 2: 1, 5: 4, 900_000: 2, 5_000_000_000: 6, 5_000_000_001: 1}
+    counts = spark.createDataFrame([*sizes.items()], "block_bucket bigint, bucket_rows bigint").selectExpr(*stream.split(", "), "*")
+    asked = [(k, lo, hi, limit) for k, (lo, hi, limit) in enumerate(
+        (lo, hi, limit) for lo in (0, 1, 2, 6, 900_000, 5_000_000_001, 5_000_000_002) for hi in (0, 4, 5_000_000_000, 5_000_000_001)
+        for limit in (1, 2, 4, 5, 100))]
+    req = spark.createDataFrame(asked, "request_id bigint, _lo_b bigint, _hi_b bigint, page_limit bigint").selectExpr(*stream.split(", "), "*")
+    for first in (False, True):
+        got = {}
+        for r in B._bucket_pairs(req, counts, first).collect():
+            assert r.bucket_rows == sizes[r.block_bucket]
+            got.setdefault(r.request_id, []).append(r.block_bucket)
+        for k, lo, hi, limit in asked:
+            want, full = [], 0
+            for b in sorted(sizes):
+                if lo <= b <= hi and not (first and full >= limit):
+                    want.append(b)
+                    full += sizes[b] if b > lo else 0
+            assert sorted(got.get(k, [])) == want
