@@ -17,6 +17,8 @@ from logloom.session import scratch_path
 from logloom.sources import directory
 from logloom.sources import fixtures as FX
 from logloom.sources import table as TB
+from logloom.streaming import holdback as HB
+from logloom.streaming import ledger as LG
 
 from .conftest import SF_SMALL
 
@@ -183,3 +185,27 @@ def test_requests_meet_only_the_buckets_they_need(spark):
                     want.append(b)
                     full += sizes[b] if b > lo else 0
             assert sorted(got.get(k, [])) == want
+
+
+def test_held_logs_come_back_as_they_were(spark):
+    for logs in (_odd_logs(spark), tables.landed_logs(spark, SF_SMALL)):
+        held = HB.packed_log(logs)
+        assert sorted(held.columns) == ["block_number", "chain_id", "log"]
+        assert _same(HB.unpacked_log(held), logs)
+    small = held.agg(F.sum(F.octet_length("log"))).first()[0]
+    assert small < 0.6 * logs.agg(F.sum(F.length(F.to_json(F.struct(*HB.PACKED.names))))).first()[0]
+
+
+def test_ranges_that_follow_each_other_are_one_row_a_cell(spark):
+    def ranges(pairs):
+        return spark.createDataFrame([(c, k, a, b) for k, (c, a, b) in enumerate(pairs)], "chain_id bigint, seq bigint, from_block bigint, to_block bigint")
+
+    rows = spark.range(0, 4_000).selectExpr("cast(1 + id % 2 as bigint) chain_id", "id block_number")
+    dense = [(1, 10 * k, 10 * k + 9) for k in range(20, 300)]
+    gaps = [(2, 7 * k, 7 * k + 3) for k in range(400)] + [(2, 3_500, 3_500), (1, 3_990, 5_000)]
+    found = LG.covered_blocks(ranges(dense + gaps))
+    assert found.where("chain_id = 1 and _from < 3000").count() == 3
+    want = LG.in_ranges(rows, ranges(dense + gaps), F.col("block_number"), 100).select("chain_id", "block_number")
+    got = rows.withColumn("_cell", F.floor(F.col("block_number") / LG.CELL_BLOCKS)).join(found, ["chain_id", "_cell"]) \
+        .where("block_number between _from and _to").select("chain_id", "block_number")
+    assert _same(got, want) and want.count() > 1_000
